@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.llm.bpe import bpe_digests
 from pairloom.llm.simhash import simhash_components
 
 
@@ -11,8 +13,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), radius=4, words_per_shingle=4)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
