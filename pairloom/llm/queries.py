@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.bpe import bpe_digests
+from pairloom.llm.secret_scan import fit_secret_model, secret_spans
 from pairloom.llm.simhash import simhash_components
 
 
@@ -13,6 +14,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), radius=4, words_per_shingle=4)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return secret_spans(docs, fit_secret_model(docs))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -20,6 +26,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op7_secret_scan": op7_secret_scan,
     "op10_bpe": op10_bpe,
 }
 
