@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.bpe import bpe_digests
+from pairloom.llm.language_id import language_predictions
 from pairloom.llm.secret_scan import fit_secret_model, secret_spans
 from pairloom.llm.simhash import simhash_components
 
@@ -19,6 +20,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(docs, fit_secret_model(docs))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -27,6 +32,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_secret_scan": op7_secret_scan,
+    "op8_language_id": op8_language_id,
     "op10_bpe": op10_bpe,
 }
 
