@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.bpe import bpe_digests
 from pairloom.llm.language_id import language_predictions
+from pairloom.llm.packing import pack_documents
 from pairloom.llm.secret_scan import fit_secret_model, secret_spans
 from pairloom.llm.simhash import simhash_components
 
@@ -15,6 +16,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), radius=4, words_per_shingle=4)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return secret_spans(docs, fit_secret_model(docs))
@@ -31,6 +37,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
     "op10_bpe": op10_bpe,
