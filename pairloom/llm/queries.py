@@ -10,6 +10,11 @@ from pairloom.llm.language_id import language_predictions
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.secret_scan import fit_secret_model, secret_spans
 from pairloom.llm.simhash import simhash_components
+from pairloom.llm.vector_dedup import vector_components
+
+
+def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +41,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_vector_dedup": op1_vector_dedup,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
