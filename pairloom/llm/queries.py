@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.bpe import bpe_digests
+from pairloom.llm.fingerprints import fingerprint_edits
 from pairloom.llm.language_id import language_predictions
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.secret_scan import fit_secret_model, secret_spans
@@ -17,6 +18,10 @@ def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=5, w=16)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), radius=4, words_per_shingle=4)
 
@@ -42,6 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
+    "op2_winnowing": op2_winnowing,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
