@@ -11,9 +11,17 @@ from pairloom.llm.language_id import language_predictions
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.secret_scan import fit_secret_model, secret_spans
 from pairloom.llm.simhash import simhash_components
+from pairloom.llm.url_filter import judged_urls
 from pairloom.llm.vector_dedup import vector_components
 
 
+#: (verdict, host, path)
+URL_RULES = (
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+)
+
+
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
 
@@ -22,6 +30,10 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=5, w=16)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), radius=4, words_per_shingle=4)
 
@@ -48,6 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_winnowing": op2_winnowing,
+    "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
