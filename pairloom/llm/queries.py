@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm.bpe import bpe_digests
 from pairloom.llm.fingerprints import fingerprint_edits
 from pairloom.llm.language_id import language_predictions
+from pairloom.llm.language_model import language_model_scores
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.secret_scan import fit_secret_model, secret_spans
 from pairloom.llm.simhash import simhash_components
@@ -52,6 +53,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), burn_in=1, samples=2)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
+    "op9_language_model": op9_language_model,
     "op10_bpe": op10_bpe,
 }
 
