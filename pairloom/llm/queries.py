@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairloom.llm.bpe import bpe_digests
 from pairloom.llm.fingerprints import fingerprint_edits
@@ -12,6 +13,7 @@ from pairloom.llm.language_model import language_model_scores
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.secret_scan import fit_secret_model, secret_spans
 from pairloom.llm.simhash import simhash_components
+from pairloom.llm.token_counts import edit_token_counts, sample_edits
 from pairloom.llm.url_filter import judged_urls
 from pairloom.llm.vector_dedup import vector_components
 
@@ -31,6 +33,11 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=5, w=16)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return edit_token_counts(docs, sample_edits(F.col("text")), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
@@ -65,6 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_winnowing": op2_winnowing,
+    "op3_token_counts": op3_token_counts,
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
