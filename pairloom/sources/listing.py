@@ -40,7 +40,10 @@ class ListingReader(DataSourceReader):
             ordinal += len(names)
         return out
 
-    def read(self, partition: Names) -> Iterator[tuple]:
+    def read(self, partition: Names | None) -> Iterator[tuple]:
+        # Spark asks for one unnamed partition where there are none.
+        if partition is None:
+            return
         for n, name in enumerate(partition.names):
             path = os.path.join(partition.directory, name)
             try:
