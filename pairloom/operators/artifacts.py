@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.text import is_blank
+
 SESSION = """SessionId string, StartedAt string, LastUpdatedAt string, CleanShutdown boolean, MainWindowCreated boolean,
     IsProcessing boolean, IsPaused boolean, SelectedModeIndex int, ComboTaskCount int, SplitTaskCount int,
     ComboProgress double, SplitProgress double, Breadcrumbs array<string>"""
@@ -60,3 +62,16 @@ def sessions(rows: DataFrame, column: str = "state") -> DataFrame:
 def to_recover(rows: DataFrame) -> Column:
     """Whether a recovered log is due: a state that didn't shut down cleanly, and no pending log."""
     return F.coalesce(F.col("session.SessionId").isNotNull() & ~F.coalesce("session.CleanShutdown", F.lit(False)) & F.col("pending_log").isNull(), F.lit(False))
+
+
+def existing(paths: DataFrame, listing: DataFrame) -> DataFrame:
+    """The rows of ``paths`` whose file_name is neither null nor blank and is in ``listing``."""
+    return paths.where(~is_blank(F.col("file_name"))).join(listing.select("file_name").distinct(), "file_name", "left_semi")
+
+
+def session_documents(states: DataFrame) -> DataFrame:
+    """(SessionId, document): of each session the newest state by LastUpdatedAt, then by its JSON, written as JSON."""
+    document = F.to_json(F.struct(*[c for c in states.columns]))
+    return states.groupBy("SessionId").agg(F.max(F.struct(F.col("LastUpdatedAt"), document.alias("document"))).alias("m")).select(
+        "SessionId", F.col("m.document").alias("document")
+    )

@@ -97,3 +97,14 @@ def applied(tasks: DataFrame, results: DataFrame) -> DataFrame:
         F.when(F.col("ok"), "100%").when(ran, "0%").otherwise(F.when(F.col("status") == "Success", "100%").otherwise("0%")).alias("progress_text"),
         F.coalesce("message", F.lit("")).alias("details"),
     )
+
+
+def page(tasks: DataFrame, skip: int, take: int) -> DataFrame:
+    """The tasks after the first ``skip``, at most ``take`` of them, by their number."""
+    first = max(0, skip)
+    return tasks.where((F.col("idx") > first) & (F.col("idx") <= first + max(0, take)))
+
+
+def parallelism(cores: Column, most: int = 20) -> Column:
+    """Rows that a run works on at once: a core each, at least 1 and at most ``most``."""
+    return F.greatest(F.lit(1), F.least(cores, F.lit(most)))

@@ -236,4 +236,8 @@ SQL: dict[str, str] = {
       lpad(CAST({ELAPSED} % 60 AS VARCHAR), 2, '0') AS lasted FROM events""",
     "name_template": """SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) || ': ' || n_name || ' of ' || CAST(n_regionkey AS VARCHAR) AS line,
       CASE WHEN n_nationkey % 3 = 0 THEN '(unknown)' ELSE n_name END AS known FROM nation""",
+    "existing_paths": f"WITH {ARTIFACTS} SELECT ordinal, file_name FROM found WHERE kind <> 'dump' AND ordinal % 4 NOT IN (0, 1)",
+    "session_documents": """SELECT 's' || CAST(user_id AS VARCHAR) AS "SessionId", arg_max(event_id, ts) AS tasks, arg_max(event_type = 'view', ts) AS clean,
+      arg_max(event_type, ts) AS breadcrumbs FROM events GROUP BY user_id""",
+    "task_page": f"WITH {TASKS} SELECT idx, file_name, greatest(1, least(idx - 990, 20)) AS parallelism FROM tasks WHERE idx > 995 AND idx <= 1005",
 }

@@ -277,3 +277,31 @@ def name_template(spark, sf_dir):
         "n_nationkey", text.formatted(F.lit("{1}: {0} of {1}"), F.col("n_name"), F.col("n_regionkey")).alias("line"),
         text.or_unknown(F.when(F.col("n_nationkey") % 3 == 0, " ").otherwise(F.col("n_name"))).alias("known"),
     )
+
+
+@query
+def existing_paths(spark, sf_dir):
+    files = derived.artifact_files(spark, sf_dir)
+    wanted = files.select("ordinal", F.when(F.col("ordinal") % 4 == 0, " ").when(F.col("ordinal") % 4 == 1, F.lit(None)).otherwise(F.col("file_name")).alias("file_name"))
+    return artifacts.existing(wanted, artifacts.artifacts(files).where("kind <> 'dump'")).select("ordinal", "file_name")
+
+
+@query
+def session_documents(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    states = events.select(
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("SessionId"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("LastUpdatedAt"),
+        (F.col("event_type") == "view").alias("CleanShutdown"), F.col("event_id").cast("int").alias("ComboTaskCount"),
+        F.array("event_type").alias("Breadcrumbs"),
+    )
+    found = artifacts.sessions(artifacts.session_documents(states), "document")
+    return found.select(
+        "SessionId", F.col("session.ComboTaskCount").cast("long").alias("tasks"), F.col("session.CleanShutdown").alias("clean"),
+        F.array_join("session.Breadcrumbs", ",").alias("breadcrumbs"),
+    )
+
+
+@query
+def task_page(spark, sf_dir):
+    tasks = status.page(derived.tasks(spark, sf_dir), 995, 10)
+    return tasks.select("idx", "file_name", status.parallelism(F.col("idx") - 990).alias("parallelism"))
