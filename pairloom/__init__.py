@@ -1,0 +1 @@
+"""Media catalogues and training-data preparation on Spark."""

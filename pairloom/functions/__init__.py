@@ -1,0 +1 @@
+"""Column expressions and helpers that operators share."""

@@ -1,0 +1 @@
+"""Operators on media files, from DataFrames to DataFrames."""

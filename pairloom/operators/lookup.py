@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import is_blank, or_else
 
 
+#: The folders that results go to where none is given.
+OUTPUT_FOLDERS = {"merged": "Output_LivePhotos", "split": "Output_SplitPhotos", "repaired": "Output_Repaired"}
+
+
 def resource_text(keys: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``keys`` (key, ...) with text from ``catalogue`` (key, value), or the key where it is missing or blank."""
     found = keys.join(catalogue.select("key", "value"), "key", "left")

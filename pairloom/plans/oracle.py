@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pairloom.operators.lookup import OUTPUT_FOLDERS
+
 MEDIA_FILES = """
 files AS (
   SELECT ordinal, file_name, size_bytes, mtime FROM (
@@ -227,7 +229,7 @@ SQL: dict[str, str] = {
     "language_resolve": """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'zh-Hans' WHEN s_suppkey % 3 = 2 THEN 'en-US' WHEN s_suppkey % 5 IN (0, 1) THEN 'zh-Hans' ELSE 'en-US' END AS language,
       CASE WHEN s_suppkey % 7 = 0 THEN 'ja' ELSE CASE s_suppkey % 5 WHEN 0 THEN 'fr-FR' WHEN 1 THEN 'zh-CN' WHEN 2 THEN 'de' ELSE 'en-US' END END AS tag FROM supplier""",
     "output_dirs": "WITH rows AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '/mine' END AS given, '/d' || CAST(s_suppkey AS VARCHAR) AS input FROM supplier) SELECT s_suppkey, "
-    + ", ".join(f"coalesce(given, input || '/{folder}') AS {name}" for name, folder in (("merged", "Output_LivePhotos"), ("split", "Output_SplitPhotos"), ("repaired", "Output_Repaired")))
+    + ", ".join(f"coalesce(given, input || '/{folder}') AS {name}" for name, folder in OUTPUT_FOLDERS.items())
     + " FROM rows",
     "distinct_paths": """WITH paths AS (SELECT o_orderkey, (CASE WHEN o_orderkey % 2 = 0 THEN '/In/P' ELSE '/in/p' END) || CAST(o_custkey AS VARCHAR) AS path FROM orders)
       SELECT arg_min(path, o_orderkey) AS path FROM paths GROUP BY lower(path)""",

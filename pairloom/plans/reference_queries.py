@@ -249,7 +249,7 @@ def output_dirs(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.when(i % 3 == 0, "/mine").when(i % 3 == 1, "  ").alias("given"), F.concat(F.lit("/d"), i.cast("string")).alias("input"))
     return rows.select("s_suppkey", *[
         lookup.output_dir(F.col("given"), F.col("input"), folder).alias(name)
-        for name, folder in (("merged", "Output_LivePhotos"), ("split", "Output_SplitPhotos"), ("repaired", "Output_Repaired"))
+        for name, folder in lookup.OUTPUT_FOLDERS.items()
     ])
 
 

@@ -1,0 +1 @@
+"""Sources: directory listings, and relations made of the test tables."""

@@ -1,0 +1 @@
+"""Empty: the surveyed work has no operators on streams."""
