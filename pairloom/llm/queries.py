@@ -82,4 +82,26 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Only the vector links can be said in SQL, by comparing all pairs; the other operators apply XXH64,
+#: vocabularies, searches or trained models, and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_vector_dedup": """
+WITH RECURSIVE fine AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reached AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+components AS (SELECT a, min(b) AS low FROM reached GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(low, v.vec_id)) AS component_id,
+  v.vec_id <= coalesce(low, v.vec_id) AS kept
+FROM embeddings v LEFT JOIN counts ON counts.a = v.vec_id LEFT JOIN components ON components.a = v.vec_id
+""",
+}

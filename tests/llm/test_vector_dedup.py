@@ -59,3 +59,15 @@ def test_odd_rows_and_a_hot_group(spark):
     assert vector_components(frame.where("false")).count() == 0
     none = [tuple(r) for r in vector_components(frame.where("label is null")).collect()]
     assert none == [(8, 0, 8, True)]
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    from pairloom.llm.queries import ORACLE_SQL, QUERIES
+
+    duck = duckdb.connect()
+    duck.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    want = duck.execute(ORACLE_SQL["op1_vector_dedup"]).fetchall()
+    got = QUERIES["op1_vector_dedup"](spark, "/root/testdata/sf0.01").select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
