@@ -9,7 +9,6 @@ are set on labelled rows that the descent didn't see.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,26 +22,34 @@ from pyspark.sql import types as T
 from pairloom.llm.common import crc_of_id, stored
 
 BUCKETS, SIZE, LONGEST = 1 << 14, 16, 4
-WORDS_HELD = 400_000
+WORDS_HELD, CHARACTERS_AT_ONCE = 120_000, 1_000_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def subwords(word: str) -> list[int]:
-    """The buckets of a lower-cased word's n-grams of 1 to ``LONGEST`` characters, its ends marked."""
-    marked = f"<{word}>".encode("utf-32-le", "surrogatepass")
-    n = len(marked) // 4
-    return [
-        zlib.crc32(marked[4 * i: 4 * (i + k)]) % BUCKETS for k in range(1, LONGEST + 1) for i in range(n - k + 1)
-    ]
-
-
-def text_buckets(text: str) -> Counter:
-    """How often each bucket occurs in the whole text."""
-    out: Counter = Counter()
-    for word, times in Counter(text.lower().split()).items():
-        for bucket in subwords(word):
-            out[bucket] += times
-    return out
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of its word) of each n-gram of 1 to ``LONGEST`` characters of the words, their ends marked."""
+    marked = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(marked))
+    code = np.zeros(len(marked), np.uint64)
+    buckets, owners = [], []
+    for k in range(1, LONGEST + 1):
+        fits = np.flatnonzero(left >= k)
+        code[fits] = code[fits] * np.uint64(0x100000001B3) + marked[fits + k - 1] + np.uint64(1)
+        mixed = (code[fits] ^ (code[fits] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        buckets.append((mixed >> np.uint64(40)) % np.uint64(BUCKETS))
+        owners.append(owner[fits])
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
+
+
+def text_buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur in the whole text, and how often."""
+    words = Counter(text.lower().split())
+    buckets, owner = subwords(list(words))
+    counts = np.bincount(buckets, np.fromiter(words.values(), float, len(words))[owner], BUCKETS)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
 
 
 @dataclass
@@ -54,40 +61,55 @@ class LanguageModel:
     weight: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
-    #: word -> (number of n-grams, sum of their logits); one worker's memory.
-    held: dict = field(default_factory=dict, repr=False)
+    #: One worker's memory: word -> its row, which sums its n-grams' logits and, last, counts them.
+    places: dict = field(default_factory=dict, repr=False)
+    rows: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"held": {}}
+        return self.__dict__ | {"places": {}, "rows": None}
+
+    def learn(self, words: list[str], table: np.ndarray) -> None:
+        """Remembers the rows of words; when too many are held, only these stay."""
+        if len(self.places) > WORDS_HELD:
+            self.places, self.rows = {}, None
+        fresh = [w for w in words if w not in self.places]
+        if not fresh:
+            return
+        columns = np.zeros((len(fresh), table.shape[1] + 1))
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at: at + 20_000]
+            buckets, owner = subwords(some)
+            for n in range(table.shape[1]):
+                columns[at: at + len(some), n] = np.bincount(owner, table[buckets, n], len(some))
+            columns[at: at + len(some), -1] = np.bincount(owner, minlength=len(some))
+        first = len(self.places)
+        self.places.update(zip(fresh, range(first, first + len(fresh))))
+        self.rows = columns if self.rows is None else np.concatenate([self.rows, columns])
 
     def table(self) -> np.ndarray:
         return (self.embedding @ self.weight).astype(np.float64)
 
-    def logits(self, text: str, table: np.ndarray) -> np.ndarray:
-        """The average over the text's n-grams of their logits; this equals the logits of the average."""
-        words = Counter(text.lower().split())
-        held = self.held
-        if len(held) > WORDS_HELD:
-            held.clear()
-        for word in words:
-            if word not in held:
-                buckets = subwords(word)
-                held[word] = np.append(table[buckets].sum(0), len(buckets))
-        times = np.fromiter(words.values(), float, len(words))
-        total = times @ np.array([held[word] for word in words])
-        return total[:-1] / total[-1]
-
     def predict(self, texts: list[str | None], table: np.ndarray) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for text in texts:
-            if not text or not LETTER.search(text) or not self.languages:
-                names.append("und")
-                scores.append(0.0)
-                continue
-            z = self.logits(text, table) / self.temperature
-            p = np.exp(z - z.max())
-            names.append(self.languages[int(p.argmax())])
-            scores.append(float(p.max() / p.sum()))
+        """Language and score of each text: the average over its n-grams of their logits, which equals
+        the logits of the average, under the calibrated softmax."""
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        at = 0
+        while at < len(texts) and self.languages:
+            split, size = {}, 0
+            while at < len(texts) and size < CHARACTERS_AT_ONCE:
+                if texts[at] and LETTER.search(texts[at]):
+                    split[at] = texts[at].lower().split()
+                    size += len(texts[at])
+                at += 1
+            held = len(self.places) > WORDS_HELD
+            self.learn(list({w for words in split.values() for w in words if held or w not in self.places}), table)
+            for n, words in split.items():
+                own = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+                total = self.rows[own].sum(0)
+                z = total[:-1] / total[-1] / self.temperature
+                p = np.exp(z - z.max())
+                names[n] = self.languages[int(p.argmax())]
+                scores[n] = float(p.max() / p.sum())
         return names, scores
 
 
@@ -158,19 +180,23 @@ def fit_language_model(docs: DataFrame, per_language: int = 800) -> LanguageMode
     without a letter teach nothing.
     """
     clean = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = clean.groupBy("lang").agg(F.count("*").alias("n"))
+    # One number for each language comes to the driver, where each has up to per_language rows anyway.
+    sizes = [(r["lang"], r["n"]) for r in clean.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    if not sizes:
+        return train([])
+    share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, per_language / n)])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
-    few = clean.join(sizes, "lang").where(draw * F.col("n") < per_language).select("lang", "text")
+    few = clean.where(draw < share[F.col("lang")]).select("lang", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"lang": [], "buckets": [], "counts": []}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if LETTER.search(text):
-                    counts = text_buckets(text)
+                    buckets, counts = text_buckets(text)
                     out["lang"].append(lang)
-                    out["buckets"].append(np.fromiter(counts, np.uint16, len(counts)).tobytes())
-                    out["counts"].append(np.fromiter(counts.values(), np.uint32, len(counts)).tobytes())
+                    out["buckets"].append(buckets.astype(np.uint16).tobytes())
+                    out["counts"].append(counts.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["lang"], pa.string()), pa.array(out["buckets"], pa.binary()), pa.array(out["counts"], pa.binary())],
                 names=list(out),

@@ -17,8 +17,10 @@ def test_held_out_accuracy(spark):
 
 
 def test_subwords_are_all_short_ngrams():
-    assert len(subwords("ab")) == sum(4 - k + 1 for k in range(1, LONGEST + 1))
-    assert sum(text_buckets("ab ab").values()) == 2 * len(subwords("ab"))
+    buckets, owner = subwords(["ab", "x"])
+    assert (owner == 0).sum() == sum(4 - k + 1 for k in range(1, LONGEST + 1)) and (owner == 1).sum() == 3 + 2 + 1
+    assert sorted(subwords(["ab"])[0]) == sorted(buckets[owner == 0])
+    assert text_buckets("ab ab AB")[1].sum() == 3 * (owner == 0).sum()
 
 
 def test_nulls_unlabelled_and_extra_columns(spark):
