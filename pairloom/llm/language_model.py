@@ -1,6 +1,7 @@
 """LM scoring by a hierarchical Pitman-Yor model of words in context and of their spelling.
 
-A token is drawn from the restaurant of its context: the start of a sentence or its inside. Both
+A token is drawn from the restaurant of the word before it. The tables of these restaurants are the
+customers of two others: one for words before which a sentence starts, one for all others. Both
 share a parent, the restaurant of words without context, which seats their tables. A new table's
 dish is spelled out: each byte comes from the restaurant of its two preceding bytes, which
 shares its parent, that of one preceding byte, with all contexts of the same end; that
@@ -26,14 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import byte_text, crc_of_id, stored
+from pairloom.llm.common import byte_text, crc_of_id, in_blocks, stored
 
 #: 256 bytes and the end of a word; START stands for the place before a word.
 END, START, SYMBOLS = 256, 257, 258
 BLOCK_BYTES = 32_000_000
 #: Last bytes of a token after which a sentence starts.
 EDGES = (b".", b"!", b"?")
+#: The parents of the preceding words' restaurants: the start of a sentence and its inside.
 CONTEXTS = (0, 1)
+MASK = (1 << 32) - 1
+#: Pairs of one word that a join keeps together.
+SALT_ROWS = 20_000
 EXACT = 64
 STRENGTH = 1.0
 
@@ -171,32 +176,44 @@ def unpacked_numbers(data: bytes) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Documents as counted words of their block, and the blocks' dictionaries, in one table.
-
-    A block is a run of a partition's documents of about BLOCK_BYTES. A dictionary row has
-    word, place (its number in the block) and n (its training tokens there); a document's row has
-    the gaps between its words' places and their counts. The empty word is the end of a text. A word at the start
-    of a sentence is an entry of its own, marked by a blank before it.
+    """Documents as counted word pairs, and their blocks' words and pairs, in one table.
+
+    A block is a run of a partition's documents of about BLOCK_BYTES. A document's row has its pairs (preceding
+    word, word) as places in the block's dictionary, the former as gaps, and their counts. A word's row has its
+    place as code, its training tokens after the start of a sentence (n0) and inside (n1), and the
+    training tokens that follow it (n). A pair's row has before, word, code (place of before << 32 | place of word),
+    its training tokens (n) and whether a held-out row has it. The empty word is the end of a text and,
+    as a preceding word, its start.
     """
 
     def flush(block: int, index: dict[bytes, int], rows: list) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(index))
-        for _, held, places, times, _ in rows:
-            if not held:
-                np.add.at(seen, places, times)
-        n = len(rows)
         yield batch_of(
-            block, n, doc_id=[r[0] for r in rows], held_out=[r[1] for r in rows],
-            places=[packed_numbers(np.diff(r[2], prepend=0)) for r in rows], times=[packed_numbers(r[3]) for r in rows], n=[r[4] for r in rows],
+            block, len(rows), doc_id=[r[0] for r in rows], held_out=[r[1] for r in rows],
+            places=[packed_numbers(np.diff(r[2] >> 32, prepend=0)) for r in rows], follow=[packed_numbers(r[2] & MASK) for r in rows],
+            times=[packed_numbers(r[3]) for r in rows], n=[int(r[3].sum()) for r in rows],
         )
-        words = list(index)
+        codes, inverse = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+        held = np.repeat([r[1] for r in rows], [len(r[2]) for r in rows])
+        n = np.bincount(inverse, np.where(held, 0, np.concatenate([r[3] for r in rows]))).astype(np.int64)
+        held = np.bincount(inverse, held) > 0
+        words, before, after = list(index), codes >> 32, codes & MASK
+        start = np.array([starts_sentence(w) for w in words])[before]
+        sums = [np.bincount(at, x, minlength=len(words)).astype(np.int64) for at, x in ((after, n * start), (after, n * ~start), (before, n))]
+        words = pa.array(words, pa.binary())
         for at in range(0, len(words), 50_000):
-            part = words[at: at + 50_000]
-            yield batch_of(block, len(part), word=part, place=list(range(at, at + len(part))), n=seen[at: at + len(part)].astype(np.int64))
+            part = slice(at, at + 50_000)
+            size = len(words[part])
+            yield batch_of(block, size, word=words[part], code=np.arange(at, at + size), n0=sums[0][part], n1=sums[1][part], n=sums[2][part])
+        for at in range(0, len(codes), 50_000):
+            part = slice(at, at + 50_000)
+            yield batch_of(
+                block, len(codes[part]), before=words.take(pa.array(before[part])), word=words.take(pa.array(after[part])),
+                code=codes[part], n=n[part], held_out=held[part],
+            )
 
     kinds = {
-        "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "places": pa.binary(), "times": pa.binary(),
-        "word": pa.binary(), "place": pa.int32(), "n": pa.int64(),
+        "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "places": pa.binary(), "follow": pa.binary(), "times": pa.binary(),
+        "before": pa.binary(), "word": pa.binary(), "code": pa.int64(), "n0": pa.int64(), "n1": pa.int64(), "n": pa.int64(),
     }
 
     def batch_of(block: int, size: int, **columns) -> pa.RecordBatch:
@@ -206,31 +223,32 @@ def tokenised(docs: DataFrame) -> DataFrame:
         )
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, index, rows = TaskContext.get().partitionId() << 24, 0, {}, []
+        block, size, index, rows = TaskContext.get().partitionId() << 24, 0, {b"": 0}, []
         for batch in batches:
             for doc, held, data in zip(batch.column(0), batch.column(1), batch.column(2)):
                 text = data.as_py()
                 words = text.lower().split()
-                words.append(b"")
-                before = [b".", *words]
-                counts = Counter([b" " + w if p[-1:] in EDGES else w for p, w in zip(before, words)])
-                places = np.fromiter((index.setdefault(w, len(index)) for w in counts), np.int32, len(counts))
-                times = np.fromiter(counts.values(), np.int32, len(counts))
-                order = np.argsort(places)
-                rows.append((doc.as_py(), held.as_py(), places[order], times[order], len(words)))
+                places = np.zeros(len(words) + 2, np.int64)
+                places[1:-1] = [index.setdefault(w, len(index)) for w in words]
+                rows.append((doc.as_py(), held.as_py(), *np.unique(places[:-1] << 32 | places[1:], return_counts=True)))
                 size += len(text)
                 if size > BLOCK_BYTES:
                     yield from flush(block, index, rows)
-                    block, size, index, rows = block + 1, 0, {}, []
+                    block, size, index, rows = block + 1, 0, {b"": 0}, []
         if rows:
             yield from flush(block, index, rows)
 
     held_out = F.coalesce(crc_of_id() % 10 == 0, F.lit(True))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), byte_text().alias("data")).mapInArrow(
-        of, "block long, doc_id long, held_out boolean, places binary, times binary, word binary, place int, n long"
+        of, "block long, doc_id long, held_out boolean, places binary, follow binary, times binary, before binary, word binary, code long, n0 long, n1 long, n long"
     )
 
 
+def starts_sentence(before: bytes) -> bool:
+    """Whether a sentence starts after this word; the empty one stands before a text."""
+    return not before or before[-1:] in EDGES
+
+
 def letter_counts(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Customers of each spelling cell: the tables of all words, summed on the executors."""
 
@@ -251,32 +269,76 @@ def letter_counts(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def word_probabilities(counts: DataFrame, burn_in: int = 1, samples: int = 2, seed: int = 17) -> tuple[DataFrame, list[float], int, int]:
-    """Averaged predictive probabilities from the training counts (word, c0, c1) in either context.
+def hot_keys(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, parts) of the words that have over SALT_ROWS pairs."""
+    sizes = pairs.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > SALT_ROWS)
+    return stored(sizes.select(key, in_blocks(F.col("rows"), SALT_ROWS).alias("parts")), "hot-words")
+
+
+def with_words(pairs: DataFrame, words: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Pairs joined to the words' rows by ``key``; a hot word's row is repeated and its pairs are dealt over them."""
+    parts, salt = F.coalesce("parts", F.lit(1)), F.pmod(F.xxhash64("before", "word"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pairs.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("parts")
+    named = words.withColumnRenamed("word", key)
+    many = named.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(many, [key, "salt"]).drop("salt")
+
+
+@dataclass
+class Model:
+    """Seatings of a corpus. For each sample: q0_i and q1_i of a word, after either kind of word, and back_i of a preceding word."""
+
+    words: DataFrame
+    pairs: DataFrame  # (before, word, own) of the pairs learnt at least twice
+    rest: dict[str, float]  # q0_i and q1_i of a word that isn't known
+    discount: float  # of the preceding words' restaurants
+    tokens: int
+    distinct: int
+
 
-    Returns (word, c, p0, p1) of each known word, the probabilities of a word that isn't, the
-    tokens and the distinct words learnt.
+def seatings(words: DataFrame, repeated: DataFrame, burn_in: int = 1, samples: int = 2, seed: int = 17) -> Model:
+    """The model learnt from words (word, n0, n1, n) and the pairs (before, word, c) of at least two tokens.
+
+    A pair of one token always has one table. So the single pairs are only counted: by the
+    tokens of a word, or after one, that its repeated pairs leave.
     """
-    known = counts.where(F.col("c0") + F.col("c1") > 0)
+    kind = F.when(F.expr("length(before) = 0 or substring(before, -1, 1) in (X'2E', X'21', X'3F')"), 0).otherwise(1)
+    one = F.lit(1).cast("long")
+    pairs = stored(repeated.select("before", "word", kind.alias("k"), "c", one.alias("t"), F.lit(0.0).alias("own")), "pairs")
+    hot = {key: hot_keys(pairs, key) for key in ("before", "word")}
+
+    def counted(table: DataFrame, value: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
+        after = table.groupBy("word").agg(*[F.sum(F.when(F.col("k") == k, F.col(value)).otherwise(0)).alias(names[k]) for k in CONTEXTS])
+        return after, table.groupBy(F.col("before").alias("word")).agg(F.sum(value).alias(names[2]))
+
+    def with_sums(table: DataFrame, value: str, names: list[str]) -> DataFrame:
+        for sums in counted(pairs, value, names):
+            table = table.join(sums, "word", "left")
+        return table.fillna(0, names)
+
+    known = with_sums(words.where("n0 + n1 + n > 0"), "c", ["r0", "r1", "r"])
+    # Customers: c0, c1 of the word's restaurants, f0, f1 of them from single pairs; n customers and tu tables after it, f single ones.
+    known = known.select("word", "n0", "n1", "n", *[(F.col(f"n{x}") - F.col(f"r{x}")).alias(f"f{x}") for x in ("0", "1", "")])
+    state = with_sums(known, "t", ["c0", "c1", "tu"]).withColumns({x: F.col(x) + F.col(f) for x, f in (("c0", "f0"), ("c1", "f1"), ("tu", "f"))})
+    kept = [f"{x}_{i}" for i in range(samples) for x in ("q0", "q1", "back")]
+    state = stored(state.select(
+        "*", F.least("c0", one).alias("t0"), F.least("c1", one).alias("t1"), F.least(F.col("c0") + F.col("c1"), one).alias("t"),
+        F.lit(0.0).alias("q0"), F.lit(0.0).alias("q1"), *[F.lit(0.0).alias(x) for x in kept],
+    ), "seating")
     c = F.col("c0") + F.col("c1")
-    facts = known.agg(
-        F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.count("*").alias("v"), F.count_if(c == 1).alias("ones"),
-        F.count_if(c == 2).alias("twos"), F.count_if(F.col("c0") > 0).alias("t0"), F.count_if(F.col("c1") > 0).alias("t1"),
+    facts = state.agg(
+        F.sum(F.col("n0") + F.col("n1")).alias("n"), F.count_if(F.col("n0") + F.col("n1") > 0).alias("v"), F.count_if(c == 1).alias("ones"), F.count_if(c == 2).alias("twos"),
+        F.sum("f").alias("singles"),
     ).first()
-    n = [facts["n0"] or 0, facts["n1"] or 0]
     discount = discount_of(facts["ones"], facts["twos"])
-    one = F.lit(1).cast("long")
-    state = known.select(
-        "word", "c0", "c1", F.least("c0", one).alias("t0"), F.least("c1", one).alias("t1"), one.alias("t"),
-        F.lit(0.0).alias("p0"), F.lit(0.0).alias("p1"),
-    )
-    sums = {"t0": facts["t0"], "t1": facts["t1"], "t": facts["v"]}
+    pair_discount = discount_of(facts["singles"] or 0, pairs.where("c = 2").count())
     rng = np.random.default_rng(seed)
     for sweep in range(burn_in + samples if facts["v"] else 0):
+        sample = sweep - burn_in
         spelling = resample_spelling(*letter_counts(state), rng)
-        keep = 1.0 / samples if sweep >= burn_in else 0.0
+        sums = state.agg(*[F.sum(x).alias(x) for x in ("c0", "c1", "t0", "t1", "t")]).first().asDict()
 
-        def live(batches, sweep=sweep, spelling=spelling, keep=keep, sums=sums) -> Iterator[pd.DataFrame]:
+        def live(batches, sweep=sweep, sample=sample, spelling=spelling, sums=sums) -> Iterator[pd.DataFrame]:
             logs = stirling_logs(discount)
             for batch in batches:
                 words = batch["word"].tolist()
@@ -292,17 +354,42 @@ def word_probabilities(counts: DataFrame, burn_in: int = 1, samples: int = 2, se
                     others = STRENGTH + discount * (sums[f"t{k}"] - old[f"t{k}"])
                     new[f"t{k}"] = seat(batch[f"c{k}"].to_numpy(), others * parent, discount * parent, discount, logs, own)
                     all_of = STRENGTH + discount * sums[f"t{k}"]
-                    p = (batch[f"c{k}"].to_numpy() - discount * old[f"t{k}"] + all_of * parent) / (STRENGTH + n[k])
-                    new[f"p{k}"] = batch[f"p{k}"].to_numpy() + keep * p
+                    new[f"q{k}"] = (batch[f"c{k}"].to_numpy() - discount * old[f"t{k}"] + all_of * parent) / (STRENGTH + sums[f"c{k}"])
                 others = STRENGTH + discount * (sums["t"] - old["t"])
                 new["t"] = seat(new["t0"] + new["t1"], others * base, discount * base, discount, logs, own)
+                if sample >= 0:
+                    back = (STRENGTH + pair_discount * batch["tu"].to_numpy()) / (STRENGTH + batch["n"].to_numpy())
+                    new |= {f"q0_{sample}": new["q0"], f"q1_{sample}": new["q1"], f"back_{sample}": back}
                 yield batch.assign(**new)
 
+        def seat_pairs(batches, sweep=sweep, sample=sample) -> Iterator[pd.DataFrame]:
+            logs = stirling_logs(pair_discount)
+            for batch in batches:
+                if batch.empty:
+                    continue
+                first = (batch["before"].iloc[0][:8].ljust(8, b"\0") + batch["word"].iloc[0][:8].ljust(8, b"\0"))
+                own = np.random.default_rng([seed, sweep, *np.frombuffer(first, np.uint32).tolist(), len(batch)])
+                t, c, q = (batch[x].to_numpy() for x in ("t", "c", "q"))
+                new = seat(c, (STRENGTH + pair_discount * (batch["tu"].to_numpy() - t)) * q, pair_discount * q, pair_discount, logs, own)
+                share = (c - pair_discount * t) / (STRENGTH + batch["n"].to_numpy()) / samples if sample >= 0 else 0.0
+                yield batch[["before", "word", "k", "c"]].assign(t=new, own=batch["own"].to_numpy() + share)
+
         state = stored(state.mapInPandas(live, state.schema), "seating")
-        sums = state.agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1"), F.sum("t").alias("t")).first().asDict()
-    mass = state.agg(F.sum("p0").alias("p0"), F.sum("p1").alias("p1")).first()
-    rest = [max(1e-12, 1 - (mass[f"p{k}"] or 0.0)) for k in CONTEXTS]
-    return state.select("word", c.alias("c"), "p0", "p1"), rest, sum(n), facts["v"]
+        beside = with_words(pairs, state.select("word", "q0", "q1"), "word", hot["word"])
+        beside = beside.withColumn("q", F.when(F.col("k") == 0, F.col("q0")).otherwise(F.col("q1"))).drop("q0", "q1")
+        beside = with_words(beside, state.select("word", "n", "tu"), "before", hot["before"])
+        pairs = stored(beside.mapInPandas(seat_pairs, "before binary, word binary, k int, c long, t long, own double"), "pairs")
+        if sweep + 1 < burn_in + samples:
+            state = with_sums(state.drop("c0", "c1", "tu"), "t", ["c0", "c1", "tu"])
+            state = state.withColumns({x: F.col(x) + F.col(f) for x, f in (("c0", "f0"), ("c1", "f1"), ("tu", "f"))})
+            # A restaurant that lost customers can't have more tables than it has left.
+            fitting = {x: F.least(f"c{x[1]}", F.greatest(x, F.least(f"c{x[1]}", one))) for x in ("t0", "t1")}
+            state = state.withColumns(fitting).withColumn("t", F.least(F.col("t0") + F.col("t1"), F.greatest("t", F.least(F.col("t0") + F.col("t1"), one))))
+            state = stored(state, "seating")
+    shares = [x for x in kept if x[0] == "q"]
+    mass = state.agg(*[F.sum(x).alias(x) for x in shares]).first()
+    rest = {x: max(1e-12, 1 - (mass[x] or 0.0)) for x in shares}
+    return Model(state.select("word", (F.col("n0") + F.col("n1")).alias("c"), "n", *kept), pairs.select("before", "word", "own"), rest, pair_discount, facts["n"] or 0, facts["v"])
 
 
 def language_model_scores(docs: DataFrame, burn_in: int = 1, samples: int = 2) -> DataFrame:
@@ -315,32 +402,53 @@ def language_model_scores(docs: DataFrame, burn_in: int = 1, samples: int = 2) -
     probability 1. Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
     table = stored(tokenised(docs), "tokens")
-    starts = F.expr("substring(word, 1, 1) = X'20'")
-    words = table.where("word is not null").select(
-        "block", "place", F.when(starts, F.lit(0)).otherwise(F.lit(1)).alias("context"),
-        F.when(starts, F.expr("substring(word, 2)")).otherwise(F.col("word")).alias("word"), "n",
+    words = table.where("word is not null and before is null").select("block", "code", "word", "n0", "n1", "n")
+    counts = words.groupBy("word").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "n")])
+    # A pair that one training token has and no held-out row is known to be single where it stands.
+    places = table.where("before is not null").select("before", "word", "block", "code", "n", "held_out").repartition("before", "word")
+    met = places.groupBy("before", "word").agg(
+        F.sum("n").alias("c"), F.max("held_out").alias("held"), F.collect_list(F.struct("block", "code")).alias("at")
     )
-    in_context = [F.sum(F.when(F.col("context") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in CONTEXTS]
-    counts = stored(words.groupBy("word").agg(*in_context), "word-counts")
-    known, rest, total, distinct = word_probabilities(counts, burn_in, samples)
-    own = F.when(F.col("context") == 0, F.coalesce("p0", F.lit(rest[0]))).otherwise(F.coalesce("p1", F.lit(rest[1])))
-    placed = words.join(known, "word", "left").select(
-        F.col("block").alias("owner"), "place", F.coalesce("c", F.lit(0)).alias("c"), own.alias("p")
+    met = stored(met.where("c > 1 or c = 1 and held").drop("held"), "pair-counts")
+    model = seatings(stored(counts, "word-counts"), met.where("c > 1").select("before", "word", "c"), burn_in, samples)
+    kept = [f"{x}_{i}" for i in range(samples) for x in ("q0", "q1", "back")]
+    values = [F.coalesce(x, F.lit(model.rest.get(x, 1.0))).alias(x) for x in kept]
+    none = F.lit(None).cast("double")
+    placed = words.drop("n0", "n1", "n").join(model.words, "word", "left").select(
+        F.col("block").alias("owner"), "code", F.expr("length(word) = 0 or substring(word, -1, 1) in (X'2E', X'21', X'3F')").alias("starts"),
+        F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("n", F.lit(0)).alias("n"), none.alias("own"), *values,
     )
-    texts = table.where("word is null").select("block", "doc_id", "held_out", "places", "times", "n")
-    bottom = total + 0.1 * (distinct + 1)
-
-
-    def of(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        size = int(words["place"].max()) + 1 if len(words) else 0
-        c, logs = np.zeros(size), np.zeros(size)
-        c[words["place"]] = words["c"]
-        logs[words["place"]] = np.log10(words["p"])
-        base = np.log10((c + 0.1) / bottom)
+    own = met.join(model.pairs, ["before", "word"], "left").select("c", "own", F.explode("at").alias("at"))
+    placed = placed.unionByName(own.select(
+        F.col("at.block").alias("owner"), F.col("at.code").alias("code"), F.lit(None).cast("boolean").alias("starts"), "c", F.lit(0).cast("long").alias("n"), "own",
+        *[none.alias(x) for x in kept],
+    ))
+    texts = table.where("word is null").select("block", "doc_id", "held_out", "places", "follow", "times", "n")
+    total, discount = model.tokens, model.discount
+    bottom = total + 0.1 * (model.distinct + 1)
+
+    def of(texts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if texts.empty:
+            return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        pairs = rows["starts"].isna()
+        words = rows[~pairs].sort_values("code")
+        pairs = rows[pairs].sort_values("code")
+        code, own = pairs["code"].to_numpy(np.int64), pairs["own"].to_numpy(float)
+        starts, c, n = words["starts"].to_numpy(bool), words["c"].to_numpy(), words["n"].to_numpy()
+        values = {x: words[x].to_numpy() for x in kept}
+        base, single = np.log10((c + 0.1) / bottom), (1 - discount) / (STRENGTH + n)
         out = []
         for row in texts.itertuples():
-            at, times = np.cumsum(unpacked_numbers(row.places)), unpacked_numbers(row.times).astype(float)
-            out.append((row.doc_id, row.held_out, row.n, int(times[c[at] > 0].sum()), total, times @ base[at], times @ logs[at]))
+            before, word, times = np.cumsum(unpacked_numbers(row.places)), unpacked_numbers(row.follow), unpacked_numbers(row.times).astype(float)
+            p = np.zeros(len(before)) if row.held_out else single[before]
+            if len(code):
+                at = np.minimum(np.searchsorted(code, before << 32 | word), len(code) - 1)
+                found = code[at] == before << 32 | word
+                p = np.where(found, np.where(np.isnan(own[at]), single[before], own[at]), p)
+            for i in range(samples):
+                q = np.where(starts[before], values[f"q0_{i}"][word], values[f"q1_{i}"][word])
+                p = p + values[f"back_{i}"][before] * q / samples
+            out.append((row.doc_id, row.held_out, row.n, int(times[c[word] > 0].sum()), total, times @ base[word], times @ np.log10(p)))
         frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return frame.astype({"doc_id": "Int64"})
 

@@ -82,3 +82,15 @@ def test_spelling_is_a_distribution():
     hit = model.codes[np.minimum(at, len(model.codes) - 1)] == start * 258 + first
     p[hit] += model.own[at[hit]]
     assert p.sum() == pytest.approx(1)
+
+
+def test_a_word_depends_on_the_word_before_it(spark):
+    # a is followed by b and c by d: the same words in either order, none at the start of a sentence.
+    rows = [(i, "x a b x c d x") for i in range(1, 400)]
+    ids = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows += [(ids[0], "x a b x c d x"), (ids[1], "x a d x c b x")]
+    got = {r.doc_id: r for r in language_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[ids[0]].base_score == pytest.approx(got[ids[1]].base_score)
+    assert got[ids[0]].score > got[ids[1]].score + 3
+    # Next words' probabilities: x goes on with a, c or the end, all others are sure.
+    assert got[ids[0]].score == pytest.approx(3 * math.log10(1 / 3), abs=0.1)
