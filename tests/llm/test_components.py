@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from pairloom.llm.common import forest
 from pairloom.llm.components import connected_components
@@ -23,3 +24,10 @@ def test_a_hub_with_many_links(spark):
     got = connected_components(links)
     assert got.where("component = 0").count() == 20_000
     assert got.where("component = 20000").count() == 500
+
+
+def test_rounds_that_run_out_are_an_error(spark):
+    chain = np.random.default_rng(9).permutation(3000)
+    links = spark.createDataFrame([(int(x), int(y)) for x, y in zip(chain[:-1], chain[1:])], "a long, b long").repartition(7)
+    with pytest.raises(RuntimeError):
+        connected_components(links, rounds=0)
