@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.storage import shared_dir, stored
 
-__all__ = ["byte_text", "crc_of_id", "forest", "in_blocks", "shared_dir", "stored"]
+__all__ = ["BYTE_PATTERN", "bounded_batches", "byte_characters", "byte_text", "crc_of_id", "forest", "in_blocks", "joined_small", "shared_dir", "sliced", "spread_join", "stored"]
+
+#: The pre-token pattern of byte-level vocabularies, a fixed value.
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Of whole texts, so many bytes and rows are worked on at once.
+SLICE_BYTES, SLICE_ROWS = 4_000_000, 512
+BATCH_BYTES = 8_000_000
+#: A side of a join that has at most so many rows is broadcast; rows of one key that a join keeps together.
+BROADCAST_ROWS, ROWS_TOGETHER = 200_000, 5_000
 
 
 def byte_text(column: str = "text") -> Column:
@@ -26,6 +37,55 @@ def in_blocks(size: Column, rows_per_block: int) -> Column:
     return F.ceil(size / F.lit(rows_per_block)).cast("int")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has the session hand texts to Python in batches of BATCH_BYTES, unless it was given a size of its own.
+
+    Spark's 64 MB are held twice by the executor and once by its worker, for each task.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about SLICE_BYTES, whatever the batches' own size; a slice has one row at least."""
+    for batch in batches:
+        rows = max(1, min(SLICE_ROWS, SLICE_BYTES * max(1, batch.num_rows) // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def joined_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``big`` joined to the stored table ``small``, which is broadcast if its count of rows allows that.
+
+    A larger one is joined through a shuffle, whose hot keys adaptive execution splits.
+    """
+    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return big.join(F.broadcast(small) if few else small, key, how)
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small`` (a row for each key); rows of a hot key are dealt by ``salt`` over several tasks.
+
+    A key is hot if over ROWS_TOGETHER rows of ``big``, a stored table, have it. There is at most one for
+    so many rows; that list is broadcast. Rows of ``small`` are repeated for the parts of their key.
+    """
+    hot = big.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS_TOGETHER)
+    hot = stored(hot.select(key, in_blocks(F.col("_n"), ROWS_TOGETHER).alias("_parts")), "hot-keys")
+    if not hot.limit(1).count():
+        return big.join(small, key, how)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt), parts).cast("int")).drop("_parts")
+    many = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(many, [key, "_salt"], how).drop("_salt")
+
+
+def byte_characters() -> dict[str, int]:
+    """The byte that each printable character of a byte-level vocabulary stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star forest of the graph with links ``a[i]`` - ``b[i]``.
 
