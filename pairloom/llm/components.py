@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import forest, stored
+from pairloom.llm.common import forest, spread_join, stored
 
 LINKS_IN_MEMORY = 200_000
 
@@ -52,9 +52,9 @@ def connected_components(links: DataFrame, name: str = "components", rounds: int
         contracted(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), name
     )
     for _ in range(rounds):
-        both = stars.union(stars.select("b", "a"))
+        both = stored(stars.union(stars.select("b", "a")), name)
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = spread_join(both.where("b > a"), least, "a", F.col("b")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = contracted(large.where("a <> b").distinct())
         small = large.groupBy("a").agg(F.min("b").alias("low"))
         moved = large.join(small, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))

@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import byte_text, forest, in_blocks, stored
+from pairloom.llm.common import bounded_batches, byte_text, forest, in_blocks, sliced, spread_join, stored
 from pairloom.llm.components import connected_components
 
-BLOCK = 1024
+BLOCK = 512
+#: Links that a comparison holds before it folds them.
+LINKS_HELD = 200_000
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
@@ -69,52 +71,54 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
     """(doc_id, fp long) of each row; a null text is empty and has fingerprint zero."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             values = [text_fingerprint(x.as_py(), words_per_shingle) for x in batch.column(1)]
             signed = np.array(values, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], ["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), byte_text().alias("data")).mapInArrow(
         of, "doc_id long, fp long"
     )
 
 
-def near_links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between values of equal adjacent keys, at ``radius`` or fewer differing bits."""
-    left, right = [], []
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    size = np.diff(np.append(start, len(keys)))
-    last = np.repeat(start + size, size)
-    at = np.flatnonzero(last - np.arange(len(keys)) > 1)
-    step = 1
-    while len(at):
-        near = np.bitwise_count(values[at] ^ values[at + step]) <= radius
-        left.append(at[near])
-        right.append(at[near] + step)
-        step += 1
-        at = at[at + step < last[at]]
-        if sum(map(len, left)) > 4_000_000:
-            node, root = forest(values[np.concatenate(left)], values[np.concatenate(right)])
-            return merged(node, root, *near_rest(values, at, last, step, radius))
-    if not left:
-        return values[:0], values[:0]
-    i, j = np.concatenate(left), np.concatenate(right)
-    return forest(values[i], values[j])
-
-
-def near_rest(values, at, last, step, radius) -> tuple[np.ndarray, np.ndarray]:
-    """The links of :func:`near_links` from ``step`` on, as a forest that is folded at each step."""
-    node, root = values[:0], values[:0]
-    while len(at):
-        near = np.bitwise_count(values[at] ^ values[at + step]) <= radius
-        node, root = merged(node, root, values[at[near]], values[at[near] + step])
-        step += 1
-        at = at[at + step < last[at]]
-    return node, root
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of bits that differ. Bits are counted unsigned: of a signed number, numpy counts those of its absolute value."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
+
 
+def near_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between ``values`` at ``radius`` or fewer differing bits.
 
-def merged(a, b, c, d) -> tuple[np.ndarray, np.ndarray]:
-    return forest(np.concatenate([a, c]), np.concatenate([b, d]))
+    Links are folded into the forest as they come, so no more than a few hundred thousand are held.
+    """
+    node, root = values[:0], values[:0]
+    left, right, held = [], [], 0
+    rows = max(1, LINKS_HELD // max(1, len(values)))
+    for at in range(0, len(values) - 1, rows):
+        some = values[at: at + rows]
+        i, j = np.nonzero(differing(some[:, None], values[None, at + 1:]) <= radius)
+        later = j >= i
+        left.append(some[i[later]])
+        right.append(values[at + 1 + j[later]])
+        held += len(left[-1])
+        if held > LINKS_HELD:
+            node, root = forest(np.concatenate([node, *left]), np.concatenate([root, *right]))
+            left, right, held = [], [], 0
+    return forest(np.concatenate([node, *left]), np.concatenate([root, *right]))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(g, fp) of the sorted rows of ``batches``, in runs that end where a group does."""
+    keys, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        keys, values = np.concatenate([keys, batch["g"].to_numpy()]), np.concatenate([values, batch["fp"].to_numpy()])
+        done = np.searchsorted(keys, keys[-1]) if len(keys) else 0
+        if done:
+            yield keys[:done], values[:done]
+            keys, values = keys[done:], values[done:]
+    if len(keys):
+        yield keys, values
 
 
 def fingerprint_links(values: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
@@ -138,17 +142,16 @@ def fingerprint_links(values: DataFrame, radius: int = 4, block: int = BLOCK) ->
     dealt = grouped.repartition("g").sortWithinPartitions("g", "fp")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame({"g": np.zeros(0, np.int64), "fp": np.zeros(0, np.int64)})
-        for batch in batches:
-            held = pd.concat([held, batch], ignore_index=True)
-            if held.empty or held["g"].iloc[0] == held["g"].iloc[-1]:
-                continue
-            done = held["g"] != held["g"].iloc[-1]
-            node, root = near_links(held.loc[done, "g"].to_numpy(), held.loc[done, "fp"].to_numpy(), radius)
-            held = held[~done]
-            yield pd.DataFrame({"a": node, "b": root})
-        node, root = near_links(held["g"].to_numpy(), held["fp"].to_numpy(), radius)
-        yield pd.DataFrame({"a": node, "b": root})
+        for group in whole_groups(batches):
+            bounds = np.flatnonzero(np.diff(group[0], prepend=group[0][0] - 1, append=group[0][-1] + 1))
+            sizes = np.diff(bounds)
+            # All pairs of adjacent groups of two are compared at once, larger groups one after the other.
+            two = bounds[:-1][sizes == 2]
+            near = differing(group[1][two], group[1][two + 1]) <= radius
+            yield pd.DataFrame({"a": group[1][two][near], "b": group[1][two + 1][near]})
+            for start, size in zip(bounds[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                node, root = near_links(group[1][start: start + size], radius)
+                yield pd.DataFrame({"a": node, "b": root})
 
     return dealt.mapInPandas(compare, "a long, b long")
 
@@ -171,6 +174,6 @@ def simhash_components(docs: DataFrame, radius: int = 4, words_per_shingle: int
     )
     lowest = tied.groupBy("component").agg(F.min("first").alias("component_id"))
     named = tied.join(lowest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    return spread_join(prints, named, "fp", F.coalesce("doc_id", F.lit(0))).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -63,11 +63,24 @@ def test_nulls_short_texts_repeats_and_extra_columns(spark):
 def test_blocks_of_a_hot_bucket_lose_no_link():
     rng = np.random.default_rng(3)
     base = int(rng.integers(1 << 62))
-    values = np.unique(np.array([base ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(400)], np.uint64).view(np.int64))
-    node, root = near_links(np.zeros(len(values), np.int64), values, 4)
-    i, j = np.where(np.bitwise_count(values[:, None] ^ values[None]) <= 4)
-    want = forest(values[i], values[j])
-    assert dict(zip(node, root)) == dict(zip(*want))
+    for count in (400, 2048):
+        values = np.unique(np.array([base ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(count)], np.uint64).view(np.int64))
+        node, root = near_links(values, 4)
+        plain = values.view(np.uint64)
+        i, j = np.where(np.bitwise_count(plain[:, None] ^ plain[None]) <= 4)
+        want = forest(values[i], values[j])
+        assert dict(zip(node, root)) == dict(zip(*want))
+
+
+def test_the_sign_bit_counts_as_one(spark):
+    from pairloom.llm.simhash import fingerprint_links
+
+    values = [1, -(1 << 63), -(1 << 63) + 6, -1, (1 << 63) - 1, 0x0F0F0F0F]
+    links = fingerprint_links(spark.createDataFrame([(v,) for v in values], "fp long"), 4).collect()
+    node, root = forest(np.array([r.a for r in links]), np.array([r.b for r in links]))
+    same = {n: int(r) for n, r in zip(node.tolist(), root.tolist())}
+    assert len({same.get(v, v) for v in values}) == 3
+    assert len({same.get(v, v) for v in values[:3]}) == len({same.get(v, v) for v in values[3:5]}) == 1
 
 
 def test_hot_groups_are_cut_into_blocks(spark):
