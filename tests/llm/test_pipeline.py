@@ -2,8 +2,8 @@ from collections import defaultdict
 
 import corpus_pipeline
 from pairloom.llm.secret_scan import base_spans
+from tests.llm.test_jaccard import plain_groups
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import plain_components
 
 
 def test_stages_against_brute_force(spark):
@@ -18,8 +18,7 @@ def test_stages_against_brute_force(spark):
         seen[name] = {r.doc_id: r for r in frame.collect()}
     accepted = seen["language_id"]
     assert len(accepted) >= 0.98 * len(rows) and all(accepted[i] == rows[i] for i in accepted)
-    groups = plain_components([(i, r.text) for i, r in accepted.items()])
-    assert set(seen["near_dedup"]) == {root for _, root in groups.values()}
+    assert set(seen["near_dedup"]) == plain_groups([(i, r.text) for i, r in accepted.items()])
     assert all(seen["near_dedup"][i] == rows[i] for i in seen["near_dedup"])
     clean = seen["secret_scan"]
     assert set(clean) == set(seen["near_dedup"])
