@@ -2,13 +2,12 @@
 
 A text is the average of the vectors of its words' character n-grams, which are hashed
 into a fixed number of buckets; a softmax over the average gives the language. Both are
-trained by stochastic gradient descent in numpy. A temperature and a rejection threshold
-are set on labelled rows that the descent didn't see.
+trained by stochastic gradient descent in numpy. A temperature is set on labelled rows that
+the descent didn't see, and a rejection threshold on the scores of all labelled rows.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.common import crc_of_id, stored
+from pairloom.llm.common import bounded_batches, crc_of_id, sliced, stored
 
 BUCKETS, SIZE, LONGEST = 1 << 14, 16, 4
 WORDS_HELD, CHARACTERS_AT_ONCE = 120_000, 1_000_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Steps of the scores' histogram that sets the rejection threshold.
+STEPS = 1000
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +43,11 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode's L); numerals such as ½, ² or Ⅷ are none."""
+    return any(map(str.isalpha, text))
+
+
 def text_buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that occur in the whole text, and how often."""
     words = Counter(text.lower().split())
@@ -97,7 +102,7 @@ class LanguageModel:
         while at < len(texts) and self.languages:
             split, size = {}, 0
             while at < len(texts) and size < CHARACTERS_AT_ONCE:
-                if texts[at] and LETTER.search(texts[at]):
+                if texts[at] and has_letter(texts[at]):
                     split[at] = texts[at].lower().split()
                     size += len(texts[at])
                 at += 1
@@ -148,11 +153,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate:
 
 
 def calibrate(model: LanguageModel, rows: list, share: list, truth: np.ndarray) -> None:
-    """The temperature of least log loss, and the score under which a prediction is likelier wrong than right.
-
-    The threshold is an even chance, lowered as far as needed to keep 99.9 % of the labelled rows
-    that the model gets right, so that rejection is for texts unlike all languages learnt.
-    """
+    """Sets the temperature of least log loss."""
     if not rows or len(model.languages) < 2:
         return
     table = model.table()
@@ -165,25 +166,51 @@ def calibrate(model: LanguageModel, rows: list, share: list, truth: np.ndarray)
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.clip(scores(t)[np.arange(len(z)), truth], 1e-12, 1)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
-    p = scores(model.temperature)
-    right = np.sort(p.max(1)[p.argmax(1) == truth])
-    lowest = float(right[int(0.001 * len(right))]) if len(right) else 0.0
-    model.reject_below = min(0.5, 0.95 * lowest)
 
 
-def fit_language_model(docs: DataFrame, per_language: int = 800) -> LanguageModel:
+def rejection_threshold(model: LanguageModel, clean: DataFrame, kept: float = 0.999) -> float:
+    """The score under which a prediction is rejected, from all rows of ``clean`` (lang, text).
+
+    Of the labelled rows that the model gets right, the share ``kept`` has the threshold's score and
+    a twentieth more at least, so rejection is for texts unlike all languages learnt.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, counts = model.table(), np.zeros(STEPS + 1, np.int64)
+        for batch in batches:
+            names, scores = model.predict(batch.column(1).to_pylist(), table)
+            right = np.array(names, object) == np.array(batch.column(0).to_pylist(), object)
+            counts += np.bincount((np.array(scores)[right] * STEPS).astype(int), minlength=STEPS + 1)
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["step", "n"])
+
+    # At most STEPS + 1 rows come to the driver.
+    rows = clean.select("lang", "text").mapInArrow(of, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
+    total, below = sum(r["n"] for r in rows), 0
+    for r in rows:
+        below += r["n"]
+        if below > (1 - kept) * total:
+            return 0.95 * r["step"] / STEPS
+    return 0.0
+
+
+def fit_language_model(docs: DataFrame, per_language: int = 800, most_languages: int = 2000) -> LanguageModel:
     """The model of the labelled rows of ``docs``; its caller leaves out what may not be learnt from.
 
     About ``per_language`` rows of each language are fetched, as bucket counts (at most
     ``BUCKETS`` a row) and not as texts: those under a hash threshold that the language's
-    exact count sets, so the sample depends on no order of rows. Null languages and texts
-    without a letter teach nothing.
+    exact count sets, so the sample depends on no order of rows. The rejection threshold is
+    set on all labelled rows. Null languages and texts without a letter teach nothing. Over
+    ``most_languages`` distinct languages are an error: lang then isn't a language.
     """
+    bounded_batches(docs.sparkSession)
     clean = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     # One number for each language comes to the driver, where each has up to per_language rows anyway.
-    sizes = [(r["lang"], r["n"]) for r in clean.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    sizes = [(r["lang"], r["n"]) for r in clean.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()]
     if not sizes:
         return train([])
+    if len(sizes) > most_languages:
+        raise ValueError(f"lang has over {most_languages} distinct values")
     share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, per_language / n)])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
     few = clean.where(draw < share[F.col("lang")]).select("lang", "text")
@@ -192,7 +219,7 @@ def fit_language_model(docs: DataFrame, per_language: int = 800) -> LanguageMode
         for batch in batches:
             out: dict[str, list] = {"lang": [], "buckets": [], "counts": []}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if LETTER.search(text):
+                if has_letter(text):
                     buckets, counts = text_buckets(text)
                     out["lang"].append(lang)
                     out["buckets"].append(buckets.astype(np.uint16).tobytes())
@@ -204,7 +231,9 @@ def fit_language_model(docs: DataFrame, per_language: int = 800) -> LanguageMode
 
     found = stored(few.mapInArrow(of, "lang string, buckets binary, counts binary"), "language-sample").collect()
     rows = [(r["lang"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in found]
-    return train(sorted(rows, key=lambda r: (r[0], r[1].tobytes())))
+    model = train(sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
+    model.reject_below = rejection_threshold(model, clean)
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -215,12 +244,13 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     language, and are rejected if its calibrated score is under the model's threshold. Rows
     and other columns pass unchanged, except columns of these three names, which are replaced.
     """
+    bounded_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rejected")]
     own = docs.select(*names)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch in batches:
+        for batch in sliced(batches):
             pred, score = model.predict(batch.column(names.index("text")).to_pylist(), table)
             rejected = [p == "und" or s < model.reject_below for p, s in zip(pred, score)]
             yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,9 @@
 import zlib
 
-from pairloom.llm.language_id import LONGEST, fit_language_model, identify, language_predictions, subwords, text_buckets
+import numpy as np
+import pytest
+
+from pairloom.llm.language_id import LONGEST, fit_language_model, has_letter, identify, language_predictions, subwords, text_buckets
 
 
 def test_held_out_accuracy(spark):
@@ -36,3 +39,42 @@ def test_nulls_unlabelled_and_extra_columns(spark):
     assert language_predictions(blank).count() == 0
     nothing = identify(docs, fit_language_model(blank)).select("lang_pred").distinct().collect()
     assert [r.lang_pred for r in nothing] == ["und"]
+
+
+def test_numerals_are_no_letters(spark):
+    assert not any(map(has_letter, ("½", "²", "Ⅷ", "①", "12 3.", "_-", ""))) and all(map(has_letter, ("ß", "é", "日", "1a")))
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("½ ² Ⅷ", "en")] * 30)]
+    rows += [(100, "½", None), (101, "² Ⅷ ①", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == got[2] == ("und", 0.0)
+
+
+def test_predictions_equal_plain_averages_of_ngram_vectors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit_language_model(docs)
+    for r in identify(docs, model).collect():
+        total, n = np.zeros(model.embedding.shape[1]), 0
+        for word in (r.text or "").lower().split():
+            for bucket in subwords([word])[0]:
+                total, n = total + model.embedding[bucket], n + 1
+        if not has_letter(r.text or ""):
+            assert r.lang_pred == "und"
+            continue
+        z = total / n @ model.weight / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_score == pytest.approx(p.max()) and r.lang_pred == model.languages[int(p.argmax())]
+        assert r.lang_rejected == (r.lang_score < model.reject_below)
+
+
+def test_a_language_left_out_is_rejected_more_often(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    left_out = sorted(r.lang for r in docs.select("lang").distinct().collect())[0]
+    shown = identify(docs, fit_language_model(docs.where(docs["lang"] != left_out)))
+    rejected = {r.own: r.n for r in shown.selectExpr(f"lang = '{left_out}' as own", "cast(lang_rejected as double) as x").groupBy("own").avg("x").withColumnRenamed("avg(x)", "n").collect()}
+    assert rejected[False] < 0.005 and rejected[True] > 0.1
+
+
+def test_ties_and_equal_texts(spark):
+    rows = [(i, "la la la", "aa" if i % 2 else "bb") for i in range(40)]
+    got = language_predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len({(r.lang_pred, r.score) for r in got}) == 1 and got[0].lang_pred in ("aa", "bb")
