@@ -3,14 +3,15 @@
 The patterns label findings. A bounded sample of findings and of candidates that no
 pattern supports trains the network; half of the training rows hide their context, so
 that a bare secret is known by its look. Scores are calibrated on rows that the training
-didn't see, and each shape of candidate gets the highest threshold that keeps the wanted
-recall there. Every candidate of every whole text is then scored.
+didn't see; each shape of candidate gets the highest threshold that keeps the wanted share
+of all labelled findings. Every candidate of every whole text is then scored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import stored
+from pairloom.llm.common import bounded_batches, sliced, stored
 
 #: The base patterns and their order in results.
 ASSIGN = re.compile(
@@ -29,7 +30,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+DIGIT, MIXED = re.compile("[0-9]"), re.compile("[a-z][A-Z]")
 HEX_SHAPE = re.compile(r"[0-9a-fA-F]+")
 
 BEFORE, INSIDE, AFTER = 24, 48, 8
@@ -37,6 +40,9 @@ WIDTH = BEFORE + INSIDE + AFTER
 SYMBOLS = 98
 #: A small sample is passed over more often, to take so many steps.
 STEPS = 500
+#: Log-odds are counted from -LIMIT to LIMIT in steps.
+LIMIT, PER_UNIT = 30, 100
+STEPS_OF_ODDS = 2 * LIMIT * PER_UNIT
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,11 +58,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs that might be secrets: 12 or more characters with a digit, or 20 or more of any kind."""
+    """Runs that might be secrets: 8 or more characters with a digit or with a capital after a small letter, or 20 or more of any kind."""
     found = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if len(run) >= 20 or not run.isalpha() and any(c in run for c in "0123456789"):
+        if len(run) >= 20 or DIGIT.search(run) or MIXED.search(run):
             found.append(m.span())
     return found
 
@@ -113,7 +119,7 @@ class CharacterCNN:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(rows) + self.shift, -30, 30)))
 
 
-def train_cnn(rows: np.ndarray, truth: np.ndarray, hexes: np.ndarray, recall: float, epochs: int = 12, seed: int = 5) -> CharacterCNN:
+def train_cnn(rows: np.ndarray, truth: np.ndarray, epochs: int = 12, seed: int = 5) -> CharacterCNN:
     """Fits the network with Adam on three quarters of the rows and calibrates it on the rest."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
@@ -161,40 +167,81 @@ def train_cnn(rows: np.ndarray, truth: np.ndarray, hexes: np.ndarray, recall: fl
         scale = max(1.0, float(np.abs(logit).max(initial=1)))
         net.slope = float(max(1e-3, net.slope - 0.5 / scale**2 * (error * logit).mean()))
         net.shift -= 0.5 * float(error.mean())
-    p = net.probability(rows[held])
-    cuts = []
-    for shape in (False, True):
-        cuts.append(threshold(p[(y == 1) & (hexes[held] == shape)], p[(y == 0) & (hexes[held] == shape)], recall))
-    net.thresholds = cuts[0], cuts[1]
     return net
 
 
 def threshold(right: np.ndarray, wrong: np.ndarray, recall: float) -> float:
-    """The cut that keeps ``recall`` of the findings' probabilities, put midway (in log-odds) to the
-    likeliest other candidate below it; an even chance where a shape has no labelled finding."""
-    if not len(right):
+    """The cut that keeps ``recall`` of the findings, put midway to the likeliest other candidate below it.
+
+    ``right`` and ``wrong`` count findings and others by steps of log-odds; the cut is a
+    probability, and an even chance where a shape has no labelled finding.
+    """
+    if not right.sum():
         return 0.5
-    cut = np.sort(right)[int((1 - recall) * len(right))]
-    below = wrong[wrong < cut].max(initial=1e-6)
-    odds = np.sqrt(cut / (1 - cut + 1e-12) * below / (1 - below))
-    return float(odds / (1 + odds))
+    cut = int(np.searchsorted(np.cumsum(right), (1 - recall) * right.sum(), "right"))
+    below = np.flatnonzero(wrong[:cut])
+    odds = (cut + (below[-1] + 1 if len(below) else 0)) / 2 / PER_UNIT - LIMIT
+    return float(1 / (1 + np.exp(-odds)))
+
+
+def with_thresholds(net: CharacterCNN, views: DataFrame, recall: float) -> CharacterCNN:
+    """``net`` with the thresholds of each shape, from all labelled ``views`` (truth, hex, view, n)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 2, STEPS_OF_ODDS), np.int64)
+        for batch in batches:
+            seen = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, WIDTH)
+            p = np.clip(net.probability(seen), 1e-12, 1 - 1e-12)
+            step = np.clip((np.log(p / (1 - p)) + LIMIT) * PER_UNIT, 0, STEPS_OF_ODDS - 1).astype(int)
+            np.add.at(counts, (batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(int), step), batch.column(3).to_numpy())
+        truth, shape, step = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (truth, shape, step, counts[truth, shape, step])], names=["truth", "hex", "step", "n"])
+
+    # At most 4 * STEPS_OF_ODDS rows come to the driver.
+    rows = views.select("truth", "hex", "view", "n").mapInArrow(of, "truth long, hex long, step long, n long")
+    counts = np.zeros((2, 2, STEPS_OF_ODDS), np.int64)
+    for r in rows.groupBy("truth", "hex", "step").agg(F.sum("n").alias("n")).collect():
+        counts[r["truth"], r["hex"], r["step"]] = r["n"]
+    net.thresholds = tuple(threshold(counts[1, shape], counts[0, shape], recall) for shape in (0, 1))
+    return net
+
+
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of ``spans``, in order."""
+    starts, ends = [], []
+    for start, _, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
 
 
-def overlaps(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, _, e in spans)
+def overlaps(union: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether the stretch touches a part of the union."""
+    at = bisect_right(union[1], start)
+    return at < len(union[0]) and union[0][at] < end
+
+
+def covers(union: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether one part of the union holds the whole stretch."""
+    at = bisect_right(union[0], start) - 1
+    return at >= 0 and union[1][at] >= end
 
 
 def labelled(docs: DataFrame) -> DataFrame:
     """(order, truth, hex, view) of every finding and every unsupported candidate of ``docs``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             orders, truths, shapes, views = [], [], [], []
             for text in batch.column(0).to_pylist():
                 text = text or ""
                 base = base_spans(text)
+                union = merged(base)
                 rows = [(s, e, 1) for s, _, e in base]
-                rows += [(s, e, 0) for s, e in candidates(text) if not overlaps(base, s, e)]
+                rows += [(s, e, 0) for s, e in candidates(text) if not overlaps(union, s, e)]
                 for start, end, truth in rows:
                     if truth and (m := ASSIGN.match(text, start)):
                         start = m.start(2)
@@ -208,6 +255,7 @@ def labelled(docs: DataFrame) -> DataFrame:
                 ["order", "truth", "hex", "view"],
             )
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("text").cast("string")).mapInArrow(of, "order string, truth int, hex boolean, view binary")
 
 
@@ -216,18 +264,17 @@ def fit_secret_model(docs: DataFrame, sample: int = 3000, recall: float = 0.95)
 
     ``sample`` bounds the labelled rows of either class that are fetched: those of the
     smallest hash of what the network sees, once each, so the choice depends on no order
-    of rows. ``recall`` is the share of labelled findings that the thresholds keep.
+    of rows. ``recall`` is the share of all labelled findings that the thresholds keep.
     """
-    views = stored(
-        labelled(docs).groupBy("order", "truth").agg(F.min("hex").alias("hex"), F.min("view").alias("view")), "secret-views"
-    )
+    same = labelled(docs).groupBy("order", "truth").agg(F.min("hex").alias("hex"), F.min("view").alias("view"), F.count("*").alias("n"))
+    views = stored(same, "secret-views")
     fetched = [views.where(F.col("truth") == y).orderBy("order").limit(sample) for y in (0, 1)]
     rows = fetched[0].union(fetched[1]).collect()
     truth = np.array([r["truth"] for r in rows], float)
     if not len(truth) or truth.min() == truth.max():
         return None
     seen = np.frombuffer(b"".join(bytes(r["view"]) for r in rows), np.uint8).reshape(-1, WIDTH)
-    return train_cnn(seen, truth, np.array([r["hex"] for r in rows]), recall)
+    return with_thresholds(train_cnn(seen, truth), views, recall)
 
 
 def all_spans(texts: list[str], net: CharacterCNN | None) -> Iterator[tuple[list, list]]:
@@ -238,15 +285,18 @@ def all_spans(texts: list[str], net: CharacterCNN | None) -> Iterator[tuple[list
         return
     owner, places, shapes, views = [], [], [], []
     for n, text in enumerate(texts):
+        union = merged(bases[n])
         for start, end in candidates(text):
-            if not overlaps(bases[n], start, end):
+            if not covers(union, start, end):
                 for view in windows(text, start, end):
                     owner.append(n)
                     places.append((start, end))
                     shapes.append(bool(HEX_SHAPE.fullmatch(text, start, end)))
                     views.append(view)
-    seen = np.frombuffer(b"".join(views), np.uint8).reshape(-1, WIDTH)
-    taken = net.probability(seen) >= np.where(np.array(shapes, bool), net.thresholds[1], net.thresholds[0])
+    each = dict.fromkeys(views)
+    seen = np.frombuffer(b"".join(each), np.uint8).reshape(-1, WIDTH)
+    each = dict(zip(each, net.probability(seen).tolist()))
+    taken = np.array([each[v] for v in views]) >= np.where(np.array(shapes, bool), net.thresholds[1], net.thresholds[0])
     added: list[set] = [set() for _ in texts]
     for i in np.flatnonzero(taken):
         added[owner[i]].add((places[i][0], 3, places[i][1]))
@@ -259,12 +309,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def on_texts(docs: DataFrame, schema: str, of: Callable[[pa.RecordBatch], list]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                columns = of(part)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        for part in sliced(batches):
+            columns = of(part)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -272,8 +321,8 @@ def secret_spans(docs: DataFrame, net: CharacterCNN | None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model) of each row.
 
     Spans are ``kind:start:end`` in code points, by start and then kind. A null text is
-    empty and has none; a candidate that overlaps a base span isn't added again. Repeated
-    rows stay; other columns are ignored; an empty table gives no rows.
+    empty and has none; a candidate that lies within base spans isn't added again, one that
+    goes beyond them is scored as a whole. Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
 
     def of(part: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -294,9 +343,21 @@ def secret_spans(docs: DataFrame, net: CharacterCNN | None) -> DataFrame:
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """``text`` with every span replaced by its kind; spans that overlap become one."""
+    """``text`` with every span replaced by its kind.
+
+    A span grows to the ends of the runs that it begins and ends in, so that no rest of a secret stays;
+    spans that overlap or touch become one, of the first one's kind.
+    """
     out, at = [], 0
+    runs = [m.span() for m in RUN.finditer(text)] if spans else []
+    begins = [b for b, _ in runs]
+
+    def run_of(place: int) -> tuple[int, int]:
+        n = bisect_right(begins, place) - 1
+        return runs[n] if n >= 0 and place < runs[n][1] else (place, place + 1)
+
     for start, kind, end in spans:
+        start, end = (start if KINDS[kind] == "assign" else run_of(start)[0]), max(end, run_of(end - 1)[1])
         if start >= at:
             out += [text[at:start], f"[{KINDS[kind]}]"]
         at = max(at, end)
@@ -304,7 +365,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact_secrets(docs: DataFrame, net: CharacterCNN | None) -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``[kind]``, and n_chars counted anew.
+    """``docs`` with every span of its texts, and what else its run has, replaced by ``[kind]``, and n_chars counted anew.
 
     A null text stays null and keeps its n_chars; every other column passes unchanged.
     """
