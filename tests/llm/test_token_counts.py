@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,7 +32,9 @@ def test_edits_equal_a_new_count(text, edits, leaf):
             text = text[:at] + new + text[at + gone :]
             assert counted.text == text
             assert counted.tokens == whole(text)
-            assert counted.tree.total()[0] == len(text)
+            assert counted.chars == len(text)
+            counted = tc.CountedText(text, COUNTER, counted.kept())
+            assert counted.tokens == whole(text)
     finally:
         tc.LEAF = old
 
@@ -66,3 +69,38 @@ def test_nulls_empties_repeats(spark):
     assert sorted(((r.doc_id, r.n_tokens, r.edited_tokens) for r in got), key=key) == sorted(((i, whole(t or ""), whole(t or "")) for i, t in rows), key=key)
     assert tc.edit_token_counts(docs, tc.sample_edits(F.col("text")), PATH).count() == len(rows)
     assert tc.edit_token_counts(docs.where("false"), tc.sample_edits(F.col("text")), PATH).count() == 0
+
+
+def test_an_edit_makes_few_nodes():
+    text = "the cat sat on a mat, and it's 12 years old.\n" * 20_000
+    counted = tc.CountedText(text, COUNTER)
+    leaves = counted.tree.leaves
+    assert leaves > 3000
+    for n in range(300):
+        made, at = tc.Node.made, (n * 7919) % len(counted.text)
+        counted.edit(at, at + (60 if n % 3 == 0 else 0), "" if n % 3 == 0 else " one two three four five six seven")
+        assert tc.Node.made - made <= 8 * 12
+    assert counted.tokens == whole(counted.text)
+    sizes = [len(a) for a, _ in tc.leaves_from(counted.tree, 0)]
+    assert max(sizes) <= 2 * tc.LEAF and counted.tree.height <= 1.5 * np.log2(len(sizes)) + 2
+
+
+def test_kept_trees_are_edited_again(spark):
+    rows = [(1, "a b c " * 500, None), (2, None, None), (2, "", None), (None, "it's " * 2000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tree binary")
+    none = F.lit(None).cast("array<struct<at:int,gone:int,new:string>>")
+    made = tc.edit_kept_trees(docs, none, PATH)
+    once = tc.edit_kept_trees(made.drop("n_tokens"), tc.sample_edits(F.col("text")), PATH)
+    twice = tc.edit_kept_trees(once, tc.sample_edits(F.col("text")), PATH).collect()
+    assert len(twice) == 4
+    for r in twice:
+        assert r.edited_tokens == whole(r.text) and r.edited_chars == len(r.text) and r.encoded_chars <= max(len(r.text), 3000)
+    again = {(r.doc_id, r.text): r.n_tokens for r in once.collect()}
+    assert all(n >= 0 for n in again.values())
+
+
+def test_one_very_long_word(spark):
+    text = "x" * 1_000_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = tc.edit_token_counts(docs, tc.sample_edits(F.col("text")), PATH).first()
+    assert got.n_tokens == whole(text)
