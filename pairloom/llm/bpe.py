@@ -5,12 +5,14 @@ of each part with the next one. The smallest rank is looked for, the leftmost of
 its boundary is deleted from the arrays, and the two neighbouring ranks are looked up anew.
 Words are short, so scanning a contiguous array beats a heap or a linked list. Words of
 one length are rows of one matrix: every step shortens all rows by one boundary, and rows
-without a rank left are done.
+without a rank left are done. Runs of over LONGEST_SHORT letters, for which scans would cost the
+square of their length, merge in the same order by a heap over linked boundaries.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from pairloom.llm.common import bounded_batches, sliced
+
 #: The splitter's pattern for ASCII, and the white space that the vocabulary's file knows.
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -31,6 +35,8 @@ NO_RANK = 1 << 30
 #: Bounds of a worker's memory: remembered words and runs, matrix cells and characters worked on at once.
 WORDS_HELD, CHUNKS_HELD = 300_000, 400_000
 CELLS, CHARACTERS_AT_ONCE = 400_000, 4_000_000
+#: Longer words are neither scanned nor remembered.
+LONGEST_SHORT = 256
 
 
 class RankArrayBPE:
@@ -55,6 +61,7 @@ class RankArrayBPE:
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([m for _, _, m in pairs], np.int32)
+        self.pair_ranks = dict(zip(keys.tolist(), range(len(pairs))))
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.letters = {c: vocabulary[c] for c in vocabulary if len(c) == 1}
@@ -64,6 +71,7 @@ class RankArrayBPE:
         self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.words: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.long: list[str] = []
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge, or NO_RANK."""
@@ -76,7 +84,10 @@ class RankArrayBPE:
         found: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         by_length: dict[int, list[int]] = {}
         for n, word in enumerate(words):
-            by_length.setdefault(len(word), []).append(n)
+            if len(word) > LONGEST_SHORT:
+                found[n] = self.merge_long([*map(self.letters.__getitem__, word[:-1]), self.last_letters[word[-1]]])
+            else:
+                by_length.setdefault(len(word), []).append(n)
         for length, members in by_length.items():
             rows_at_once = max(1, CELLS // length)
             for at in range(0, len(members), rows_at_once):
@@ -120,6 +131,35 @@ class RankArrayBPE:
             row, col = every[inner], at[inner]
             ranks[row, col] = self.rank(parts[row, col], parts[row, col + 1])
 
+    def merge_long(self, parts: list[int]) -> np.ndarray:
+        """The ids of one long word: the least rank first, the leftmost of equals."""
+        size = len(parts)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        first = self.rank(np.array(parts[:-1]), np.array(parts[1:]))
+        heap = [(rank, n, parts[n], parts[n + 1]) for n, rank in enumerate(first.tolist()) if rank != NO_RANK]
+        heapq.heapify(heap)
+
+        def push(n: int) -> None:
+            if n >= 0 and after[n] < size:
+                a, b = parts[n], parts[after[n]]
+                rank = self.pair_ranks.get(a * self.size + b)
+                if rank is not None:
+                    heapq.heappush(heap, (rank, n, a, b))
+
+        while heap:
+            rank, n, a, b = heapq.heappop(heap)
+            m = after[n]
+            # An entry is of no use if either part has merged since.
+            if parts[n] != a or m >= size or parts[m] != b:
+                continue
+            parts[n], parts[m] = int(self.merged[rank]), -1
+            after[n] = after[m]
+            if after[m] < size:
+                before[after[m]] = n
+            push(before[n])
+            push(n)
+        return np.array([p for p in parts if p >= 0], np.int32)
+
     def split(self, chunk: str) -> list[str]:
         """The words, in byte-level characters, of a run without white space."""
         if chunk.isascii() and chunk.isprintable():
@@ -130,8 +170,13 @@ class RankArrayBPE:
         """Encodes the runs that aren't remembered."""
         if len(self.chunks) > CHUNKS_HELD or len(self.words) > WORDS_HELD:
             self.chunks, self.words = {}, {}
+        for held in (self.chunks, self.words):
+            for long in self.long:
+                held.pop(long, None)
+        self.long = [chunk for chunk in chunks if len(chunk) > LONGEST_SHORT]
         split = {chunk: self.split(chunk) for chunk in chunks if chunk not in self.chunks}
         fresh = list({word for words in split.values() for word in words if word not in self.words})
+        self.long += [word for word in fresh if len(word) > LONGEST_SHORT]
         for word, ids in zip(fresh, self.encode_words(fresh)):
             self.words[word] = ids.astype("<u4").tobytes(), " ".join([self.tokens[i] for i in ids.tolist()])
         for chunk, words in split.items():
@@ -187,12 +232,15 @@ def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     ``vocabulary`` is the path of a word-end BPE file that every executor has. A null text
     is empty: no tokens, and the digests of nothing. Repeated rows stay; other columns are
     ignored; an empty table gives no rows. Each run between white space is encoded once
-    while a worker remembers it, so a very long text costs its distinct runs.
+    while a worker remembers it, so a very long text costs its distinct runs, and a very long run
+    its length times the logarithm of it.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, ids_digest, text_digest = [], [], []
             for found in bpe.pieces([x or "" for x in batch.column(1).to_pylist()]):
                 pieces = [p for p in found if p[0]]

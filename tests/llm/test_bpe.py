@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -56,3 +57,17 @@ def test_nulls_empties_repeats_and_extra_columns(spark):
     assert bpe_digests(docs.where("false"), PATH).count() == 0
     back = {r.doc_id: r.text for r in bpe_decode(bpe_encode(docs, PATH), PATH).collect()}
     assert back[12] == LIBRARY.decode(LIBRARY.encode(CASES[2], add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_one_very_long_word_equals_the_library():
+    rng = np.random.default_rng(2)
+    word = "".join(rng.choice(list("etaoinshr"), 1_000_000).tolist())
+    began = time.perf_counter()
+    got = OWN.encode(word)
+    assert time.perf_counter() - began < 60
+    assert got == LIBRARY.encode(word, add_special_tokens=False).ids
+    for size in (255, 256, 257, 258, 5000):
+        for text in (word[:size], "a" * size, "日本" * size):
+            assert OWN.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    OWN.encode("short")
+    assert max(map(len, [*OWN.chunks, *OWN.words])) <= 258
