@@ -15,9 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import stored
-
-LONGEST_WORD = 24
+from pairloom.llm.common import joined_small, stored
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -42,7 +40,7 @@ def page_words(pages: DataFrame) -> DataFrame:
     """(word, n): the words of all pages' text, without tags, counted."""
     text = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " "))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word"))
-    return words.where(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    return words.where(F.length("word") > 0).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(name: str, candidates: list[tuple[int, int, int]], total: int) -> list[str]:
@@ -72,13 +70,21 @@ def best_split(name: str, candidates: list[tuple[int, int, int]], total: int) ->
 
 
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
-    """(name, words array<string>) of each distinct name, split by the unigram counts (word, n)."""
-    total = words.agg(F.sum("n").alias("n")).first()["n"] or 2
+    """(name, words array<string>) of each distinct name, split by the unigram counts (word, n).
+
+    Only substrings of the lengths that counted words have are looked up. The driver fetches those
+    lengths up to the longest name's.
+    """
     size = F.length("name")
-    ends = F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), size - F.col("start")))
-    places = names.where(size >= 2).withColumn("start", F.explode(F.sequence(F.lit(0), size - 2)))
-    parts = places.withColumn("length", F.explode(ends)).withColumn("word", F.substring("name", F.col("start") + 1, F.col("length")))
-    met = parts.join(words, "word").groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("met"))
+    names = stored(names, "names")
+    longest = names.agg(F.max(size).alias("n")).first()["n"] or 0
+    total = words.agg(F.sum("n").alias("n")).first()["n"] or 2
+    met_lengths = words.select(F.length("word").alias("n")).where(F.col("n") <= longest).distinct().collect()
+    lengths = F.array(*[F.lit(n) for n in sorted(r["n"] for r in met_lengths)]).cast("array<int>")
+    places = names.withColumn("start", F.explode(F.sequence(F.lit(0), size - 1)))
+    parts = places.withColumn("length", F.explode(F.filter(lengths, lambda n: n <= size - F.col("start"))))
+    parts = parts.withColumn("word", F.substring("name", F.col("start") + 1, F.col("length")))
+    met = joined_small(parts, words, "word").groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("met"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,13 +144,13 @@ def judged_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Data
         named = hosts.withColumn("name", F.explode(F.filter(F.split("host", r"[^\p{L}\p{N}]+"), lambda x: x != "")))
         words = stored(page_words(own), "page-words")
         split = segmented(named.select("name").distinct(), words)
-        host_tokens = stored(named.join(split, "name").withColumn("token", F.explode("words")).drop("words", "name"), "host-tokens")
+        host_tokens = stored(joined_small(named, stored(split, "split-names"), "name").withColumn("token", F.explode("words")).drop("words", "name"), "host-tokens")
         of_path = urls.withColumn("token", F.explode(path_tokens(F.col("path")))).select("url", "token", "allow", "block")
         weights = stored(token_weights(host_tokens.select("token", "allow", "block").union(of_path.select("token", "allow", "block"))), "url-weights")
-        by_host = host_tokens.join(weights, "token").groupBy("host").agg(F.sum("weight").alias("host_score"))
-        by_path = of_path.join(weights, "token").groupBy("url").agg(F.sum("weight").alias("path_score"))
+        by_host = joined_small(host_tokens, weights, "token").groupBy("host").agg(F.sum("weight").alias("host_score"))
+        by_path = joined_small(of_path, weights, "token").groupBy("url").agg(F.sum("weight").alias("path_score"))
         score = F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)) + math.log(block / allow)
-        plain = urls.join(by_host, "host", "left").join(by_path, "url", "left").withColumn("score", score)
+        plain = joined_small(urls, stored(by_host, "host-scores"), "host", "left").join(by_path, "url", "left").withColumn("score", score)
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow")))
     judged = plain.select("url", "host", "path", "rule", verdict.alias("verdict"), "score")
     return own.select("page_id", url.alias("url")).join(judged, "url").select("page_id", "host", "path", "rule", "verdict", "score")

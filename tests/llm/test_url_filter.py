@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from pairloom.llm.queries import URL_RULES
-from pairloom.llm.url_filter import best_split, judged_urls
+from pairloom.llm.url_filter import best_split, judged_urls, segmented
 
 
 def plain_parts(url):
@@ -25,7 +25,7 @@ def plain_rule(host, path):
 
 def plain_judge(rows):
     """{page_id: (host, path, rule, verdict)} by naive Bayes over all splits tried one by one."""
-    counts = Counter(w for _, _, html in rows for w in re.split(r"[\W\d_]+", re.sub(r"<[^>]*>", " ", html or "").lower()) if 2 <= len(w) <= 24)
+    counts = Counter(w for _, _, html in rows for w in re.split(r"[\W\d_]+", re.sub(r"<[^>]*>", " ", html or "").lower()) if w)
     total = sum(counts.values()) or 2
 
     def cost(words):
@@ -94,3 +94,15 @@ def test_odd_urls(spark):
 def test_split():
     assert best_split("thecatxq", [(0, 3, 50), (3, 3, 20), (0, 2, 1), (1, 2, 1)], 100) == ["the", "cat", "xq"]
     assert best_split("", [], 10) == []
+
+
+def test_words_of_any_length_are_known(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    urls = [f"http://x{long}shop.org/a", "http://shop.com/de/b", f"http://{long}.net/c", "http://" + "ab" * 2000 + ".net/" + "d" * 50_000]
+    html = f"<p>{long} shop shop x</p>"
+    pages = spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in judged_urls(pages, URL_RULES).collect()}
+    assert len(got) == 4 and len(got[3].path) == 50_001
+    names = spark.createDataFrame([(f"x{long}shop",), ("q",)], "name string")
+    words = spark.createDataFrame([(long, 1), ("shop", 2), ("x", 1)], "word string, n long")
+    assert {r.name: r.words for r in segmented(names, words).collect()} == {f"x{long}shop": ["x", long, "shop"], "q": ["q"]}
