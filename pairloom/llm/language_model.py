@@ -1,48 +1,47 @@
-"""LM scoring by a hierarchical Pitman-Yor model of words in context and of their spelling.
+"""LM scoring by a hierarchical Pitman-Yor model of words after words and of their spelling.
 
-A token is drawn from the restaurant of the word before it. The tables of these restaurants are the
-customers of two others: one for words before which a sentence starts, one for all others. Both
-share a parent, the restaurant of words without context, which seats their tables. A new table's
-dish is spelled out: each byte comes from the restaurant of its two preceding bytes, which
-shares its parent, that of one preceding byte, with all contexts of the same end; that
-parent's parent is the restaurant without context, and its base is uniform. Tables of the
-words' restaurant are the customers of the spelling restaurants.
+A token is drawn from the restaurant of the word before it. All these restaurants share a parent,
+that of words without context, which seats their tables as its customers. A new table's dish there
+is spelled out: each byte comes from the restaurant of its two preceding bytes, which shares its
+parent, that of one preceding byte, with all contexts of the same end; that parent's parent is
+the restaurant without context, and its base is uniform. The tables of the words' restaurant are the
+customers of the spelling restaurants. So every text has a probability, known words or not.
 
 Seatings are sampled by Gibbs: each dish's customers are taken out and seated again given all
-others. Predictive probabilities are averaged over the seatings after the burn-in. A token that
-the training never had is one outcome, whose probability is what the known words leave.
+others. The restaurants of one level are seated side by side, given the tables that the others had
+before the sweep. Predictive probabilities are averaged over the seatings after the burn-in.
+
+Pairs of words are dealt by hash into shards of a bounded number of tokens, packed as arrays, so a
+sweep reads each shard once; only sums by word travel between shards and words.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import byte_text, crc_of_id, in_blocks, stored
+from pairloom.llm.common import bounded_batches, byte_text, crc_of_id, sliced, stored
 
 #: 256 bytes and the end of a word; START stands for the place before a word.
 END, START, SYMBOLS = 256, 257, 258
-BLOCK_BYTES = 32_000_000
-#: Last bytes of a token after which a sentence starts.
-EDGES = (b".", b"!", b"?")
-#: The parents of the preceding words' restaurants: the start of a sentence and its inside.
-CONTEXTS = (0, 1)
+#: Text bytes of a block of documents, and training tokens of a shard of pairs.
+BLOCK_BYTES, SHARD_TOKENS = 32_000_000, 4_000_000
 MASK = (1 << 32) - 1
-#: Pairs of one word that a join keeps together.
-SALT_ROWS = 20_000
-EXACT = 64
+#: Customers of a dish up to which the Stirling numbers are tabulated.
+EXACT = 1024
 STRENGTH = 1.0
 
 
+@lru_cache(8)
 def stirling_logs(discount: float, most: int = EXACT) -> np.ndarray:
     """Logarithms of generalised Stirling numbers: [c, t] counts seatings of c customers at t tables."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -54,41 +53,97 @@ def stirling_logs(discount: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
-def seat(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers were seated again.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of each number."""
+    x = x.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def draws(dish: np.ndarray, seed: int, turn: int) -> np.ndarray:
+    """A number in [0, 1) for each dish, by its name, the sweep's seed and the turn only: whatever stands beside it."""
+    salt = mixed(np.array([seed * 1_000_003 + turn + 1], np.uint64))[0]
+    return (mixed(dish.view(np.uint64) ^ salt) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function of positive numbers, by Stirling's series from 8 on."""
+    x, shift = np.array(x, float), np.zeros(np.shape(x))
+    while (low := x < 8).any():
+        shift = np.where(low, shift - np.log(np.where(low, x, 1)), shift)
+        x = np.where(low, x + 1, x)
+    return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+@lru_cache(8)
+def stable_logs(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of places and of the density there of the positive stable law whose Laplace transform is exp(-s^discount)."""
+    d = discount
+    angle = (np.arange(2000) + 0.5) * np.pi / 2000
+    log_a = (d * np.log(np.sin(d * angle)) - np.log(np.sin(angle))) / (1 - d) + np.log(np.sin((1 - d) * angle))
+    logs = np.linspace(-12.0, 40.0, 2601) / d * (1 - d)
+    inside = log_a - np.exp(np.minimum(log_a - logs[:, None] * d / (1 - d), 700))
+    top = inside.max(1)
+    return logs, np.log(d / (1 - d)) - logs / (1 - d) + top + np.log(np.exp(inside - top[:, None]).mean(1))
+
+
+def seat(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, stirling: np.ndarray, dish: np.ndarray, seed: int) -> np.ndarray:
+    """Tables of each dish after its customers were seated again, drawn from their conditional distribution.
 
-    ``new`` is the weight of a first table, (strength + discount * other tables) * base
-    probability; each further table of the dish adds ``grow`` = discount * base probability to it.
-    Up to ``EXACT`` customers the number of tables is drawn from its conditional distribution;
-    more customers come one after the other, from the 33rd on in runs of a twentieth of those
-    seated, within which the chance of a new table is held.
+    The chance of t tables goes with the product of the generalised Stirling number of customers and tables and of
+    ``new`` + i * ``grow`` for i below t: ``new`` is the weight of a first table, (strength + discount
+    * other tables) * base probability, ``grow`` = discount * base probability. Beyond the ``stirling`` table
+    the Stirling number is taken from its limit, the stable density of the customers scaled by tables. ``dish`` names
+    the dishes for :func:`draws`.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
     order = np.argsort(customers, kind="stable")
     counts = customers[order]
-    for c in np.unique(counts[(counts > 1) & (counts <= EXACT)]).tolist():
+    exact = len(stirling) - 1
+    for c in np.unique(counts[(counts > 1) & (counts <= exact)]).tolist():
         some = order[np.searchsorted(counts, c): np.searchsorted(counts, c, "right")]
-        for at in range(0, len(some), 1 + 2_000_000 // c):
-            rows = some[at: at + 1 + 2_000_000 // c]
+        for at in range(0, len(some), 1 + 500_000 // c):
+            rows = some[at: at + 1 + 500_000 // c]
             steps = np.log(np.maximum(new[rows, None] + grow[rows, None] * np.arange(c), 1e-300))
             weight = np.cumsum(steps, axis=1) + stirling[c, 1: c + 1]
             weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
-            tables[rows] = 1 + (weight < rng.random((len(rows), 1)) * weight[:, -1:]).sum(1)
-    some = order[np.searchsorted(counts, EXACT, "right"):]
-    seated, run = 1, 1
-    while len(some):
-        left = customers[some] - seated
-        some, left = some[left > 0], left[left > 0]
-        if not len(some):
-            break
-        run = max(1, seated // 20) if seated >= 32 else 1
-        chance = new[some] + grow[some] * tables[some]
-        chance = chance / (chance + np.maximum(seated - discount * tables[some], 1e-9))
-        tables[some] += rng.binomial(np.minimum(run, left), np.clip(chance, 0, 1))
-        seated += run
+            tables[rows] = 1 + (weight < draws(dish[rows], seed, 0)[:, None] * weight[:, -1:]).sum(1)
+    some = order[np.searchsorted(counts, exact, "right"):]
+    for at in range(0, len(some), 1000):
+        rows = some[at: at + 1000]
+        tables[rows] = many_tables(customers[rows], new[rows], grow[rows], discount, draws(dish[rows], seed, 0))
     return tables
 
 
+def many_tables(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, u: np.ndarray) -> np.ndarray:
+    """The number of tables at quantile ``u`` for dishes of many customers.
+
+    A dish's tables have sizes of Sibuya's law, which adds up to the stable one. Chances are taken at every number
+    of tables up to 64, beyond at steps of a thirtieth, between which they are even.
+    """
+    places = [*range(1, 65)]
+    while places[-1] < customers.max():
+        places.append(places[-1] + max(1, places[-1] // 30))
+    t = np.array(places, float)
+    width = np.diff(np.append(t, t[-1] + 1))
+    grow = np.maximum(grow, 1e-300)
+    a = np.maximum(new / grow, 1e-12)[:, None]
+    logs, density = stable_logs(discount)
+    x = np.log(customers)[:, None] - np.log(t) / discount
+    weight = t * np.log(grow / discount)[:, None] + log_gamma(a + t) - log_gamma(t + 1) - np.log(t) / discount
+    # Left of the places the density vanishes; right of them its tail is a power.
+    tail = density[-1] - (1 + discount) * (x - logs[-1])
+    weight += np.where(x < logs[0], -np.inf, np.where(x > logs[-1], tail, np.interp(x, logs, density)))
+    weight = np.where(t <= customers[:, None], weight, -np.inf)
+    weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)) * width, axis=1)
+    goal = u * weight[:, -1]
+    at = np.minimum((weight < goal[:, None]).sum(1), len(t) - 1)
+    before = np.where(at > 0, weight[np.arange(len(at)), np.maximum(at - 1, 0)], 0.0)
+    share = (goal - before) / np.maximum(weight[np.arange(len(at)), at] - before, 1e-300)
+    return np.minimum(t[at] + np.floor(np.clip(share, 0, 1 - 1e-9) * width[at]), customers).astype(np.int64)
+
+
 def discount_of(ones: float, twos: float) -> float:
     """The usual estimate from the numbers of dishes with one and two customers."""
     return float(min(0.95, max(0.05, ones / (ones + 2 * twos)))) if ones else 0.5
@@ -120,17 +175,18 @@ class Spelling:
 
     def word_logs(self, words: list[bytes]) -> np.ndarray:
         """The natural logarithm of each word's probability of being spelled."""
-        if not words:
-            return np.zeros(0)
-        codes, begin = spelled(words)
-        p = self.back[codes // SYMBOLS] * self.parent[codes // SYMBOLS % SYMBOLS, codes % SYMBOLS]
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            p += np.where(self.codes[at] == codes, self.own[at], 0)
-        return np.add.reduceat(np.log(p), begin)
-
-
-def resample_spelling(codes: np.ndarray, counts: np.ndarray, rng: np.random.Generator, sweeps: int = 3) -> Spelling:
+        out = np.zeros(len(words))
+        for at in range(0, len(words), 20_000):
+            codes, begin = spelled(words[at: at + 20_000])
+            p = self.back[codes // SYMBOLS] * self.parent[codes // SYMBOLS % SYMBOLS, codes % SYMBOLS]
+            if len(self.codes):
+                place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+                p += np.where(self.codes[place] == codes, self.own[place], 0)
+            out[at: at + 20_000] = np.add.reduceat(np.log(p), begin)
+        return out
+
+
+def resample_spelling(codes: np.ndarray, counts: np.ndarray, seed: int, sweeps: int = 4) -> Spelling:
     """A seating of the spelling restaurants, whose cells of two preceding symbols have ``counts`` customers.
 
     The cells number at most SYMBOLS ** 3, whatever the corpus.
@@ -149,15 +205,15 @@ def resample_spelling(codes: np.ndarray, counts: np.ndarray, rng: np.random.Gene
         if sweep:
             base = p2[one, symbol]
             total = np.bincount(context, t3, minlength=SYMBOLS * SYMBOLS)
-            t3 = seat(counts, (STRENGTH + d[0] * (total[context] - t3)) * base, d[0] * base, d[0], logs[0], rng)
+            t3 = seat(counts, (STRENGTH + d[0] * (total[context] - t3)) * base, d[0] * base, d[0], logs[0], codes, seed + 3 * sweep)
         n2 = np.bincount(one * SYMBOLS + symbol, t3, minlength=SYMBOLS * SYMBOLS).astype(np.int64).reshape(SYMBOLS, SYMBOLS)
         t2 = np.where(t2 > 0, np.minimum(t2, n2), np.minimum(n2, 1))
         base = np.broadcast_to(p1, n2.shape)
         new = (STRENGTH + d[1] * (t2.sum(1, keepdims=True) - t2)) * base
-        t2 = seat(n2.ravel(), new.ravel(), (d[1] * base).ravel(), d[1], logs[1], rng).reshape(n2.shape)
+        t2 = seat(n2.ravel(), new.ravel(), (d[1] * base).ravel(), d[1], logs[1], np.arange(n2.size), seed + 3 * sweep + 1).reshape(n2.shape)
         n1 = t2.sum(0)
         t1 = np.where(t1 > 0, np.minimum(t1, n1), np.minimum(n1, 1))
-        t1 = seat(n1, (STRENGTH + d[2] * (t1.sum() - t1)) * uniform, d[2] * uniform, d[2], logs[2], rng)
+        t1 = seat(n1, (STRENGTH + d[2] * (t1.sum() - t1)) * uniform, d[2] * uniform, d[2], logs[2], np.arange(SYMBOLS), seed + 3 * sweep + 2)
         p1 = (n1 - d[2] * t1 + (STRENGTH + d[2] * t1.sum()) * uniform) / (STRENGTH + n1.sum())
         all2 = n2.sum(1, keepdims=True)
         p2 = (n2 - d[1] * t2 + (STRENGTH + d[1] * t2.sum(1, keepdims=True)) * p1) / (STRENGTH + all2)
@@ -166,91 +222,89 @@ def resample_spelling(codes: np.ndarray, counts: np.ndarray, rng: np.random.Gene
     return Spelling(codes, (counts - d[0] * t3) / all3[context], back, p2)
 
 
-def packed_numbers(values: np.ndarray) -> bytes:
-    """32-bit numbers, first all lowest bytes, then the next ones: small numbers leave runs of zeros to compress."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def packed(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers as compressed bytes, first all lowest bytes, then the next ones; small numbers take little room."""
+    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, int(kind[2:])).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def unpacked_numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), int(kind[2:])
+    if not n:
+        return np.zeros(0, kind)
+    raw = pa.decompress(data[4:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """Documents as counted word pairs, and their blocks' words and pairs, in one table.
-
-    A block is a run of a partition's documents of about BLOCK_BYTES. A document's row has its pairs (preceding
-    word, word) as places in the block's dictionary, the former as gaps, and their counts. A word's row has its
-    place as code, its training tokens after the start of a sentence (n0) and inside (n1), and the
-    training tokens that follow it (n). A pair's row has before, word, code (place of before << 32 | place of word),
-    its training tokens (n) and whether a held-out row has it. The empty word is the end of a text and,
-    as a preceding word, its start.
-    """
+    """Blocks of documents, and their words, in one table.
 
-    def flush(block: int, index: dict[bytes, int], rows: list) -> Iterator[pa.RecordBatch]:
-        yield batch_of(
-            block, len(rows), doc_id=[r[0] for r in rows], held_out=[r[1] for r in rows],
-            places=[packed_numbers(np.diff(r[2] >> 32, prepend=0)) for r in rows], follow=[packed_numbers(r[2] & MASK) for r in rows],
-            times=[packed_numbers(r[3]) for r in rows], n=[int(r[3].sum()) for r in rows],
-        )
-        codes, inverse = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-        held = np.repeat([r[1] for r in rows], [len(r[2]) for r in rows])
-        n = np.bincount(inverse, np.where(held, 0, np.concatenate([r[3] for r in rows]))).astype(np.int64)
-        held = np.bincount(inverse, held) > 0
-        words, before, after = list(index), codes >> 32, codes & MASK
-        start = np.array([starts_sentence(w) for w in words])[before]
-        sums = [np.bincount(at, x, minlength=len(words)).astype(np.int64) for at, x in ((after, n * start), (after, n * ~start), (before, n))]
-        words = pa.array(words, pa.binary())
-        for at in range(0, len(words), 50_000):
-            part = slice(at, at + 50_000)
-            size = len(words[part])
-            yield batch_of(block, size, word=words[part], code=np.arange(at, at + size), n0=sums[0][part], n1=sums[1][part], n=sums[2][part])
-        for at in range(0, len(codes), 50_000):
-            part = slice(at, at + 50_000)
-            yield batch_of(
-                block, len(codes[part]), before=words.take(pa.array(before[part])), word=words.take(pa.array(after[part])),
-                code=codes[part], n=n[part], held_out=held[part],
-            )
-
-    kinds = {
-        "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "places": pa.binary(), "follow": pa.binary(), "times": pa.binary(),
-        "before": pa.binary(), "word": pa.binary(), "code": pa.int64(), "n0": pa.int64(), "n1": pa.int64(), "n": pa.int64(),
-    }
+    A block is a run of a partition's documents of about BLOCK_BYTES. A document's row has its tokens as places in
+    the block's dictionary (seq) and their number n. A word's row has its place and its training tokens n.
+    The empty word, at place 0, is the end of a text and, as a preceding word, its start.
+    """
+    kinds = {"block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "seq": pa.binary(), "word": pa.binary(), "place": pa.int32(), "n": pa.int64()}
 
     def batch_of(block: int, size: int, **columns) -> pa.RecordBatch:
         filled = columns | {"block": np.full(size, block)}
-        return pa.RecordBatch.from_arrays(
-            [pa.array(filled[k], kind) if k in filled else pa.nulls(size, kind) for k, kind in kinds.items()], names=list(kinds)
-        )
+        return pa.RecordBatch.from_arrays([pa.array(filled[k], kind) if k in filled else pa.nulls(size, kind) for k, kind in kinds.items()], names=list(kinds))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, index, rows = TaskContext.get().partitionId() << 24, 0, {b"": 0}, []
-        for batch in batches:
+        block, size, index, learnt = TaskContext.get().partitionId() << 24, 0, {b"": 0}, []
+
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(index), np.int64)
+            for seq in learnt:
+                n += np.bincount(seq, minlength=len(index))
+            words = list(index)
+            for at in range(0, len(words), 50_000):
+                part = words[at: at + 50_000]
+                yield batch_of(block, len(part), word=part, place=np.arange(at, at + len(part)), n=n[at: at + 50_000])
+
+        for batch in sliced(batches):
+            out: dict[str, list] = {"doc_id": [], "held_out": [], "seq": [], "n": []}
             for doc, held, data in zip(batch.column(0), batch.column(1), batch.column(2)):
                 text = data.as_py()
-                words = text.lower().split()
-                places = np.zeros(len(words) + 2, np.int64)
-                places[1:-1] = [index.setdefault(w, len(index)) for w in words]
-                rows.append((doc.as_py(), held.as_py(), *np.unique(places[:-1] << 32 | places[1:], return_counts=True)))
+                seq = np.array([index.setdefault(w, len(index)) for w in text.lower().split()] + [0], np.int32)
+                if not held.as_py():
+                    learnt.append(seq)
+                for k, v in zip(out, (doc.as_py(), held.as_py(), packed(seq), len(seq))):
+                    out[k].append(v)
                 size += len(text)
-                if size > BLOCK_BYTES:
-                    yield from flush(block, index, rows)
-                    block, size, index, rows = block + 1, 0, {b"": 0}, []
-        if rows:
-            yield from flush(block, index, rows)
+            yield batch_of(block, batch.num_rows, **out)
+            if size > BLOCK_BYTES:
+                yield from dictionary()
+                block, size, index, learnt = block + 1, 0, {b"": 0}, []
+        yield from dictionary()
 
+    bounded_batches(docs.sparkSession)
     held_out = F.coalesce(crc_of_id() % 10 == 0, F.lit(True))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), byte_text().alias("data")).mapInArrow(
-        of, "block long, doc_id long, held_out boolean, places binary, follow binary, times binary, before binary, word binary, code long, n0 long, n1 long, n long"
+        of, "block long, doc_id long, held_out boolean, seq binary, word binary, place int, n long"
     )
 
 
-def starts_sentence(before: bytes) -> bool:
-    """Whether a sentence starts after this word; the empty one stands before a text."""
-    return not before or before[-1:] in EDGES
+def numbered(words: DataFrame) -> DataFrame:
+    """(id, h, word, n, at) of ``words`` (word, n, at): ids count from 0 without gaps, h is a hash of the word.
+
+    The driver fetches one number a partition. A pair of ids has to fit 64 bits, so 2^32 words are an error.
+    """
+    marked = stored(words.withColumn("_at", F.monotonically_increasing_id()), "words")
+    marked = marked.withColumn("_part", F.shiftright("_at", 33))
+    sizes = marked.groupBy("_part").agg(F.count("*").alias("rows")).orderBy("_part").collect()
+    first, total = [], 0
+    for row in sizes:
+        first.append((row["_part"], total))
+        total += row["rows"]
+    if total > MASK:
+        raise OverflowError(f"{total} distinct words; pairs of their numbers don't fit 64 bits")
+    offsets = words.sparkSession.createDataFrame(first, "_part long, _first long")
+    place = F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return marked.join(F.broadcast(offsets), "_part").select(place.alias("id"), F.xxhash64("word").alias("h"), "word", "n", "at")
 
 
 def letter_counts(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Customers of each spelling cell: the tables of all words, summed on the executors."""
+    """Customers of each spelling cell: the tables ``t`` of all words, summed on the executors."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, sums = np.zeros(0, np.int64), np.zeros(0)
@@ -269,192 +323,328 @@ def letter_counts(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
-def hot_keys(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, parts) of the words that have over SALT_ROWS pairs."""
-    sizes = pairs.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > SALT_ROWS)
-    return stored(sizes.select(key, in_blocks(F.col("rows"), SALT_ROWS).alias("parts")), "hot-words")
+def by_block(blocks: DataFrame, values: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """``of(documents, words)`` for each block: its documents' rows and its words' rows, by place."""
+    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(lambda docs, words: of(docs, words.sort_values("place")), schema)
+
+
+def block_codes(docs: pd.DataFrame, ids: np.ndarray, learnt_only: bool) -> Iterator[tuple[pd.Series, np.ndarray, np.ndarray]]:
+    """Of each document of a block: its row, its tokens' places, and those of the words before them."""
+    for row in docs.itertuples():
+        if not (learnt_only and row.held_out):
+            seq = unpacked(row.seq).astype(np.int64)
+            yield row, seq, np.concatenate([[0], seq[:-1]])
+
 
+def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(codes) % np.uint64(shards)).astype(np.int64)
+
+
+def pair_shards(blocks: DataFrame, ids: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, codes, n): the block's distinct pairs (id of the word before << 32 | id), sorted, and their training tokens.
+
+    Pairs with a word that training never had are left out.
+    """
+
+    def of(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        columns = ["block", "shard", "codes", "n"]
+        id_of = words["id"].to_numpy()
+        found, n, held, pending = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        learnt = []
+
+        def fold():
+            nonlocal found, n, held, learnt, pending
+            every = np.concatenate([found, *held])
+            weight = np.concatenate([n, *learnt])
+            found, place = np.unique(every, return_inverse=True)
+            n = np.bincount(place, weight, minlength=len(found)).astype(np.int64)
+            held, learnt, pending = [], [], 0
+
+        for row, seq, before in block_codes(docs, id_of, False):
+            a, b = id_of[before], id_of[seq]
+            codes = (a << 32 | b)[(a >= 0) & (b >= 0)]
+            held.append(codes)
+            learnt.append(np.full(len(codes), 0 if row.held_out else 1))
+            pending += len(codes)
+            if pending > 2_000_000:
+                fold()
+        fold()
+        if docs.empty or not len(found):
+            return pd.DataFrame(columns=columns)
+        own = shard_of(found, shards)
+        order = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[order], np.arange(shards + 1))
+        rows = []
+        for shard in range(shards):
+            at = order[bounds[shard]: bounds[shard + 1]]
+            if len(at):
+                rows.append((docs["block"].iloc[0], shard, packed(np.diff(found[at], prepend=0), "<u8"), packed(n[at])))
+        return pd.DataFrame(rows, columns=columns)
+
+    return by_block(blocks, ids, of, "block long, shard long, codes binary, n binary")
+
+
+SHARD = "shard long, block long, before binary, word binary, c binary, t binary, own binary, place binary, singles binary, single_words binary"
+
+
+def counted_shards(messages: DataFrame) -> DataFrame:
+    """Of each shard, one row with the repeated pairs, and one row for each block that says where its pairs are among them.
+
+    A pair of one training token has one table in any seating, so it is only counted: by the word before it and by
+    its word, as (id, number) in ``singles`` and ``single_words``. ``place`` has for each of the block's pairs,
+    in their order, 0 for none learnt, 1 for a single one, else 2 more than its place.
+    """
+
+    def of(rows: pd.DataFrame) -> pd.DataFrame:
+        codes = [np.cumsum(unpacked(x, "<u8").astype(np.int64)) for x in rows["codes"]]
+        n = [unpacked(x).astype(np.int64) for x in rows["n"]]
+        every, place = np.unique(np.concatenate(codes), return_inverse=True)
+        c = np.bincount(place, np.concatenate(n), minlength=len(every)).astype(np.int64)
+        single, repeated = every[c == 1], every[c > 1]
+        mark = np.where(c > 1, np.cumsum(c > 1) + 1, np.minimum(c, 1))
+        shard, ends = rows["shard"].iloc[0], np.cumsum([len(x) for x in codes])
+        counted = [np.unique(x, return_counts=True) for x in (single >> 32, single & MASK)]
+        first = (
+            shard, None, packed(repeated >> 32), packed(repeated & MASK), packed(c[c > 1]), packed(np.ones(len(repeated))), packed(np.zeros(len(repeated)), "<f4"), None,
+            *[packed(np.concatenate(x)) for x in counted],
+        )
+        others = [(shard, block, *[None] * 5, packed(mark[p]), None, None) for block, p in zip(rows["block"], np.split(place, ends[:-1]))]
+        return pd.DataFrame([first, *others], columns=[x.split()[0] for x in SHARD.split(", ")])
 
-def with_words(pairs: DataFrame, words: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Pairs joined to the words' rows by ``key``; a hot word's row is repeated and its pairs are dealt over them."""
-    parts, salt = F.coalesce("parts", F.lit(1)), F.pmod(F.xxhash64("before", "word"), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = pairs.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("parts")
-    named = words.withColumnRenamed("word", key)
-    many = named.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return dealt.join(many, [key, "salt"]).drop("salt")
+    return messages.groupBy("shard").applyInPandas(of, SHARD)
+
+
+def sums_by_word(shards: DataFrame) -> DataFrame:
+    """(id, c, tu): the tables of each word in all restaurants, and those of all words after it."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                t, out = unpacked(row.t).astype(np.int64), []
+                for ids, single in ((unpacked(row.word), row.single_words), (unpacked(row.before), row.singles)):
+                    more, count = unpacked(single).astype(np.int64).reshape(2, -1)
+                    every, place = np.unique(np.concatenate([ids.astype(np.int64), more]), return_inverse=True)
+                    out.append((every, np.bincount(place, np.concatenate([t, count]), minlength=len(every)).astype(np.int64)))
+                (w, c), (u, tu) = out
+                yield pd.DataFrame({"id": np.concatenate([w, u]), "c": np.concatenate([c, np.zeros(len(u), np.int64)]), "tu": np.concatenate([np.zeros(len(w), np.int64), tu])})
+
+    return shards.mapInPandas(of, "id long, c long, tu long").groupBy("id").agg(F.sum("c").alias("c"), F.sum("tu").alias("tu"))
+
+
+def shard_words(shards: DataFrame) -> DataFrame:
+    """(shard, id) of the words in each shard's repeated pairs."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                ids = np.unique(np.concatenate([unpacked(row.before), unpacked(row.word)])).astype(np.int64)
+                yield pd.DataFrame({"shard": row.shard, "id": ids})
+
+    return shards.select("shard", "before", "word").mapInPandas(of, "shard long, id long")
 
 
 @dataclass
 class Model:
-    """Seatings of a corpus. For each sample: q0_i and q1_i of a word, after either kind of word, and back_i of a preceding word."""
+    """Seatings of a corpus: words' q_i, n and tu_i of each sample, the repeated pairs' averaged shares, and what holds for all."""
 
     words: DataFrame
-    pairs: DataFrame  # (before, word, own) of the pairs learnt at least twice
-    rest: dict[str, float]  # q0_i and q1_i of a word that isn't known
-    discount: float  # of the preceding words' restaurants
+    shards: DataFrame
+    spellings: list[Spelling]
+    unseen: list[float]  # of each sample, the weight of the spelling for a word of no table
+    discount: float
     tokens: int
     distinct: int
-
-
-def seatings(words: DataFrame, repeated: DataFrame, burn_in: int = 1, samples: int = 2, seed: int = 17) -> Model:
-    """The model learnt from words (word, n0, n1, n) and the pairs (before, word, c) of at least two tokens.
-
-    A pair of one token always has one table. So the single pairs are only counted: by the
-    tokens of a word, or after one, that its repeated pairs leave.
+    samples: int
+
+
+def pair_seater(discount: float, parents: int, samples: int, taken: bool, seed: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Seats the repeated pairs of one shard given its words' rows (id, h, n, tu, q); ``parents`` counts the parent's customers."""
+
+    def seat_pairs(shard: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
+        if shard.empty:
+            return shard
+        row, ids = shard.iloc[0], named["id"].to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        before, word, c, t = (unpacked(row[x]).astype(np.int64) for x in ("before", "word", "c", "t"))
+        u, w = order[np.searchsorted(ids, before)], order[np.searchsorted(ids, word)]
+        h = mixed(named["h"].to_numpy().view(np.uint64))
+        n, tu, q = named["n"].to_numpy()[u], named["tu"].to_numpy()[u], named["q"].to_numpy()[w]
+        # The parent's probability without this dish's own customers there, one for each table.
+        alone = np.maximum(q - t / (STRENGTH + parents), q * 1e-3)
+        new = seat(c, (STRENGTH + discount * (tu - t)) * alone, discount * alone, discount, stirling_logs(discount), h[u] * np.uint64(3) ^ h[w], seed)
+        own = unpacked(row["own"], "<f4")
+        if taken:
+            own = own + (c - discount * t) / (STRENGTH + n) / samples
+        return shard.assign(t=[packed(new)], own=[packed(own, "<f4")])
+
+    return seat_pairs
+
+
+def seatings(words: DataFrame, shards: DataFrame, burn_in: int, samples: int, seed: int = 17) -> Model:
+    """The model of the stored ``words`` (id, h, word, n) and ``shards`` (as of :func:`counted_shards`).
+
+    A sweep seats the words' restaurant, then all restaurants of preceding words given its probabilities, each
+    dish's own tables taken out first.
     """
-    kind = F.when(F.expr("length(before) = 0 or substring(before, -1, 1) in (X'2E', X'21', X'3F')"), 0).otherwise(1)
-    one = F.lit(1).cast("long")
-    pairs = stored(repeated.select("before", "word", kind.alias("k"), "c", one.alias("t"), F.lit(0.0).alias("own")), "pairs")
-    hot = {key: hot_keys(pairs, key) for key in ("before", "word")}
-
-    def counted(table: DataFrame, value: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
-        after = table.groupBy("word").agg(*[F.sum(F.when(F.col("k") == k, F.col(value)).otherwise(0)).alias(names[k]) for k in CONTEXTS])
-        return after, table.groupBy(F.col("before").alias("word")).agg(F.sum(value).alias(names[2]))
-
-    def with_sums(table: DataFrame, value: str, names: list[str]) -> DataFrame:
-        for sums in counted(pairs, value, names):
-            table = table.join(sums, "word", "left")
-        return table.fillna(0, names)
-
-    known = with_sums(words.where("n0 + n1 + n > 0"), "c", ["r0", "r1", "r"])
-    # Customers: c0, c1 of the word's restaurants, f0, f1 of them from single pairs; n customers and tu tables after it, f single ones.
-    known = known.select("word", "n0", "n1", "n", *[(F.col(f"n{x}") - F.col(f"r{x}")).alias(f"f{x}") for x in ("0", "1", "")])
-    state = with_sums(known, "t", ["c0", "c1", "tu"]).withColumns({x: F.col(x) + F.col(f) for x, f in (("c0", "f0"), ("c1", "f1"), ("tu", "f"))})
-    kept = [f"{x}_{i}" for i in range(samples) for x in ("q0", "q1", "back")]
-    state = stored(state.select(
-        "*", F.least("c0", one).alias("t0"), F.least("c1", one).alias("t1"), F.least(F.col("c0") + F.col("c1"), one).alias("t"),
-        F.lit(0.0).alias("q0"), F.lit(0.0).alias("q1"), *[F.lit(0.0).alias(x) for x in kept],
-    ), "seating")
-    c = F.col("c0") + F.col("c1")
-    facts = state.agg(
-        F.sum(F.col("n0") + F.col("n1")).alias("n"), F.count_if(F.col("n0") + F.col("n1") > 0).alias("v"), F.count_if(c == 1).alias("ones"), F.count_if(c == 2).alias("twos"),
-        F.sum("f").alias("singles"),
-    ).first()
+    names = stored(shard_words(shards), "shard-words")
+    kept = [f"{x}_{i}" for i in range(samples) for x in ("q", "tu")]
+
+    def with_sums(state: DataFrame, sums: DataFrame) -> DataFrame:
+        t = F.least("c", F.greatest("t", F.least("c", F.lit(1).cast("long"))))
+        out = state.drop("c", "tu").join(sums, "id", "left").fillna(0, ["c", "tu"])
+        return stored(out.withColumn("t", t).select(*columns), "seating")
+
+    columns = ["id", "h", "word", "n", "c", "tu", "t", "q", *kept]
+    zero = F.lit(0).cast("long")
+    state = words.select("id", "h", "word", "n", zero.alias("t"), F.lit(0.0).alias("q"), *[(F.lit(0.0) if x[0] == "q" else zero).alias(x) for x in kept])
+    state = with_sums(state, sums_by_word(shards))
+    facts = state.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
     discount = discount_of(facts["ones"], facts["twos"])
-    pair_discount = discount_of(facts["singles"] or 0, pairs.where("c = 2").count())
-    rng = np.random.default_rng(seed)
+    few = shards.mapInPandas(once_and_twice, "ones long, twos long").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
+    pair_discount = discount_of(few["ones"] or 0, few["twos"] or 0)
+    spellings, unseen = [], []
     for sweep in range(burn_in + samples if facts["v"] else 0):
         sample = sweep - burn_in
-        spelling = resample_spelling(*letter_counts(state), rng)
-        sums = state.agg(*[F.sum(x).alias(x) for x in ("c0", "c1", "t0", "t1", "t")]).first().asDict()
+        spelling = resample_spelling(*letter_counts(state), seed=seed + 1000 * sweep)
+        sums = state.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first().asDict()
 
-        def live(batches, sweep=sweep, sample=sample, spelling=spelling, sums=sums) -> Iterator[pd.DataFrame]:
+        def seat_words(batches, sweep=sweep, sample=sample, spelling=spelling, sums=sums) -> Iterator[pd.DataFrame]:
             logs = stirling_logs(discount)
-            for batch in batches:
-                words = batch["word"].tolist()
-                if not words:
-                    continue
-                own = np.random.default_rng([seed, sweep, *np.frombuffer(words[0][:8].ljust(8, b"\0"), np.uint32).tolist(), len(words)])
-                base = np.exp(spelling.word_logs(words))
-                old = {k: batch[k].to_numpy() for k in ("t0", "t1", "t")}
-                seated = sums["t0"] + sums["t1"]
-                parent = (old["t0"] + old["t1"] - discount * old["t"] + (STRENGTH + discount * sums["t"]) * base) / (STRENGTH + seated)
-                new = {}
-                for k in CONTEXTS:
-                    others = STRENGTH + discount * (sums[f"t{k}"] - old[f"t{k}"])
-                    new[f"t{k}"] = seat(batch[f"c{k}"].to_numpy(), others * parent, discount * parent, discount, logs, own)
-                    all_of = STRENGTH + discount * sums[f"t{k}"]
-                    new[f"q{k}"] = (batch[f"c{k}"].to_numpy() - discount * old[f"t{k}"] + all_of * parent) / (STRENGTH + sums[f"c{k}"])
-                others = STRENGTH + discount * (sums["t"] - old["t"])
-                new["t"] = seat(new["t0"] + new["t1"], others * base, discount * base, discount, logs, own)
-                if sample >= 0:
-                    back = (STRENGTH + pair_discount * batch["tu"].to_numpy()) / (STRENGTH + batch["n"].to_numpy())
-                    new |= {f"q0_{sample}": new["q0"], f"q1_{sample}": new["q1"], f"back_{sample}": back}
-                yield batch.assign(**new)
-
-        def seat_pairs(batches, sweep=sweep, sample=sample) -> Iterator[pd.DataFrame]:
-            logs = stirling_logs(pair_discount)
             for batch in batches:
                 if batch.empty:
                     continue
-                first = (batch["before"].iloc[0][:8].ljust(8, b"\0") + batch["word"].iloc[0][:8].ljust(8, b"\0"))
-                own = np.random.default_rng([seed, sweep, *np.frombuffer(first, np.uint32).tolist(), len(batch)])
-                t, c, q = (batch[x].to_numpy() for x in ("t", "c", "q"))
-                new = seat(c, (STRENGTH + pair_discount * (batch["tu"].to_numpy() - t)) * q, pair_discount * q, pair_discount, logs, own)
-                share = (c - pair_discount * t) / (STRENGTH + batch["n"].to_numpy()) / samples if sample >= 0 else 0.0
-                yield batch[["before", "word", "k", "c"]].assign(t=new, own=batch["own"].to_numpy() + share)
-
-        state = stored(state.mapInPandas(live, state.schema), "seating")
-        beside = with_words(pairs, state.select("word", "q0", "q1"), "word", hot["word"])
-        beside = beside.withColumn("q", F.when(F.col("k") == 0, F.col("q0")).otherwise(F.col("q1"))).drop("q0", "q1")
-        beside = with_words(beside, state.select("word", "n", "tu"), "before", hot["before"])
-        pairs = stored(beside.mapInPandas(seat_pairs, "before binary, word binary, k int, c long, t long, own double"), "pairs")
+                base = np.exp(spelling.word_logs(batch["word"].tolist()))
+                t, c, dish = batch["t"].to_numpy(), batch["c"].to_numpy(), batch["h"].to_numpy()
+                new = seat(c, (STRENGTH + discount * (sums["t"] - t)) * base, discount * base, discount, logs, dish, seed + 1000 * sweep + 500)
+                q = (c - discount * t + (STRENGTH + discount * sums["t"]) * base) / (STRENGTH + sums["c"])
+                taken = {f"q_{sample}": q, f"tu_{sample}": batch["tu"].to_numpy()} if sample >= 0 else {}
+                yield batch.assign(t=new, q=q, **taken)
+
+        state = stored(state.mapInPandas(seat_words, state.schema), "seating")
+        if sample >= 0:
+            spellings.append(spelling)
+            unseen.append((STRENGTH + discount * sums["t"]) / (STRENGTH + sums["c"]))
+        beside = names.join(state.select("id", "h", "n", "tu", "q"), "id")
+        shards = stored(shards.groupBy("shard").cogroup(beside.groupBy("shard")).applyInPandas(
+            pair_seater(pair_discount, sums["c"], samples, sample >= 0, seed + 1000 * sweep + 700), SHARD
+        ), "shards")
         if sweep + 1 < burn_in + samples:
-            state = with_sums(state.drop("c0", "c1", "tu"), "t", ["c0", "c1", "tu"])
-            state = state.withColumns({x: F.col(x) + F.col(f) for x, f in (("c0", "f0"), ("c1", "f1"), ("tu", "f"))})
-            # A restaurant that lost customers can't have more tables than it has left.
-            fitting = {x: F.least(f"c{x[1]}", F.greatest(x, F.least(f"c{x[1]}", one))) for x in ("t0", "t1")}
-            state = state.withColumns(fitting).withColumn("t", F.least(F.col("t0") + F.col("t1"), F.greatest("t", F.least(F.col("t0") + F.col("t1"), one))))
-            state = stored(state, "seating")
-    shares = [x for x in kept if x[0] == "q"]
-    mass = state.agg(*[F.sum(x).alias(x) for x in shares]).first()
-    rest = {x: max(1e-12, 1 - (mass[x] or 0.0)) for x in shares}
-    return Model(state.select("word", (F.col("n0") + F.col("n1")).alias("c"), "n", *kept), pairs.select("before", "word", "own"), rest, pair_discount, facts["n"] or 0, facts["v"])
-
-
-def language_model_scores(docs: DataFrame, burn_in: int = 1, samples: int = 2) -> DataFrame:
+            state = with_sums(state, sums_by_word(shards))
+    return Model(state, shards, spellings, unseen, pair_discount, facts["n"] or 0, facts["v"], samples)
+
+
+def once_and_twice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many pairs have one token, and how many two."""
+    for batch in batches:
+        for row in batch.itertuples():
+            ones = int(unpacked(row.singles).astype(np.int64).reshape(2, -1)[1].sum())
+            yield pd.DataFrame({"ones": [ones], "twos": [int((unpacked(row.c) == 2).sum())]})
+
+
+def shard_values(places: DataFrame, model: Model) -> DataFrame:
+    """(block, shard, values): of each of the block's pairs, in their order, the share of its own tokens; -1 for a single one."""
+
+    def of(rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        columns = ["block", "shard", "values"]
+        if rows.empty or shard.empty:
+            return pd.DataFrame(columns=columns)
+        table = np.concatenate([[0.0, -1.0], unpacked(shard.iloc[0]["own"], "<f4")])
+        out = [(r.block, r.shard, packed(table[unpacked(r.place).astype(np.int64)], "<f4")) for r in rows.itertuples()]
+        return pd.DataFrame(out, columns=columns)
+
+    return places.groupBy("shard").cogroup(model.shards.select("shard", "own").groupBy("shard")).applyInPandas(of, "block long, shard long, values binary")
+
+
+def language_model_scores(docs: DataFrame, burn_in: int = 2, samples: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     Tokens are words between ASCII white space, A-Z lower-cased, then an end. Learnt are the
     rows whose crc32(doc_id as text) mod 10 isn't 0; a null doc_id is held out. base_score is the
-    add-0.1 unigram's log10 probability of the text, score the model's. A null text is empty and
-    has its end only. Where there is nothing to learn from, every token is the unknown one, of
-    probability 1. Repeated rows stay; other columns are ignored; an empty table gives no rows.
+    add-0.1 unigram's log10 probability of the text, score the model's, in which a word that the training
+    never had is spelled. A null text is empty and has its end only. Where there is nothing to
+    learn from, both scores are 0. Repeated rows stay; other columns are ignored; an empty table
+    gives no rows. Scores don't depend on how rows are dealt.
     """
     table = stored(tokenised(docs), "tokens")
-    words = table.where("word is not null and before is null").select("block", "code", "word", "n0", "n1", "n")
-    counts = words.groupBy("word").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "n")])
-    # A pair that one training token has and no held-out row is known to be single where it stands.
-    places = table.where("before is not null").select("before", "word", "block", "code", "n", "held_out").repartition("before", "word")
-    met = places.groupBy("before", "word").agg(
-        F.sum("n").alias("c"), F.max("held_out").alias("held"), F.collect_list(F.struct("block", "code")).alias("at")
-    )
-    met = stored(met.where("c > 1 or c = 1 and held").drop("held"), "pair-counts")
-    model = seatings(stored(counts, "word-counts"), met.where("c > 1").select("before", "word", "c"), burn_in, samples)
-    kept = [f"{x}_{i}" for i in range(samples) for x in ("q0", "q1", "back")]
-    values = [F.coalesce(x, F.lit(model.rest.get(x, 1.0))).alias(x) for x in kept]
-    none = F.lit(None).cast("double")
-    placed = words.drop("n0", "n1", "n").join(model.words, "word", "left").select(
-        F.col("block").alias("owner"), "code", F.expr("length(word) = 0 or substring(word, -1, 1) in (X'2E', X'21', X'3F')").alias("starts"),
-        F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("n", F.lit(0)).alias("n"), none.alias("own"), *values,
+    blocks = table.where("word is null").select("block", "doc_id", "held_out", "seq", "n")
+    met = table.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "place")).alias("at"))
+    learnt = numbered(met.where("n > 0"))
+    tokens = learnt.agg(F.sum("n").alias("n")).first()["n"] or 0
+    shards = max(1, math.ceil(tokens / SHARD_TOKENS))
+    unknown = met.where("n = 0").select(F.lit(-1).cast("long").alias("id"), F.explode("at").alias("at"))
+    ids = learnt.select("id", F.explode("at").alias("at")).union(unknown).select(F.col("at.block").alias("block"), F.col("at.place").alias("place"), "id")
+    made = stored(counted_shards(pair_shards(blocks, ids, shards)), "shards")
+    model = seatings(learnt.select("id", "h", "word", "n"), made.where("block is null"), burn_in, samples)
+    values = shard_values(made.where("block is not null").select("block", "shard", "place"), model)
+    kept = [f"{x}_{i}" for i in range(samples) for x in ("q", "tu")]
+    spellings, unseen = model.spellings, model.unseen
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, size = batch.column(0).to_pylist(), batch.num_rows
+            logs = {f"q_{i}": unseen[i] * np.exp(s.word_logs(words)) for i, s in enumerate(spellings)}
+            zero = np.zeros(size, np.int64)
+            values = [pa.array(logs.get(x, np.zeros(size)) if x[0] == "q" else zero) for x in kept]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(zero - 1), pa.array(zero), *values], names=["at", "id", "n", *kept])
+
+    schema = "at array<struct<block:long,place:int>>, id long, n long, " + ", ".join(f"{x} {'double' if x[0] == 'q' else 'long'}" for x in kept)
+    spelled_out = met.where("n = 0").select("word", "at").mapInArrow(spell, schema)
+    known = learnt.select("id", "at").join(model.words.select("id", "n", *kept), "id").select("at", "id", "n", *kept)
+    words = known.union(spelled_out).withColumn("at", F.explode("at")).select(F.col("at.block").alias("block"), F.col("at.place").alias("place"), "id", "n", *kept)
+    # Words' rows and the shards' values of a block come together.
+    none = [F.lit(None).cast("long").alias(x) for x in ("place", "id", "n")]
+    beside = words.select("*", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("values")).union(
+        values.select("block", *none, *[F.lit(None).cast("double" if x[0] == "q" else "long").alias(x) for x in kept], "shard", "values")
     )
-    own = met.join(model.pairs, ["before", "word"], "left").select("c", "own", F.explode("at").alias("at"))
-    placed = placed.unionByName(own.select(
-        F.col("at.block").alias("owner"), F.col("at.code").alias("code"), F.lit(None).cast("boolean").alias("starts"), "c", F.lit(0).cast("long").alias("n"), "own",
-        *[none.alias(x) for x in kept],
-    ))
-    texts = table.where("word is null").select("block", "doc_id", "held_out", "places", "follow", "times", "n")
     total, discount = model.tokens, model.discount
     bottom = total + 0.1 * (model.distinct + 1)
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def of(texts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if texts.empty:
-            return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        pairs = rows["starts"].isna()
-        words = rows[~pairs].sort_values("code")
-        pairs = rows[pairs].sort_values("code")
-        code, own = pairs["code"].to_numpy(np.int64), pairs["own"].to_numpy(float)
-        starts, c, n = words["starts"].to_numpy(bool), words["c"].to_numpy(), words["n"].to_numpy()
-        values = {x: words[x].to_numpy() for x in kept}
-        base, single = np.log10((c + 0.1) / bottom), (1 - discount) / (STRENGTH + n)
+            return pd.DataFrame(columns=columns)
+        words = rows[rows["shard"].isna()]
+        id_of, n = words["id"].to_numpy(np.int64), words["n"].to_numpy(float)
+        q = [words[f"q_{i}"].to_numpy(float) for i in range(samples)]
+        back = [(STRENGTH + discount * words[f"tu_{i}"].to_numpy(float)) / (STRENGTH + n) / samples for i in range(samples)]
+        base, single = np.log10((n + 0.1) / bottom), (1 - discount) / (STRENGTH + n)
+        own = {int(r.shard): unpacked(r.values, "<f4") for r in rows[~rows["shard"].isna()].itertuples(index=False)}
+        found = distinct_codes(texts, id_of)
+        value = np.zeros(len(found))
+        if len(found):
+            owner = shard_of(found, shards)
+            for shard, part in own.items():
+                value[owner == shard] = part
         out = []
-        for row in texts.itertuples():
-            before, word, times = np.cumsum(unpacked_numbers(row.places)), unpacked_numbers(row.follow), unpacked_numbers(row.times).astype(float)
-            p = np.zeros(len(before)) if row.held_out else single[before]
-            if len(code):
-                at = np.minimum(np.searchsorted(code, before << 32 | word), len(code) - 1)
-                found = code[at] == before << 32 | word
-                p = np.where(found, np.where(np.isnan(own[at]), single[before], own[at]), p)
+        for row, seq, before in block_codes(texts, id_of, False):
+            if not total:
+                out.append((row.doc_id, row.held_out, row.n, 0, 0, 0.0, 0.0))
+                continue
+            a, b = id_of[before], id_of[seq]
+            both = (a >= 0) & (b >= 0)
+            p = np.zeros(len(seq))
+            v = value[np.searchsorted(found, (a << 32 | b)[both])]
+            p[both] = np.where(v < 0, single[before[both]], v)
             for i in range(samples):
-                q = np.where(starts[before], values[f"q0_{i}"][word], values[f"q1_{i}"][word])
-                p = p + values[f"back_{i}"][before] * q / samples
-            out.append((row.doc_id, row.held_out, row.n, int(times[c[word] > 0].sum()), total, times @ base[word], times @ np.log10(p)))
-        frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                p += back[i][before] * q[i][seq]
+            out.append((row.doc_id, row.held_out, row.n, int((n[seq] > 0).sum()), total, base[seq].sum(), np.log10(p).sum()))
+        frame = pd.DataFrame(out, columns=columns)
         return frame.astype({"doc_id": "Int64"})
 
-    return texts.groupBy("block").cogroup(placed.groupBy("owner")).applyInPandas(
-        of, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
+    return by_block(blocks, beside, of, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def distinct_codes(docs: pd.DataFrame, id_of: np.ndarray) -> np.ndarray:
+    """The block's distinct pairs of known words, sorted."""
+    found, held, pending = np.zeros(0, np.int64), [], 0
+    for _, seq, before in block_codes(docs, id_of, False):
+        a, b = id_of[before], id_of[seq]
+        held.append((a << 32 | b)[(a >= 0) & (b >= 0)])
+        pending += len(held[-1])
+        if pending > 2_000_000:
+            found, held, pending = np.unique(np.concatenate([found, *held])), [], 0
+    return np.unique(np.concatenate([found, *held]))
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
@@ -462,7 +652,10 @@ def perplexity(scores: DataFrame) -> DataFrame:
 
     A fold without rows has no row.
     """
-    of = lambda column: F.pow(F.lit(10.0), -F.sum(column) / F.sum("n_tokens"))
+
+    def of(column: str) -> Column:
+        return F.pow(F.lit(10.0), -F.sum(column) / F.sum("n_tokens"))
+
     return scores.groupBy("held_out").agg(
         F.sum("n_tokens").alias("n_tokens"), of("base_score").alias("base_perplexity"), of("score").alias("perplexity")
     )

@@ -61,7 +61,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), burn_in=1, samples=2)
+    return language_model_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), burn_in=2, samples=2)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

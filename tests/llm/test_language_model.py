@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pairloom.llm.language_model import Spelling, language_model_scores, perplexity, resample_spelling, seat, spelled, stirling_logs
+from pairloom.llm.language_model import Spelling, draws, language_model_scores, perplexity, resample_spelling, seat, spelled, stirling_logs
 
 
 def plain_base(rows):
@@ -54,24 +54,122 @@ def test_nulls_empties_repeats(spark):
 
 def test_tables_follow_the_conditional():
     d, new, grow = 0.4, 0.7, 0.2
-    rng = np.random.default_rng(1)
-    got = np.bincount(seat(np.full(40_000, 4), np.full(40_000, new), np.full(40_000, grow), d, stirling_logs(d), rng), minlength=5)[1:] / 40_000
-    s = np.zeros((5, 5))
-    s[0, 0] = 1
-    for c in range(4):
-        for t in range(1, c + 2):
-            s[c + 1, t] = s[c, t - 1] + (c - d * t) * s[c, t]
-    w = np.array([s[4, t] * math.prod(new + grow * i for i in range(t)) for t in range(1, 5)])
+    names = np.arange(40_000)
+    got = np.bincount(seat(np.full(40_000, 4), np.full(40_000, new), np.full(40_000, grow), d, stirling_logs(d), names, 1), minlength=5)[1:] / 40_000
+    s = stirling_logs(d, 300)
+    w = np.exp(s[4, 1:5]) * np.array([math.prod(new + grow * i for i in range(t)) for t in range(1, 5)])
     assert got == pytest.approx(w / w.sum(), abs=0.01)
-    many = seat(np.full(500, 100_000), np.full(500, 3.0), np.zeros(500), 0.0, stirling_logs(0.0), rng)
-    assert many.mean() == pytest.approx(3 * math.log(100_000 / 3), rel=0.1)
+    # Beyond the table the law stays that of the exact numbers.
+    for d, new, grow in ((0.4, 0.7, 0.02), (0.8, 5.0, 0.05), (0.6, 0.05, 0.001), (0.5, 40.0, 0.1), (0.9, 300.0, 0.3)):
+        logs = stirling_logs(d, 2000)[2000, 1:2001] + np.cumsum(np.log(new + grow * np.arange(2000)))
+        w = np.exp(logs - logs.max())
+        w, t = w / w.sum(), np.arange(1, 2001)
+        mean = w @ t
+        spread = np.sqrt(w @ (t - mean) ** 2)
+        got = seat(np.full(4000, 2000), np.full(4000, new), np.full(4000, grow), d, stirling_logs(d), names[:4000], 2)
+        print(f"d {d} new {new}: exact mean {mean:.2f} spread {spread:.2f}, drawn {got.mean():.2f} {got.std():.2f}")
+        assert abs(got.mean() - mean) < 0.08 * spread + 0.02 * mean and abs(got.std() - spread) < 0.1 * spread + 0.02
+
+
+def test_draws_depend_on_names_only():
+    c, new = np.array([3, 70, 5000, 2]), np.array([0.5, 2.0, 9.0, 0.1])
+    names = np.array([11, 12, 13, 14])
+    got = seat(c, new, new * 0.1, 0.5, stirling_logs(0.5), names, 3)
+    back = seat(c[::-1], new[::-1], new[::-1] * 0.1, 0.5, stirling_logs(0.5), np.ascontiguousarray(names[::-1]), 3)
+    assert got.tolist() == back[::-1].tolist()
+    u = draws(np.arange(100_000), 5, 1)
+    assert u.mean() == pytest.approx(0.5, abs=0.01) and u.var() == pytest.approx(1 / 12, abs=0.01)
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {r.doc_id: r.score for r in language_model_scores(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in language_model_scores(docs.repartition(7, "doc_id")).collect()}
+    assert one.keys() == many.keys() and all(many[i] == pytest.approx(one[i], rel=1e-5) for i in one)
+
+
+def test_the_model_is_near_a_plain_sampler(spark):
+    """A corpus of ten words against a customer-by-customer sampler of the two levels of words."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(10)]
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 10]
+    texts = [" ".join(rng.choice(vocabulary, 4, p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05, 0.04, 0.03, 0.03]).tolist()) for _ in ids[:60]]
+    rows = list(zip(ids, texts))
+    got = {r.doc_id: r.score for r in language_model_scores(spark.createDataFrame(rows, "doc_id long, text string"), burn_in=10, samples=10).collect()}
+    want = plain_sampler(rows)
+    error = np.array([got[i] - want[i] for i in got]) / 5
+    print(f"log10 of a token: mean difference {error.mean():.4f}, largest {np.abs(error).max():.4f}")
+    assert abs(error.mean()) < 0.02 and np.abs(error).max() < 0.05
+
+
+def plain_sampler(rows, sweeps=300, burn=100):
+    """Text's log10 probabilities by Gibbs sampling of single customers; the base of words is their shape's own: a constant for each."""
+    rng = np.random.default_rng(1)
+    pairs = [(a, b) for _, t in rows for a, b in zip([""] + t.split(), t.split() + [""])]
+    counts = Counter(pairs)
+    twos = [sum(c == k for c in counts.values()) for k in (1, 2)]
+    d2 = min(0.95, max(0.05, twos[0] / (twos[0] + 2 * twos[1])))
+    heads = Counter(b for _, b in counts)
+    # Words have one table in each restaurant at first, by which their own discount is set.
+    ones = [sum(c == k for c in heads.values()) for k in (1, 2)]
+    d1 = min(0.95, max(0.05, ones[0] / (ones[0] + 2 * ones[1]))) if ones[0] else 0.5
+    base = 1 / 40
+    low: dict = {}
+    high: dict = {}
+
+    def p_low(w):
+        c, t = sum(low.get(w, [])), len(low.get(w, []))
+        every, tables = sum(map(sum, low.values())), sum(map(len, low.values()))
+        return (c - d1 * t + (1 + d1 * tables) * base) / (1 + every)
+
+    def add(restaurant, w, d, tables, p_new):
+        own = restaurant.setdefault(w, [])
+        weight = np.array([n - d for n in own] + [(1 + d * tables) * p_new])
+        k = rng.choice(len(weight), p=weight / weight.sum())
+        if k == len(own):
+            own.append(1)
+            return True
+        own[k] += 1
+        return False
+
+    def remove(restaurant, w):
+        own = restaurant[w]
+        k = rng.choice(len(own), p=np.array(own) / sum(own))
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            return True
+        return False
+
+    def enter(a, w):
+        if add(high.setdefault(a, {}), w, d2, sum(map(len, high[a].values())), p_low(w)):
+            add(low, w, d1, sum(map(len, low.values())), base)
+
+    for a, w in pairs:
+        enter(a, w)
+    means, taken = {}, 0
+    for sweep in range(sweeps):
+        for a, w in pairs:
+            if remove(high[a], w):
+                remove(low, w)
+            enter(a, w)
+        if sweep >= burn and sweep % 5 == 0:
+            score = {}
+            for a, w in counts:
+                tables, every = sum(map(len, high[a].values())), sum(map(sum, high[a].values()))
+                own = high[a].get(w, [])
+                score[a, w] = (sum(own) - d2 * len(own) + (1 + d2 * tables) * p_low(w)) / (1 + every)
+            for k in score:
+                means[k] = means.get(k, 0.0) + score[k]
+            taken += 1
+    return {i: sum(math.log10(means[p] / taken) for p in zip([""] + t.split(), t.split() + [""])) for i, t in rows}
 
 
 def test_spelling_is_a_distribution():
     codes, begin = spelled([b"ab", b"", b"abc"])
     assert begin.tolist() == [0, 3, 4] and len(codes) == 8
     found, counts = np.unique(codes, return_counts=True)
-    model: Spelling = resample_spelling(found, counts, np.random.default_rng(2))
+    model: Spelling = resample_spelling(found, counts, 2)
     one = [bytes([a]) for a in range(256)]
     # Every first byte followed by the end, and the bare end: less than all words together.
     assert 0 < np.exp(model.word_logs([b"", *one])).sum() < 1
