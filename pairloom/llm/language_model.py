@@ -289,7 +289,7 @@ def numbered(words: DataFrame) -> DataFrame:
 
     The driver fetches one number a partition. A pair of ids has to fit 64 bits, so 2^32 words are an error.
     """
-    marked = stored(words.withColumn("_at", F.monotonically_increasing_id()), "words")
+    marked = stored(words.withColumn("_at", F.monotonically_increasing_id()), "numbered-words")
     marked = marked.withColumn("_part", F.shiftright("_at", 33))
     sizes = marked.groupBy("_part").agg(F.count("*").alias("rows")).orderBy("_part").collect()
     first, total = [], 0
@@ -414,21 +414,27 @@ def counted_shards(messages: DataFrame) -> DataFrame:
     return messages.groupBy("shard").applyInPandas(of, SHARD)
 
 
-def sums_by_word(shards: DataFrame) -> DataFrame:
-    """(id, c, tu): the tables of each word in all restaurants, and those of all words after it."""
+def sums_by_word(shards: DataFrame, single: bool) -> DataFrame:
+    """(id, c, tu): the tables of each word in all restaurants, and those of all words after it; of single or of repeated pairs."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                t, out = unpacked(row.t).astype(np.int64), []
-                for ids, single in ((unpacked(row.word), row.single_words), (unpacked(row.before), row.singles)):
-                    more, count = unpacked(single).astype(np.int64).reshape(2, -1)
-                    every, place = np.unique(np.concatenate([ids.astype(np.int64), more]), return_inverse=True)
-                    out.append((every, np.bincount(place, np.concatenate([t, count]), minlength=len(every)).astype(np.int64)))
-                (w, c), (u, tu) = out
-                yield pd.DataFrame({"id": np.concatenate([w, u]), "c": np.concatenate([c, np.zeros(len(u), np.int64)]), "tu": np.concatenate([np.zeros(len(w), np.int64), tu])})
+                if single:
+                    (w, c), (u, tu) = (unpacked(x).astype(np.int64).reshape(2, -1) for x in (row.single_words, row.singles))
+                else:
+                    t = unpacked(row.t).astype(np.int64)
+                    (w, c), (u, tu) = (summed(unpacked(x).astype(np.int64), t) for x in (row.word, row.before))
+                yield pd.DataFrame({"id": np.concatenate([w, u]), "c": np.concatenate([c, 0 * tu]), "tu": np.concatenate([0 * c, tu])})
 
-    return shards.mapInPandas(of, "id long, c long, tu long").groupBy("id").agg(F.sum("c").alias("c"), F.sum("tu").alias("tu"))
+    own = shards.select(*(("singles", "single_words") if single else ("before", "word", "t")))
+    return own.mapInPandas(of, "id long, c long, tu long").groupBy("id").agg(F.sum("c").alias("c"), F.sum("tu").alias("tu"))
+
+
+def summed(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and the sum of each one's values."""
+    every, place = np.unique(ids, return_inverse=True)
+    return every, np.bincount(place, values, minlength=len(every)).astype(np.int64)
 
 
 def shard_words(shards: DataFrame) -> DataFrame:
@@ -445,16 +451,16 @@ def shard_words(shards: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Seatings of a corpus: words' q_i, n and tu_i of each sample, the repeated pairs' averaged shares, and what holds for all."""
+    """Seatings of a corpus: of each sample, what the words and the repeated pairs have, and what holds for all."""
 
-    words: DataFrame
+    words: DataFrame  # q_i, a logarithm, and tu_i of the words of over one token
     shards: DataFrame
     spellings: list[Spelling]
-    unseen: list[float]  # of each sample, the weight of the spelling for a word of no table
+    unseen: list[float]  # of each sample, the weight of the spelling
+    alone: list[float]  # and what a word of one token has beside it
     discount: float
     tokens: int
     distinct: int
-    samples: int
 
 
 def pair_seater(discount: float, parents: int, samples: int, taken: bool, seed: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -485,53 +491,64 @@ def seatings(words: DataFrame, shards: DataFrame, burn_in: int, samples: int, se
     """The model of the stored ``words`` (id, h, word, n) and ``shards`` (as of :func:`counted_shards`).
 
     A sweep seats the words' restaurant, then all restaurants of preceding words given its probabilities, each
-    dish's own tables taken out first.
+    dish's own tables taken out first. A word of one token has one customer, one table and one table after it in any
+    seating, so such words take no part in the sweeps.
     """
     names = stored(shard_words(shards), "shard-words")
     kept = [f"{x}_{i}" for i in range(samples) for x in ("q", "tu")]
+    columns = ["id", "h", "word", "n", "fc", "fu", "c", "tu", "t", "q", *kept]
+    zero, none = F.lit(0).cast("long"), F.lit(0.0).cast("float")
 
-    def with_sums(state: DataFrame, sums: DataFrame) -> DataFrame:
+    def with_sums(state: DataFrame, old: DataFrame | None) -> DataFrame:
+        out = state.drop("c", "tu").join(sums_by_word(shards, False), "id", "left").fillna(0, ["c", "tu"])
+        out = out.withColumns({"c": F.col("c") + F.col("fc"), "tu": F.col("tu") + F.col("fu")})
         t = F.least("c", F.greatest("t", F.least("c", F.lit(1).cast("long"))))
-        out = state.drop("c", "tu").join(sums, "id", "left").fillna(0, ["c", "tu"])
-        return stored(out.withColumn("t", t).select(*columns), "seating")
-
-    columns = ["id", "h", "word", "n", "c", "tu", "t", "q", *kept]
-    zero = F.lit(0).cast("long")
-    state = words.select("id", "h", "word", "n", zero.alias("t"), F.lit(0.0).alias("q"), *[(F.lit(0.0) if x[0] == "q" else zero).alias(x) for x in kept])
-    state = with_sums(state, sums_by_word(shards))
-    facts = state.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
-    discount = discount_of(facts["ones"], facts["twos"])
+        return stored(out.withColumn("t", t).select(*columns), "seating", old)
+
+    single = sums_by_word(shards, True).select("id", F.col("c").alias("fc"), F.col("tu").alias("fu"))
+    once = words.where("n = 1").select("word", F.lit(1).cast("long").alias("t"))
+    once_letters = letter_counts(once)
+    facts = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
+    fixed = facts["once"] or 0
+    state = words.where("n > 1").select("id", "h", "word", "n").join(single, "id", "left").fillna(0, ["fc", "fu"])
+    state = with_sums(state.select("*", zero.alias("t"), none.alias("q"), *[(none if x[0] == "q" else zero).alias(x) for x in kept]), None)
+    few = state.agg(F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
+    discount = discount_of(few["ones"] + fixed, few["twos"])
     few = shards.mapInPandas(once_and_twice, "ones long, twos long").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
     pair_discount = discount_of(few["ones"] or 0, few["twos"] or 0)
-    spellings, unseen = [], []
+    spellings, unseen, alone = [], [], []
     for sweep in range(burn_in + samples if facts["v"] else 0):
         sample = sweep - burn_in
-        spelling = resample_spelling(*letter_counts(state), seed=seed + 1000 * sweep)
-        sums = state.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first().asDict()
+        letters = [np.concatenate(x) for x in zip(letter_counts(state), once_letters)]
+        spelling = resample_spelling(*summed(*letters), seed=seed + 1000 * sweep)
+        row = state.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first()
+        parents, tables = (row["c"] or 0) + fixed, (row["t"] or 0) + fixed
+        weight = (STRENGTH + discount * tables) / (STRENGTH + parents)
 
-        def seat_words(batches, sweep=sweep, sample=sample, spelling=spelling, sums=sums) -> Iterator[pd.DataFrame]:
+        def seat_words(batches, sweep=sweep, sample=sample, spelling=spelling, parents=parents, tables=tables) -> Iterator[pd.DataFrame]:
             logs = stirling_logs(discount)
             for batch in batches:
                 if batch.empty:
                     continue
                 base = np.exp(spelling.word_logs(batch["word"].tolist()))
                 t, c, dish = batch["t"].to_numpy(), batch["c"].to_numpy(), batch["h"].to_numpy()
-                new = seat(c, (STRENGTH + discount * (sums["t"] - t)) * base, discount * base, discount, logs, dish, seed + 1000 * sweep + 500)
-                q = (c - discount * t + (STRENGTH + discount * sums["t"]) * base) / (STRENGTH + sums["c"])
-                taken = {f"q_{sample}": q, f"tu_{sample}": batch["tu"].to_numpy()} if sample >= 0 else {}
+                new = seat(c, (STRENGTH + discount * (tables - t)) * base, discount * base, discount, logs, dish, seed + 1000 * sweep + 500)
+                q = (c - discount * t + (STRENGTH + discount * tables) * base) / (STRENGTH + parents)
+                taken = {f"q_{sample}": np.log(q), f"tu_{sample}": batch["tu"].to_numpy()} if sample >= 0 else {}
                 yield batch.assign(t=new, q=q, **taken)
 
-        state = stored(state.mapInPandas(seat_words, state.schema), "seating")
+        state = stored(state.mapInPandas(seat_words, state.schema), "seating", state)
         if sample >= 0:
             spellings.append(spelling)
-            unseen.append((STRENGTH + discount * sums["t"]) / (STRENGTH + sums["c"]))
+            unseen.append(weight)
+            alone.append((1 - discount) / (STRENGTH + parents))
         beside = names.join(state.select("id", "h", "n", "tu", "q"), "id")
-        shards = stored(shards.groupBy("shard").cogroup(beside.groupBy("shard")).applyInPandas(
-            pair_seater(pair_discount, sums["c"], samples, sample >= 0, seed + 1000 * sweep + 700), SHARD
-        ), "shards")
+        seater = pair_seater(pair_discount, parents, samples, sample >= 0, seed + 1000 * sweep + 700)
+        old = shards if sweep else None
+        shards = stored(shards.groupBy("shard").cogroup(beside.groupBy("shard")).applyInPandas(seater, SHARD), "shards", old)
         if sweep + 1 < burn_in + samples:
-            state = with_sums(state, sums_by_word(shards))
-    return Model(state, shards, spellings, unseen, pair_discount, facts["n"] or 0, facts["v"], samples)
+            state = with_sums(state, state)
+    return Model(state, shards, spellings, unseen, alone, pair_discount, facts["n"] or 0, facts["v"])
 
 
 def once_and_twice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -569,6 +586,7 @@ def language_model_scores(docs: DataFrame, burn_in: int = 2, samples: int = 2) -
     table = stored(tokenised(docs), "tokens")
     blocks = table.where("word is null").select("block", "doc_id", "held_out", "seq", "n")
     met = table.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "place")).alias("at"))
+    met = stored(met, "words")
     learnt = numbered(met.where("n > 0"))
     tokens = learnt.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(tokens / SHARD_TOKENS))
@@ -578,24 +596,26 @@ def language_model_scores(docs: DataFrame, burn_in: int = 2, samples: int = 2) -
     model = seatings(learnt.select("id", "h", "word", "n"), made.where("block is null"), burn_in, samples)
     values = shard_values(made.where("block is not null").select("block", "shard", "place"), model)
     kept = [f"{x}_{i}" for i in range(samples) for x in ("q", "tu")]
-    spellings, unseen = model.spellings, model.unseen
+    spellings, unseen, alone = model.spellings, model.unseen, model.alone
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, size = batch.column(0).to_pylist(), batch.num_rows
-            logs = {f"q_{i}": unseen[i] * np.exp(s.word_logs(words)) for i, s in enumerate(spellings)}
-            zero = np.zeros(size, np.int64)
-            values = [pa.array(logs.get(x, np.zeros(size)) if x[0] == "q" else zero) for x in kept]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(zero - 1), pa.array(zero), *values], names=["at", "id", "n", *kept])
-
-    schema = "at array<struct<block:long,place:int>>, id long, n long, " + ", ".join(f"{x} {'double' if x[0] == 'q' else 'long'}" for x in kept)
-    spelled_out = met.where("n = 0").select("word", "at").mapInArrow(spell, schema)
-    known = learnt.select("id", "at").join(model.words.select("id", "n", *kept), "id").select("at", "id", "n", *kept)
+            words, n = batch.column(0).to_pylist(), batch.column(3).to_numpy()
+            with np.errstate(divide="ignore"):
+                q = [np.logaddexp(math.log(unseen[i]) + s.word_logs(words), np.log(alone[i] * n)) for i, s in enumerate(spellings)]
+            q = [pa.array(x.astype(np.float32)) for x in q]
+            q += [pa.array(np.zeros(len(words), np.float32))] * (samples - len(q))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[x for each in q for x in (each, batch.column(3))]], names=["at", "id", "n", *kept])
+
+    schema = "at array<struct<block:long,place:int>>, id long, n long, " + ", ".join(f"{x} {'float' if x[0] == 'q' else 'long'}" for x in kept)
+    rare = met.where("n = 0").select("word", "at", F.lit(-1).cast("long").alias("id"), "n").union(learnt.where("n = 1").select("word", "at", "id", "n"))
+    spelled_out = rare.mapInArrow(spell, schema)
+    known = learnt.where("n > 1").select("id", "at").join(model.words.select("id", "n", *kept), "id").select("at", "id", "n", *kept)
     words = known.union(spelled_out).withColumn("at", F.explode("at")).select(F.col("at.block").alias("block"), F.col("at.place").alias("place"), "id", "n", *kept)
     # Words' rows and the shards' values of a block come together.
     none = [F.lit(None).cast("long").alias(x) for x in ("place", "id", "n")]
     beside = words.select("*", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("values")).union(
-        values.select("block", *none, *[F.lit(None).cast("double" if x[0] == "q" else "long").alias(x) for x in kept], "shard", "values")
+        values.select("block", *none, *[F.lit(None).cast("float" if x[0] == "q" else "long").alias(x) for x in kept], "shard", "values")
     )
     total, discount = model.tokens, model.discount
     bottom = total + 0.1 * (model.distinct + 1)
@@ -607,7 +627,7 @@ def language_model_scores(docs: DataFrame, burn_in: int = 2, samples: int = 2) -
         words = rows[rows["shard"].isna()]
         id_of, n = words["id"].to_numpy(np.int64), words["n"].to_numpy(float)
         q = [words[f"q_{i}"].to_numpy(float) for i in range(samples)]
-        back = [(STRENGTH + discount * words[f"tu_{i}"].to_numpy(float)) / (STRENGTH + n) / samples for i in range(samples)]
+        back = [np.log((STRENGTH + discount * words[f"tu_{i}"].to_numpy(float)) / (STRENGTH + n) / samples) for i in range(samples)]
         base, single = np.log10((n + 0.1) / bottom), (1 - discount) / (STRENGTH + n)
         own = {int(r.shard): unpacked(r.values, "<f4") for r in rows[~rows["shard"].isna()].itertuples(index=False)}
         found = distinct_codes(texts, id_of)
@@ -626,9 +646,12 @@ def language_model_scores(docs: DataFrame, burn_in: int = 2, samples: int = 2) -
             p = np.zeros(len(seq))
             v = value[np.searchsorted(found, (a << 32 | b)[both])]
             p[both] = np.where(v < 0, single[before[both]], v)
+            # A long word's spelling is less likely than a float can say, so logarithms are added.
+            with np.errstate(divide="ignore"):
+                p = np.log(p)
             for i in range(samples):
-                p += back[i][before] * q[i][seq]
-            out.append((row.doc_id, row.held_out, row.n, int((n[seq] > 0).sum()), total, base[seq].sum(), np.log10(p).sum()))
+                p = np.logaddexp(p, back[i][before] + q[i][seq])
+            out.append((row.doc_id, row.held_out, row.n, int((n[seq] > 0).sum()), total, base[seq].sum(), p.sum() / math.log(10)))
         frame = pd.DataFrame(out, columns=columns)
         return frame.astype({"doc_id": "Int64"})
 

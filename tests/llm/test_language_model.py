@@ -44,9 +44,11 @@ def test_base_equals_brute_force_and_the_model_beats_it(spark):
 
 
 def test_nulls_empties_repeats(spark):
-    rows = [(1, None), (2, ""), (3, "A a Ä b"), (3, "A a Ä b"), (None, "zz a"), (5, "long " * 100_000), *((i, f"w{i % 3} x") for i in range(10, 40))]
+    rows = [(1, None), (2, ""), (3, "A a Ä b"), (3, "A a Ä b"), (None, "zz a"), (5, "long " * 100_000), (6, "y" * 50_000), (None, "z" * 50_000), *((i, f"w{i % 3} x") for i in range(10, 40))]
     docs = spark.createDataFrame([(*r, 1, "w") for r in rows], "doc_id long, text string, n int, word string")
-    compare(language_model_scores(docs).collect(), plain_base(rows))
+    got = language_model_scores(docs).collect()
+    compare(got, plain_base(rows))
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert language_model_scores(docs.where("false")).count() == 0
     alone = language_model_scores(docs.where("doc_id is null")).collect()
     assert alone[0].train_tokens == 0 and alone[0].score == alone[0].base_score == 0
