@@ -18,12 +18,12 @@ def with_row_index(df: DataFrame, order: list[Column], name: str = "idx") -> Dat
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # The written table fixes the partitions, which a sample chose.
     placed = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "row-index")
-    part = F.shiftright("_at", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
-    offsets, total = {}, 0
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    offsets, total = [], 0
     for row in sizes:
-        offsets[row["part"]] = total
+        offsets.append((row["_part"], total))
         total += row["n"]
-    before = F.element_at(F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]), part) if offsets else F.lit(0)
-    place = (before + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long")
-    return placed.withColumn(name, place).drop("_at")
+    before = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_at", "_part", "_before")

@@ -24,13 +24,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """``df``, written once as Parquet in the shared folder and read again.
 
     This cuts the lineage: a lost executor costs the tasks of a later step only, and a
-    frame that several steps need is computed once.
+    frame that several steps need is computed once. ``instead_of``, an earlier table of this
+    function that no later step reads, is deleted after that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if instead_of is not None:
+        discard(instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that :func:`stored` gave."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

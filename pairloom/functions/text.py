@@ -91,8 +91,26 @@ def duration(seconds: Column) -> Column:
     return F.concat(F.floor(s / 86400).cast("string"), F.lit("d "), part(3600, 24), F.lit(":"), part(60, 60), F.lit(":"), part(1, 60))
 
 
-def formatted(template: Column, *arguments: Column) -> Column:
-    """A template with its placeholders ``{0}``, ``{1}``, ... replaced."""
-    for n, argument in enumerate(arguments):
-        template = F.replace(template, F.lit("{%d}" % n), argument.cast("string"))
-    return template
+def fixed(value: Column, decimals: int) -> Column:
+    """A number with so many decimals, halves rounded away from zero; null is nothing."""
+    return F.coalesce(F.round(value, decimals).cast(f"decimal(30,{decimals})").cast("string"), F.lit(""))
+
+
+def formatted(template: Column, *arguments: Column, most_decimals: int = 3) -> Column:
+    """A template with its items replaced in one pass: ``{0}``, ``{1}``, ..., and ``{0:F1}``, ``{0:F2}``, ... with decimals.
+
+    ``{{`` and ``}}`` are braces. What an argument contains is never taken for an item. Null is nothing; an item
+    without an argument, or with another format, stays as it is. A number without a
+    format is shown as it is; decimals from 0 to ``most_decimals`` are known, of numeric arguments only.
+    """
+    parts = F.regexp_extract_all(template, F.lit(r"(?s)(\{\{|\}\}|\{[0-9]+(?::[Ff][0-9])?\}|[^{}]+|[{}])"), F.lit(1))
+
+    def shown(part: Column) -> Column:
+        out = F.when(part == "{{", "{").when(part == "}}", "}")
+        for n, argument in enumerate(arguments):
+            out = out.when(part == "{%d}" % n, F.coalesce(argument.cast("string"), F.lit("")))
+            for d in range(most_decimals + 1):
+                out = out.when(F.upper(part) == "{%d:F%d}" % (n, d), fixed(argument.try_cast("decimal(30,10)"), d))
+        return out.otherwise(part)
+
+    return F.array_join(F.transform(parts, shown), "")

@@ -20,13 +20,13 @@ def parsed(exif: Column) -> Column:
     """struct(valid, width, height, orientation, has_thumbnail) of an EXIF reader's JSON: an array of one object.
 
     Width and height may be numbers or numbers in quotes; anything else is 0. A thumbnail is there
-    if its key is, even if null. Text that is no array of an object, or whose orientation is a
-    number, isn't valid.
+    if its key is, even if null. Text that is no array of an object, or whose orientation is
+    there, not null and no string, isn't valid.
     """
     one = F.get(F.from_json(exif, FIELDS), F.lit(0))
     inner = F.regexp_replace(exif, r"^\s*\[|\]\s*$", "")
-    number = F.regexp_like(exif, F.lit(r'"Orientation"\s*:\s*[-0-9]'))
-    valid = F.coalesce(F.trim(exif).startswith("[") & one.isNotNull() & ~number, F.lit(False))
+    kind = F.schema_of_variant(F.variant_get(F.try_parse_json(exif), "$[0].Orientation", "variant"))
+    valid = F.coalesce(F.trim(exif).startswith("[") & one.isNotNull() & F.coalesce(kind.isin("STRING", "VOID"), F.lit(True)), F.lit(False))
     return F.struct(
         valid.alias("valid"),
         F.coalesce(one["ImageWidth"].try_cast("int"), F.lit(0)).alias("width"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,9 @@ MIME = r'(?is)Item:Semantic="MotionPhoto"[^>]*Item:Mime="([^"]+)"|Item:Mime="([^
 #: The brands of a container that is MP4.
 MP4_BRANDS = "^(isom|mp4|avc1|hvc1|hev1)"
 CHUNK = 81_920
+#: The part of a file that is searched for metadata.
+PREFIX = 1 << 20
+OLD_LENGTHS = re.compile(rb'GCamera:MicroVideoOffset="[0-9]+"|Item:Semantic="MotionPhoto"[^>]*Item:Length="[0-9]+"|Item:Length="[0-9]+"[^>]*Item:Semantic="MotionPhoto"', re.IGNORECASE | re.DOTALL)
 
 
 def either(text: Column, pattern: str) -> Column:
@@ -147,36 +151,53 @@ def write_splits(plan: DataFrame) -> DataFrame:
     return plan.mapInPandas(write, "ordinal long, status string, details string")
 
 
+def with_length(head: bytes, video: int) -> bytes:
+    """A JPEG's first bytes with the video's length in their metadata, in place of any length that is there.
+
+    The old items are blanked, so no other byte moves; the new length stands in a comment segment after the start marker.
+    """
+    if head[:2] != b"\xff\xd8":
+        raise ValueError("no JPEG: the video's length has no place")
+    head = OLD_LENGTHS.sub(lambda m: b" " * len(m[0]), head)
+    note = b'GCamera:MicroVideoOffset="%d"' % video
+    return head[:2] + b"\xff\xfe" + (len(note) + 2).to_bytes(2, "big") + note + head[2:]
+
+
+def merge_files(image: str, video: str, output: str) -> None:
+    """The image's bytes, with the video's length in their first PREFIX, then the video's; no half-written file stays."""
+    part = f"{output}.part"
+    try:
+        with open(image, "rb") as photo, open(video, "rb") as film, open(part, "wb") as write:
+            length = os.fstat(film.fileno()).st_size
+            if not length:
+                raise ValueError("the video is empty")
+            write.write(with_length(photo.read(PREFIX), length))
+            for source in (photo, film):
+                while data := source.read(CHUNK):
+                    write.write(data)
+        os.replace(part, output)
+    finally:
+        if os.path.exists(part):
+            os.unlink(part)
+
+
 def write_merges(pairs: DataFrame) -> DataFrame:
     """Writes image and video of each row (ordinal, image, video, output) into one file: (ordinal, status, details).
 
     The layout is this library's own, the inverse of splitting: the image's bytes, then the
-    video's. Where the image has no length metadata, a comment segment with the video's length is put
-    after a JPEG's start marker, so that the result can be split again.
+    video's, whose length stands in a comment segment after the JPEG's start marker. Lengths that the
+    image's metadata already has are blanked. An image that is no JPEG, or an empty video, fails.
+    Files are copied in chunks.
     """
 
-    def merge(image: str, video: str, output: str) -> None:
-        with open(image, "rb") as file:
-            photo = file.read()
-        length = os.path.getsize(video)
-        note = f'GCamera:MicroVideoOffset="{length}"'.encode()
-        if b"GCamera:MicroVideoOffset" not in photo and photo[:2] == b"\xff\xd8":
-            photo = photo[:2] + b"\xff\xfe" + (len(note) + 2).to_bytes(2, "big") + note + photo[2:]
-        part = f"{output}.part"
-        with open(part, "wb") as write, open(video, "rb") as read:
-            write.write(photo)
-            while data := read.read(CHUNK):
-                write.write(data)
-        os.replace(part, output)
-
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples():
                 try:
-                    merge(row.image, row.video, row.output)
+                    merge_files(row.image, row.video, row.output)
                     out.append((row.ordinal, "Success", ""))
-                except OSError as error:
+                except (OSError, ValueError) as error:
                     out.append((row.ordinal, "Failed", str(error)))
             yield pd.DataFrame(out, columns=["ordinal", "status", "details"])
 

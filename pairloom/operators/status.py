@@ -88,6 +88,19 @@ def neighbours(tasks: DataFrame, centre: int, forward: bool = True, near: int =
     return tasks.where(index.between(low, high) & (index != centre) & ~F.col("has_thumbnail"))
 
 
+def neighbours_of_all(tasks: DataFrame, centres: list[tuple[int, bool]], near: int = 5, far: int = 10) -> DataFrame:
+    """(centre, forward and the columns of ``tasks``): the neighbours of a short list of (centre, forward), in one pass."""
+    index = F.col("idx") - 1
+    ranges = [(c - near, c + far) if forward else (c - far, c + near) for c, forward in centres]
+    listed = F.array(*[
+        F.struct(F.lit(c).alias("centre"), F.lit(forward).alias("forward"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+        for (c, forward), (low, high) in zip(centres, ranges)
+    ])
+    around = F.filter(listed, lambda x: index.between(x["low"], x["high"]) & (index != x["centre"]))
+    wanted = tasks.where(~F.col("has_thumbnail")).withColumn("_c", F.explode(around))
+    return wanted.select(F.col("_c.centre").alias("centre"), F.col("_c.forward").alias("forward"), *tasks.columns)
+
+
 def applied(tasks: DataFrame, results: DataFrame) -> DataFrame:
     """Tasks with a run's results (idx, ok, message): status, progress_text and details."""
     joined = tasks.join(results, "idx", "left")

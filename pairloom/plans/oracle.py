@@ -238,6 +238,10 @@ SQL: dict[str, str] = {
       lpad(CAST({ELAPSED} % 60 AS VARCHAR), 2, '0') AS lasted FROM events""",
     "name_template": """SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) || ': ' || n_name || ' of ' || CAST(n_regionkey AS VARCHAR) AS line,
       CASE WHEN n_nationkey % 3 = 0 THEN '(unknown)' ELSE n_name END AS known FROM nation""",
+    "number_template": """SELECT c_custkey, printf('%.1f', CAST(round(CAST(c_acctbal AS DECIMAL(30,10)), 1) AS DOUBLE)) || ' of {0}' || c_name || ', {0} ' ||
+      printf('%.2f', CAST(round(CAST(c_acctbal AS DECIMAL(30,10)), 2) AS DOUBLE)) || '  {3}' AS line FROM customer""",
+    "orientation_kinds": """SELECT p_partkey, CASE WHEN p_partkey % 9 IN (0, 3, 7) THEN 'NeedsRebuild' ELSE 'Error' END AS issue_type,
+      CASE WHEN p_partkey % 9 = 0 THEN 90 ELSE 0 END AS rotation_angle FROM part""",
     "existing_paths": f"WITH {ARTIFACTS} SELECT ordinal, file_name FROM found WHERE kind <> 'dump' AND ordinal % 4 NOT IN (0, 1)",
     "session_documents": """SELECT 's' || CAST(user_id AS VARCHAR) AS "SessionId", arg_max(event_id, ts) AS tasks, arg_max(event_type = 'view', ts) AS clean,
       arg_max(event_type, ts) AS breadcrumbs FROM events GROUP BY user_id""",

@@ -151,12 +151,9 @@ def applied_results(spark, sf_dir):
 
 @query
 def prefetch_window(spark, sf_dir):
-    tasks = derived.tasks(spark, sf_dir)
-    out = None
-    for centre, forward in ((0, True), (700, True), (700, False), (1498, True)):
-        part = status.neighbours(tasks, centre, forward).select(F.lit(centre).alias("centre"), F.lit(forward).alias("forward"), "idx", "file_name")
-        out = part if out is None else out.union(part)
-    return out
+    return status.neighbours_of_all(derived.tasks(spark, sf_dir), [(0, True), (700, True), (700, False), (1498, True)]).select(
+        "centre", "forward", "idx", "file_name"
+    )
 
 
 @query
@@ -279,6 +276,23 @@ def name_template(spark, sf_dir):
     )
 
 
+@query
+def number_template(spark, sf_dir):
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_name")
+    line = text.formatted(F.lit("{0:F1} of {1}, {{0}} {0:F2} {2} {3}"), F.col("c_acctbal"), F.concat(F.lit("{0}"), "c_name"), F.lit(None).cast("string"))
+    return customer.select("c_custkey", line.alias("line"))
+
+
+@query
+def orientation_kinds(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    i = F.col("p_partkey")
+    kinds = ['"Rotate 90 CW"', "6", "true", "null", '["Rotate 90"]', '{"a":"90"}', "-1.5", '""', "false"]
+    value = F.element_at(F.array(*[F.lit(x) for x in kinds]), (i % len(kinds) + 1).cast("int"))
+    exif = F.concat(F.lit('[{"ImageWidth":4,"ImageHeight":3,"Orientation":'), value, F.lit("}]"))
+    return repair.analysed(part.select("p_partkey", exif.alias("exif"))).select("p_partkey", "issue_type", "rotation_angle")
+
+
 @query
 def existing_paths(spark, sf_dir):
     files = derived.artifact_files(spark, sf_dir)

@@ -31,7 +31,7 @@ class ListingReader(DataSourceReader):
     def partitions(self) -> list[Names]:
         out, ordinal = [], 0
         for directory in self.directories:
-            if not os.path.isdir(directory):
+            if not directory.strip() or not os.path.isdir(directory):
                 continue
             with os.scandir(directory) as entries:
                 names = sorted(e.name for e in entries if e.is_file())
@@ -63,7 +63,7 @@ class ListingReader(DataSourceReader):
 class MediaListing(DataSource):
     """All files of the directories in option ``paths`` (one a line), without their subdirectories.
 
-    The ordinal is the rank of a file's directory and name. A missing directory has no files. With
+    The ordinal is the rank of a file's directory and name. A missing or blank directory has no files. With
     option ``prefix_bytes`` the column head has that many first bytes, null if they can't be read.
     """
 

@@ -76,6 +76,27 @@ def test_splitting_round_trip(spark, folder, tmp_path):
     assert not [n for n in os.listdir(out) if n.endswith(".part")]
 
 
+def test_a_blank_directory_has_no_files(spark):
+    assert list_files(spark, "", " ").count() == 0
+
+
+def test_merging_replaces_old_lengths_and_leaves_no_part(spark, tmp_path):
+    old = xmp('GCamera:MicroVideoOffset="17"<x Item:Length="9" Item:Semantic="MotionPhoto"/>')
+    files = {"old.jpg": old, "no.png": b"\x89PNG", "v.mp4": VIDEO_MP4, "none.mp4": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    place = lambda n: str(tmp_path / n)
+    rows = [(1, place("old.jpg"), place("v.mp4"), place("a.jpg")), (2, place("no.png"), place("v.mp4"), place("b.jpg")), (3, place("old.jpg"), place("none.mp4"), place("c.jpg"))]
+    got = {r.ordinal: r.status for r in split.write_merges(spark.createDataFrame(rows, "ordinal long, image string, video string, output string")).collect()}
+    assert got == {1: "Success", 2: "Failed", 3: "Failed"}
+    assert not [n for n in os.listdir(tmp_path) if n.endswith(".part") or n in ("b.jpg", "c.jpg")]
+    (tmp_path / "in").mkdir()
+    os.rename(tmp_path / "a.jpg", tmp_path / "in" / "a.jpg")
+    heads = split.with_video_header(list_files(spark, place("in"), prefix_bytes=1 << 20))
+    plan = split.split_plan(heads.withColumns({"input_dir": F.lit(place("in")), "output_dir": F.lit(str(tmp_path))})).first()
+    assert (plan.status, plan.video_length) == ("ok", len(VIDEO_MP4)) and plan.video_output.endswith("a.mp4")
+
+
 def test_merging_is_the_inverse(spark, tmp_path):
     (tmp_path / "i.jpg").write_bytes(b"\xff\xd8photo")
     (tmp_path / "v.mov").write_bytes(VIDEO_QT)
