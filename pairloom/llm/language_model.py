@@ -83,9 +83,12 @@ def stable_logs(discount: float) -> tuple[np.ndarray, np.ndarray]:
     angle = (np.arange(2000) + 0.5) * np.pi / 2000
     log_a = (d * np.log(np.sin(d * angle)) - np.log(np.sin(angle))) / (1 - d) + np.log(np.sin((1 - d) * angle))
     logs = np.linspace(-12.0, 40.0, 2601) / d * (1 - d)
-    inside = log_a - np.exp(np.minimum(log_a - logs[:, None] * d / (1 - d), 700))
-    top = inside.max(1)
-    return logs, np.log(d / (1 - d)) - logs / (1 - d) + top + np.log(np.exp(inside - top[:, None]).mean(1))
+    out = np.zeros(len(logs))
+    for at in range(0, len(logs), 100):
+        inside = log_a - np.exp(np.minimum(log_a - logs[at: at + 100, None] * d / (1 - d), 700))
+        top = inside.max(1)
+        out[at: at + 100] = top + np.log(np.exp(inside - top[:, None]).mean(1))
+    return logs, np.log(d / (1 - d)) - logs / (1 - d) + out
 
 
 def seat(customers: np.ndarray, new: np.ndarray, grow: np.ndarray, discount: float, stirling: np.ndarray, dish: np.ndarray, seed: int) -> np.ndarray:
@@ -328,12 +331,35 @@ def by_block(blocks: DataFrame, values: DataFrame, of: Callable, schema: str) ->
     return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(lambda docs, words: of(docs, words.sort_values("place")), schema)
 
 
-def block_codes(docs: pd.DataFrame, ids: np.ndarray, learnt_only: bool) -> Iterator[tuple[pd.Series, np.ndarray, np.ndarray]]:
-    """Of each document of a block: its row, its tokens' places, and those of the words before them."""
-    for row in docs.itertuples():
-        if not (learnt_only and row.held_out):
-            seq = unpacked(row.seq).astype(np.int64)
-            yield row, seq, np.concatenate([[0], seq[:-1]])
+def token_runs(docs: pd.DataFrame, tokens: int = 400_000) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of documents of about ``tokens``: their rows, where each begins, the places of their tokens, and of the words before."""
+    ends = np.cumsum(docs["n"].to_numpy())
+    at = 0
+    while at < len(docs):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tokens)))
+        rows = docs.iloc[at:to]
+        seqs = [unpacked(x) for x in rows["seq"]]
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in seqs])[:-1]])
+        seq = np.concatenate(seqs).astype(np.int64)
+        # A text ends with the word of place 0, which is also the one before the next text.
+        yield rows, begin, seq, np.concatenate([[0], seq[:-1]])
+        at = to
+
+
+def known_codes(seq: np.ndarray, before: np.ndarray, id_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens and words before them are both known, and those pairs' codes."""
+    a, b = id_of[before], id_of[seq]
+    both = (a >= 0) & (b >= 0)
+    return both, a[both] << 32 | b[both]
+
+
+def counted(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes and their numbers; sorted in place, as there may be millions."""
+    every = np.concatenate([np.zeros(0, np.int64), *codes])
+    codes.clear()
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    return every[first], np.diff(np.append(first, len(every)))
 
 
 def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
@@ -349,26 +375,17 @@ def pair_shards(blocks: DataFrame, ids: DataFrame, shards: int) -> DataFrame:
     def of(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         columns = ["block", "shard", "codes", "n"]
         id_of = words["id"].to_numpy()
-        found, n, held, pending = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-        learnt = []
-
-        def fold():
-            nonlocal found, n, held, learnt, pending
-            every = np.concatenate([found, *held])
-            weight = np.concatenate([n, *learnt])
-            found, place = np.unique(every, return_inverse=True)
-            n = np.bincount(place, weight, minlength=len(found)).astype(np.int64)
-            held, learnt, pending = [], [], 0
-
-        for row, seq, before in block_codes(docs, id_of, False):
-            a, b = id_of[before], id_of[seq]
-            codes = (a << 32 | b)[(a >= 0) & (b >= 0)]
-            held.append(codes)
-            learnt.append(np.full(len(codes), 0 if row.held_out else 1))
-            pending += len(codes)
-            if pending > 2_000_000:
-                fold()
-        fold()
+        learnt, others = [], []
+        for rows, begin, seq, before in token_runs(docs):
+            both, codes = known_codes(seq, before, id_of)
+            held = np.repeat(rows["held_out"].to_numpy(bool), np.diff(np.append(begin, len(seq))))[both]
+            learnt.append(codes[~held])
+            others.append(codes[held])
+        found, n = counted(learnt)
+        more = counted(others)[0]
+        more = np.setdiff1d(more, found, assume_unique=True)
+        place = np.searchsorted(found, more)
+        found, n = np.insert(found, place, more), np.insert(n, place, 0)
         if docs.empty or not len(found):
             return pd.DataFrame(columns=columns)
         own = shard_of(found, shards)
@@ -630,46 +647,35 @@ def language_model_scores(docs: DataFrame, burn_in: int = 2, samples: int = 2) -
         back = [np.log((STRENGTH + discount * words[f"tu_{i}"].to_numpy(float)) / (STRENGTH + n) / samples) for i in range(samples)]
         base, single = np.log10((n + 0.1) / bottom), (1 - discount) / (STRENGTH + n)
         own = {int(r.shard): unpacked(r.values, "<f4") for r in rows[~rows["shard"].isna()].itertuples(index=False)}
-        found = distinct_codes(texts, id_of)
-        value = np.zeros(len(found))
+        found = counted([known_codes(seq, before, id_of)[1] for _, _, seq, before in token_runs(texts)])[0]
+        value = np.zeros(len(found), np.float32)
         if len(found):
             owner = shard_of(found, shards)
             for shard, part in own.items():
                 value[owner == shard] = part
         out = []
-        for row, seq, before in block_codes(texts, id_of, False):
-            if not total:
-                out.append((row.doc_id, row.held_out, row.n, 0, 0, 0.0, 0.0))
-                continue
-            a, b = id_of[before], id_of[seq]
-            both = (a >= 0) & (b >= 0)
+        for some, begin, seq, before in token_runs(texts):
+            both, codes = known_codes(seq, before, id_of)
             p = np.zeros(len(seq))
-            v = value[np.searchsorted(found, (a << 32 | b)[both])]
+            v = value[np.searchsorted(found, codes)]
             p[both] = np.where(v < 0, single[before[both]], v)
             # A long word's spelling is less likely than a float can say, so logarithms are added.
             with np.errstate(divide="ignore"):
                 p = np.log(p)
-            for i in range(samples):
+            for i in range(samples if total else 0):
                 p = np.logaddexp(p, back[i][before] + q[i][seq])
-            out.append((row.doc_id, row.held_out, row.n, int((n[seq] > 0).sum()), total, base[seq].sum(), p.sum() / math.log(10)))
-        frame = pd.DataFrame(out, columns=columns)
-        return frame.astype({"doc_id": "Int64"})
+            sums = [np.add.reduceat(x, begin) for x in ((n[seq] > 0).astype(np.int64), base[seq], p / math.log(10))]
+            if not total:
+                sums = [0 * sums[0], 0 * sums[1], 0 * sums[1]]
+            out.append(pd.DataFrame({
+                "doc_id": some["doc_id"], "held_out": some["held_out"], "n_tokens": some["n"], "n_known": sums[0], "train_tokens": total,
+                "base_score": sums[1], "score": sums[2],
+            }))
+        return pd.concat(out)[columns].astype({"doc_id": "Int64"})
 
     return by_block(blocks, beside, of, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def distinct_codes(docs: pd.DataFrame, id_of: np.ndarray) -> np.ndarray:
-    """The block's distinct pairs of known words, sorted."""
-    found, held, pending = np.zeros(0, np.int64), [], 0
-    for _, seq, before in block_codes(docs, id_of, False):
-        a, b = id_of[before], id_of[seq]
-        held.append((a << 32 | b)[(a >= 0) & (b >= 0)])
-        pending += len(held[-1])
-        if pending > 2_000_000:
-            found, held, pending = np.unique(np.concatenate([found, *held])), [], 0
-    return np.unique(np.concatenate([found, *held]))
-
-
 def perplexity(scores: DataFrame) -> DataFrame:
     """(held_out, n_tokens, base_perplexity, perplexity) of scored rows: 10 to the mean negative score of a token.
 
