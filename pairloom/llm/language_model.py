@@ -18,13 +18,15 @@ sweep reads each shard once; only sums by word travel between shards and words.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ END, START, SYMBOLS = 256, 257, 258
 #: Text bytes of a block of documents, and training tokens of a shard of pairs.
 BLOCK_BYTES, SHARD_TOKENS = 32_000_000, 4_000_000
 MASK = (1 << 32) - 1
+#: Words' rows that are packed for their blocks at once.
+PACKED_ROWS = 300_000
 #: Customers of a dish up to which the Stirling numbers are tabulated.
 EXACT = 1024
 STRENGTH = 1.0
@@ -225,18 +229,19 @@ def resample_spelling(codes: np.ndarray, counts: np.ndarray, seed: int, sweeps:
     return Spelling(codes, (counts - d[0] * t3) / all3[context], back, p2)
 
 
-def packed(values: np.ndarray, kind: str = "<u4") -> bytes:
-    """Numbers as compressed bytes, first all lowest bytes, then the next ones; small numbers take little room."""
-    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, int(kind[2:])).T.tobytes()
+def packed(values: np.ndarray, kind: str | np.dtype = "<u4") -> bytes:
+    """Numbers, or records of them, as compressed bytes, first all lowest bytes, then the next ones; small numbers take little room."""
+    kind = np.dtype(kind)
+    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
     return len(values).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
-    n, size = int.from_bytes(data[:4], "little"), int(kind[2:])
+def unpacked(data: bytes, kind: str | np.dtype = "<u4") -> np.ndarray:
+    kind, n = np.dtype(kind), int.from_bytes(data[:4], "little")
     if not n:
         return np.zeros(0, kind)
-    raw = pa.decompress(data[4:], decompressed_size=n * size, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
+    raw = pa.decompress(data[4:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0]
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
@@ -253,12 +258,17 @@ def tokenised(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(filled[k], kind) if k in filled else pa.nulls(size, kind) for k, kind in kinds.items()], names=list(kinds))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, index, learnt = TaskContext.get().partitionId() << 24, 0, {b"": 0}, []
+        def places() -> defaultdict[bytes, int]:
+            """The place of each word; a new one gets the next."""
+            index: defaultdict[bytes, int] = defaultdict()
+            index.default_factory = index.__len__
+            index[b""]
+            return index
+
+        block, size, index, learnt = TaskContext.get().partitionId() << 24, 0, places(), []
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(index), np.int64)
-            for seq in learnt:
-                n += np.bincount(seq, minlength=len(index))
+            n = np.bincount(np.concatenate([np.zeros(0, np.int32), *learnt]), minlength=len(index))
             words = list(index)
             for at in range(0, len(words), 50_000):
                 part = words[at: at + 50_000]
@@ -266,18 +276,19 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
         for batch in sliced(batches):
             out: dict[str, list] = {"doc_id": [], "held_out": [], "seq": [], "n": []}
-            for doc, held, data in zip(batch.column(0), batch.column(1), batch.column(2)):
-                text = data.as_py()
-                seq = np.array([index.setdefault(w, len(index)) for w in text.lower().split()] + [0], np.int32)
-                if not held.as_py():
+            for doc, held, text in zip(*(x.to_pylist() for x in batch.columns)):
+                words = text.lower().split()
+                words.append(b"")
+                seq = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+                if not held:
                     learnt.append(seq)
-                for k, v in zip(out, (doc.as_py(), held.as_py(), packed(seq), len(seq))):
+                for k, v in zip(out, (doc, held, packed(seq), len(seq))):
                     out[k].append(v)
                 size += len(text)
             yield batch_of(block, batch.num_rows, **out)
             if size > BLOCK_BYTES:
                 yield from dictionary()
-                block, size, index, learnt = block + 1, 0, {b"": 0}, []
+                block, size, index, learnt = block + 1, 0, places(), []
         yield from dictionary()
 
     bounded_batches(docs.sparkSession)
@@ -287,23 +298,116 @@ def tokenised(docs: DataFrame) -> DataFrame:
     )
 
 
+def merged_words(table: DataFrame) -> DataFrame:
+    """(part, number, word, n, at): each word of the blocks' rows (word, block, place, n) once, with the sum of its n and its places.
+
+    Words are numbered within partitions, in their order.
+    """
+
+    def merged(rows: pa.RecordBatch, first: np.ndarray, part: int, number: int) -> pa.RecordBatch:
+        at = pa.StructArray.from_arrays([rows.column(1), rows.column(2)], names=["block", "place"])
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(first), part)), pa.array(np.arange(number, number + len(first))), rows.column(0).take(pa.array(first)),
+            pa.array(np.add.reduceat(rows.column(3).to_numpy(), first)),
+            pa.ListArray.from_arrays(pa.array(np.append(first, rows.num_rows), pa.int32()), at),
+        ], names=["part", "number", "word", "n", "at"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        last: list[pa.RecordBatch] = []  # the rows so far of the last word, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last and batch.column(0)[batch.num_rows - 1] == last[0].column(0)[0]:
+                last.append(batch)
+                continue
+            rows = pa.concat_batches([*last, batch])
+            words = rows.column(0)
+            first = np.flatnonzero(np.concatenate([[True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]))
+            if len(first) > 1:
+                yield merged(rows.slice(0, first[-1]), first[:-1], part, number)
+                number += len(first) - 1
+            last = [rows.slice(first[-1])]
+        if last:
+            yield merged(pa.concat_batches(last), np.zeros(1, np.int64), part, number)
+
+    rows = table.select("word", "block", "place", "n").repartition("word").sortWithinPartitions("word")
+    return rows.mapInArrow(of, "part long, number long, word binary, n long, at array<struct<block:long,place:int>>")
+
+
 def numbered(words: DataFrame) -> DataFrame:
-    """(id, h, word, n, at) of ``words`` (word, n, at): ids count from 0 without gaps, h is a hash of the word.
+    """(id, h, word, n, at) of the stored :func:`merged_words`: ids count from 0 without gaps, h is a hash of the word.
 
     The driver fetches one number a partition. A pair of ids has to fit 64 bits, so 2^32 words are an error.
     """
-    marked = stored(words.withColumn("_at", F.monotonically_increasing_id()), "numbered-words")
-    marked = marked.withColumn("_part", F.shiftright("_at", 33))
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("rows")).orderBy("_part").collect()
     first, total = [], 0
-    for row in sizes:
-        first.append((row["_part"], total))
+    for row in words.groupBy("part").agg(F.count("*").alias("rows")).orderBy("part").collect():
+        first.append((row["part"], total))
         total += row["rows"]
-    if total > MASK:
+    if total >= MASK:
         raise OverflowError(f"{total} distinct words; pairs of their numbers don't fit 64 bits")
-    offsets = words.sparkSession.createDataFrame(first, "_part long, _first long")
-    place = F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)
-    return marked.join(F.broadcast(offsets), "_part").select(place.alias("id"), F.xxhash64("word").alias("h"), "word", "n", "at")
+    part, begin = (pa.array([x[i] for x in first], pa.int64()) for i in (0, 1))
+    offsets = words.sparkSession.createDataFrame(pa.table({"part": part, "begin": begin}))
+    id_of = (F.col("begin") + F.col("number")).alias("id")
+    return words.join(F.broadcast(offsets), "part").select(id_of, F.xxhash64("word").alias("h"), "word", "n", "at")
+
+
+#: What a block needs to know of a word to find its pairs.
+NAMED = np.dtype([("place", "<u4"), ("id", "<u4")])
+
+
+def addressed(rows: DataFrame, kind: np.dtype, of: Callable[[pa.RecordBatch], dict[str, np.ndarray]]) -> DataFrame:
+    """(block, data): words' records of ``kind``, each sent to the blocks and places of the rows' column at.
+
+    ``of`` gives the fields of a batch's words but for place; id, which is sent as steps, is one of them. A task
+    packs the records of one block together, PACKED_ROWS of all blocks at a time.
+    """
+
+    def packs(blocks: list[np.ndarray], records: list[np.ndarray]) -> pa.RecordBatch:
+        block, record = np.concatenate([np.zeros(0, np.int64), *blocks]), np.concatenate([np.zeros(0, kind), *records])
+        blocks.clear()
+        records.clear()
+        order = np.argsort(block, kind="stable")
+        found, first = np.unique(block[order], return_index=True)
+        data = []
+        for at in np.split(order, first[1:]) if len(found) else []:
+            part = record[at]
+            part["id"] = np.diff(part["id"], prepend=np.uint32(0))
+            data.append(packed(part, kind))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, records, waiting = [], [], 0
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("at"))
+            each = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            block, place = lists.flatten().flatten()
+            record = np.zeros(len(each), kind)
+            record["place"] = place.to_numpy()
+            for field, values in of(batch).items():
+                record[field] = values[each]
+            blocks.append(block.to_numpy())
+            records.append(record)
+            waiting += len(each)
+            if waiting > PACKED_ROWS:
+                yield packs(blocks, records)
+                waiting = 0
+        yield packs(blocks, records)
+
+    return rows.mapInArrow(send, "block long, data binary")
+
+
+def by_place(data: Iterable[bytes], kind: np.dtype) -> np.ndarray:
+    """The records of one block's words, each at its place."""
+    parts = []
+    for each in data:
+        part = unpacked(each, kind).copy()
+        part["id"] = np.cumsum(part["id"], dtype=np.uint32)
+        parts.append(part)
+    every = np.concatenate([np.zeros(0, kind), *parts])
+    out = np.zeros(len(every), kind)
+    out[every["place"]] = every
+    return out
 
 
 def letter_counts(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -327,8 +431,8 @@ def letter_counts(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def by_block(blocks: DataFrame, values: DataFrame, of: Callable, schema: str) -> DataFrame:
-    """``of(documents, words)`` for each block: its documents' rows and its words' rows, by place."""
-    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(lambda docs, words: of(docs, words.sort_values("place")), schema)
+    """``of(documents, words)`` for each block: its documents' rows and what its words' tasks packed for it."""
+    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(of, schema)
 
 
 def token_runs(docs: pd.DataFrame, tokens: int = 400_000) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
@@ -362,6 +466,14 @@ def counted(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[first], np.diff(np.append(first, len(every)))
 
 
+def places_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key in a sorted table; keys are looked up in ascending order, so that memory is read in order, too."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(table, keys[order])
+    return out
+
+
 def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(codes) % np.uint64(shards)).astype(np.int64)
 
@@ -369,12 +481,13 @@ def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
 def pair_shards(blocks: DataFrame, ids: DataFrame, shards: int) -> DataFrame:
     """(block, shard, codes, n): the block's distinct pairs (id of the word before << 32 | id), sorted, and their training tokens.
 
-    Pairs with a word that training never had are left out.
+    ``ids`` (block, data) has the words as :data:`NAMED` records, whose id is one more, and 0 if training never had the word;
+    pairs with such a word are left out.
     """
 
     def of(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         columns = ["block", "shard", "codes", "n"]
-        id_of = words["id"].to_numpy()
+        id_of = by_place(words["data"], NAMED)["id"].astype(np.int64) - 1
         learnt, others = [], []
         for rows, begin, seq, before in token_runs(docs):
             both, codes = known_codes(seq, before, id_of)
@@ -490,7 +603,7 @@ def pair_seater(discount: float, parents: int, samples: int, taken: bool, seed:
         order = np.argsort(ids)
         ids = ids[order]
         before, word, c, t = (unpacked(row[x]).astype(np.int64) for x in ("before", "word", "c", "t"))
-        u, w = order[np.searchsorted(ids, before)], order[np.searchsorted(ids, word)]
+        u, w = order[np.searchsorted(ids, before)], order[places_in(ids, word)]
         h = mixed(named["h"].to_numpy().view(np.uint64))
         n, tu, q = named["n"].to_numpy()[u], named["tu"].to_numpy()[u], named["q"].to_numpy()[w]
         # The parent's probability without this dish's own customers there, one for each table.
@@ -602,37 +715,45 @@ def language_model_scores(docs: DataFrame, burn_in: int = 2, samples: int = 2) -
     """
     table = stored(tokenised(docs), "tokens")
     blocks = table.where("word is null").select("block", "doc_id", "held_out", "seq", "n")
-    met = table.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "place")).alias("at"))
-    met = stored(met, "words")
-    learnt = numbered(met.where("n > 0"))
+    words = numbered(stored(merged_words(table.where("word is not null")), "words"))
+    learnt = words.where("n > 0")
     tokens = learnt.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(tokens / SHARD_TOKENS))
-    unknown = met.where("n = 0").select(F.lit(-1).cast("long").alias("id"), F.explode("at").alias("at"))
-    ids = learnt.select("id", F.explode("at").alias("at")).union(unknown).select(F.col("at.block").alias("block"), F.col("at.place").alias("place"), "id")
+
+    def known_ids(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        return {"id": batch.column(1).to_numpy()}
+
+    ids = addressed(words.select("at", F.when(F.col("n") > 0, F.col("id") + 1).otherwise(0).alias("id")), NAMED, known_ids)
     made = stored(counted_shards(pair_shards(blocks, ids, shards)), "shards")
     model = seatings(learnt.select("id", "h", "word", "n"), made.where("block is null"), burn_in, samples)
     values = shard_values(made.where("block is not null").select("block", "shard", "place"), model)
     kept = [f"{x}_{i}" for i in range(samples) for x in ("q", "tu")]
     spellings, unseen, alone = model.spellings, model.unseen, model.alone
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(3).to_numpy()
-            with np.errstate(divide="ignore"):
-                q = [np.logaddexp(math.log(unseen[i]) + s.word_logs(words), np.log(alone[i] * n)) for i, s in enumerate(spellings)]
-            q = [pa.array(x.astype(np.float32)) for x in q]
-            q += [pa.array(np.zeros(len(words), np.float32))] * (samples - len(q))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[x for each in q for x in (each, batch.column(3))]], names=["at", "id", "n", *kept])
-
-    schema = "at array<struct<block:long,place:int>>, id long, n long, " + ", ".join(f"{x} {'float' if x[0] == 'q' else 'long'}" for x in kept)
-    rare = met.where("n = 0").select("word", "at", F.lit(-1).cast("long").alias("id"), "n").union(learnt.where("n = 1").select("word", "at", "id", "n"))
-    spelled_out = rare.mapInArrow(spell, schema)
-    known = learnt.where("n > 1").select("id", "at").join(model.words.select("id", "n", *kept), "id").select("at", "id", "n", *kept)
-    words = known.union(spelled_out).withColumn("at", F.explode("at")).select(F.col("at.block").alias("block"), F.col("at.place").alias("place"), "id", "n", *kept)
-    # Words' rows and the shards' values of a block come together.
-    none = [F.lit(None).cast("long").alias(x) for x in ("place", "id", "n")]
-    beside = words.select("*", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("values")).union(
-        values.select("block", *none, *[F.lit(None).cast("float" if x[0] == "q" else "long").alias(x) for x in kept], "shard", "values")
+    record = np.dtype([("place", "<u4"), ("id", "<u4"), ("n", "<u8"), *[(x, "<f4" if x[0] == "q" else "<u8") for x in kept]])
+
+    def spell(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """Words of several tokens have their values; the others, whose ``word`` is there, are spelled."""
+        rare = batch.column(batch.num_columns - 1).is_valid()
+        words = batch.column(batch.num_columns - 1).drop_null().to_pylist()
+        rare, n = rare.to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+        out = {"id": batch.column(1).to_numpy(), "n": n}
+        for i in range(samples):
+            q, tu = (batch.column(3 + 2 * i + x).fill_null(0).to_numpy().copy() for x in (0, 1))
+            tu[rare] = n[rare]
+            if i < len(spellings):
+                with np.errstate(divide="ignore"):
+                    q[rare] = np.logaddexp(math.log(unseen[i]) + spellings[i].word_logs(words), np.log(alone[i] * n[rare]))
+            out |= {f"q_{i}": q, f"tu_{i}": tu}
+        return out
+
+    values_of = [F.lit(None).cast("float" if x[0] == "q" else "long").alias(x) for x in kept]
+    rare = words.where("n <= 1").select("at", "id", "n", *values_of, "word")
+    known = words.where("n > 1").select("at", "id").join(model.words.select("id", "n", *kept), "id").select("at", "id", "n", *kept, F.lit(None).cast("binary").alias("word"))
+    sent = addressed(known.union(rare), record, spell)
+    # What was packed of the words and the shards' values of a block come together.
+    beside = sent.select("*", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("values")).union(
+        values.select("block", F.lit(None).cast("binary").alias("data"), "shard", "values")
     )
     total, discount = model.tokens, model.discount
     bottom = total + 0.1 * (model.distinct + 1)
@@ -641,23 +762,26 @@ def language_model_scores(docs: DataFrame, burn_in: int = 2, samples: int = 2) -
     def of(texts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if texts.empty:
             return pd.DataFrame(columns=columns)
-        words = rows[rows["shard"].isna()]
-        id_of, n = words["id"].to_numpy(np.int64), words["n"].to_numpy(float)
-        q = [words[f"q_{i}"].to_numpy(float) for i in range(samples)]
-        back = [np.log((STRENGTH + discount * words[f"tu_{i}"].to_numpy(float)) / (STRENGTH + n) / samples) for i in range(samples)]
+        words = by_place(rows["data"].dropna(), record)
+        n = words["n"].astype(float)
+        id_of = np.where(n > 0, words["id"].astype(np.int64), -1)
+        q = [words[f"q_{i}"].astype(float) for i in range(samples)]
+        back = [np.log((STRENGTH + discount * words[f"tu_{i}"]) / (STRENGTH + n) / samples) for i in range(samples)]
         base, single = np.log10((n + 0.1) / bottom), (1 - discount) / (STRENGTH + n)
-        own = {int(r.shard): unpacked(r.values, "<f4") for r in rows[~rows["shard"].isna()].itertuples(index=False)}
+        own = {int(r.shard): unpacked(r.values, "<f4") for r in rows[rows["shard"].notna()].itertuples(index=False)}
         found = counted([known_codes(seq, before, id_of)[1] for _, _, seq, before in token_runs(texts)])[0]
         value = np.zeros(len(found), np.float32)
         if len(found):
             owner = shard_of(found, shards)
+            order = np.argsort(owner, kind="stable")
+            bounds = np.searchsorted(owner[order], np.arange(shards + 1))
             for shard, part in own.items():
-                value[owner == shard] = part
+                value[order[bounds[shard]: bounds[shard + 1]]] = part
         out = []
         for some, begin, seq, before in token_runs(texts):
             both, codes = known_codes(seq, before, id_of)
             p = np.zeros(len(seq))
-            v = value[np.searchsorted(found, codes)]
+            v = value[places_in(found, codes)]
             p[both] = np.where(v < 0, single[before[both]], v)
             # A long word's spelling is less likely than a float can say, so logarithms are added.
             with np.errstate(divide="ignore"):
