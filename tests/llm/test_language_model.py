@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pairloom.llm.language_model import Spelling, draws, language_model_scores, perplexity, resample_spelling, seat, spelled, stirling_logs
+from pairloom.llm.language_model import NAMED, Spelling, addressed, by_place, draws, language_model_scores, merged_words, numbered, packed, perplexity, places_in, resample_spelling, seat, spelled, stirling_logs, stored, unpacked
 
 
 def plain_base(rows):
@@ -194,3 +194,39 @@ def test_a_word_depends_on_the_word_before_it(spark):
     assert got[ids[0]].score > got[ids[1]].score + 3
     # Next words' probabilities: x goes on with a, c or the end, all others are sure.
     assert got[ids[0]].score == pytest.approx(3 * math.log10(1 / 3), abs=0.1)
+
+
+def test_words_that_span_batches_are_merged_once(spark):
+    rows = [(w.encode(), block, place, 1 + block) for block in range(40) for place, w in enumerate(["", "all", f"only{block}", f"pair{block // 2}"])]
+    table = spark.createDataFrame(rows, "word binary, block long, place int, n long").repartition(5)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        words = numbered(stored(merged_words(table), "words"))
+        found = words.collect()
+        sent = addressed(words.select("at", "id"), NAMED, lambda x: {"id": x.column(1).to_numpy()}).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    expected = {}
+    for word, block, place, n in rows:
+        expected.setdefault(word, [0, set()])
+        expected[word][0] += n
+        expected[word][1].add((block, place))
+    assert {bytes(r["word"]): [r["n"], {tuple(x) for x in r["at"]}] for r in found} == expected and len(found) == len(expected)
+    assert sorted(r["id"] for r in found) == list(range(len(expected)))
+    id_of = {bytes(r["word"]): r["id"] for r in found}
+    for block in range(40):
+        got = by_place([bytes(r["data"]) for r in sent if r["block"] == block], NAMED)
+        assert got["id"].tolist() == [id_of[w] for w, b, _, _ in rows if b == block]
+
+
+def test_records_survive_packing_and_keys_are_found():
+    kind = np.dtype([("place", "<u4"), ("q", "<f4"), ("n", "<u8")])
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 2, 1000):
+        rows = np.zeros(size, kind)
+        rows["place"], rows["q"], rows["n"] = rng.integers(0, 1 << 32, size), rng.normal(size=size), rng.integers(0, 1 << 60, size)
+        assert (unpacked(packed(rows, kind), kind) == rows).all()
+        table = np.sort(rng.integers(-50, 50, size))
+        keys = rng.integers(-60, 60, 300)
+        assert (places_in(table, keys) == np.searchsorted(table, keys)).all()
