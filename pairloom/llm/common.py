@@ -54,7 +54,7 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, rows)
 
 
-def joined_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def joined_small(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """``big`` joined to the stored table ``small``, which is broadcast if its count of rows allows that.
 
     A larger one is joined through a shuffle, whose hot keys adaptive execution splits.
@@ -63,20 +63,21 @@ def joined_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner")
     return big.join(F.broadcast(small) if few else small, key, how)
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, salt: Column, how: str = "inner") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str | list[str], salt: Column, how: str = "inner") -> DataFrame:
     """``big`` joined to ``small`` (a row for each key); rows of a hot key are dealt by ``salt`` over several tasks.
 
     A key is hot if over ROWS_TOGETHER rows of ``big``, a stored table, have it. There is at most one for
     so many rows; that list is broadcast. Rows of ``small`` are repeated for the parts of their key.
     """
-    hot = big.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS_TOGETHER)
-    hot = stored(hot.select(key, in_blocks(F.col("_n"), ROWS_TOGETHER).alias("_parts")), "hot-keys")
+    keys = [key] if isinstance(key, str) else key
+    hot = big.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS_TOGETHER)
+    hot = stored(hot.select(*keys, in_blocks(F.col("_n"), ROWS_TOGETHER).alias("_parts")), "hot-keys")
     if not hot.limit(1).count():
-        return big.join(small, key, how)
+        return big.join(small, keys, how)
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt), parts).cast("int")).drop("_parts")
-    many = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return dealt.join(many, [key, "_salt"], how).drop("_salt")
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(salt), parts).cast("int")).drop("_parts")
+    many = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(many, [*keys, "_salt"], how).drop("_salt")
 
 
 def byte_characters() -> dict[str, int]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import forest, in_blocks, stored
+from pairloom.llm.common import forest, in_blocks, joined_small, spread_join, stored
 from pairloom.llm.components import connected_components
 
 BASE_BLOCK, QUERY_BLOCK = 2048, 4096
@@ -145,7 +145,7 @@ def compare_cell(rows: pd.DataFrame, size: int, threshold: float) -> pd.DataFram
 
 
 def vector_components(
-    vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9999, sample: int = 8192, per_cell: int = 64
+    vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9999, sample: int = 8192, per_cell: int = 512
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of (vec_id, embedding, label).
 
@@ -159,7 +159,9 @@ def vector_components(
 
     ``sample`` bounds the vectors that the codebooks are fitted on, those of the smallest
     hash; ``per_cell`` is the wanted mean number of a label's vectors in a cell, which sets the
-    codebooks' size from the exact counts. ``recall`` is the walk's target.
+    codebooks' size from the exact counts: bringing a vector to a cell costs about as much as
+    comparing it with so many, so smaller cells cost more visits than they save comparisons.
+    ``recall`` is the walk's target.
     """
     entry = vectors.select("vec_id", "embedding", "label")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -198,10 +200,12 @@ def vector_components(
     columns = ["label", "key", "id", "copies", "embedding"]
     schema = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in columns) + ", cell long, role int"
     entered = stored(entries.select(*columns).mapInPandas(enter, schema), "multi-index")
-    sizes = entered.groupBy("label", "cell").agg(
-        F.count_if(F.col("role") == 0).alias("held"), F.count_if(F.col("role") == 1).alias("asked")
-    ).where("held > 0")
-    blocks = entered.join(sizes, ["label", "cell"]).withColumn("nb", in_blocks(F.col("held"), BASE_BLOCK)).withColumn(
+    sizes = stored(
+        entered.groupBy("label", "cell").agg(
+            F.count_if(F.col("role") == 0).alias("held"), F.count_if(F.col("role") == 1).alias("asked")
+        ).where("held > 0"), "cells",
+    )
+    blocks = joined_small(entered, sizes, ["label", "cell"]).withColumn("nb", in_blocks(F.col("held"), BASE_BLOCK)).withColumn(
         "nq", F.greatest(F.lit(1), in_blocks(F.col("asked"), QUERY_BLOCK))
     )
     is_base = F.col("role") == 0
@@ -211,8 +215,10 @@ def vector_components(
         "label", "cell", F.when(is_base, F.col("own")).otherwise(F.col("other")).alias("bb"),
         F.when(is_base, F.col("other")).otherwise(F.col("own")).alias("qb"), "role", "key", "id", "copies", "embedding",
     )
+    # Dealt by all four columns: a join's partitions by label and cell would keep a cell's blocks together.
+    group = ["label", "cell", "bb", "qb"]
     met = stored(
-        dealt.groupBy("label", "cell", "bb", "qb").applyInPandas(
+        dealt.repartition(*group).groupBy(*group).applyInPandas(
             lambda rows: compare_cell(rows, size, threshold), "key long, n long, a long, b long"
         ), "vector-links",
     )
@@ -222,9 +228,13 @@ def vector_components(
     named = entries.join(links, "key", "left").join(parts, entries["id"] == parts["node"], "left").select(
         "key", "key2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")
     )
-    out = marked.select("vec_id", "key", "key2").join(named, ["key", "key2"], "left")
-    component = F.coalesce("component", "vec_id").cast("long")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+    # Rows without a key link with nothing and take no part in the join; a hot key is one vector's copies.
+    keyed = stored(marked.select("vec_id", "key", "key2"), "vector-keys")
+    row = F.monotonically_increasing_id()
+    linked = spread_join(keyed.where("key is not null"), named, ["key", "key2"], row).select("vec_id", "n_links", "component")
+    alone = keyed.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component"))
+    component = F.col("component").cast("long")
+    return linked.union(alone).select(
+        "vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
     )

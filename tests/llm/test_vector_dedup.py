@@ -61,6 +61,22 @@ def test_odd_rows_and_a_hot_group(spark):
     assert none == [(8, 0, 8, True)]
 
 
+def test_cut_cells_and_salted_copies_lose_no_link(spark, monkeypatch):
+    from pairloom.llm import common, vector_dedup
+
+    monkeypatch.setattr(vector_dedup, "BASE_BLOCK", 8)
+    monkeypatch.setattr(vector_dedup, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(common, "ROWS_TOGETHER", 5)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=8)
+    rows = [(i, (base + 0.3 * rng.normal(size=8)).tolist(), 1) for i in range(150)]
+    rows += [(i, base.tolist(), 1) for i in range(200, 240)] + [(i, None, 1) for i in range(300, 330)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(r) for r in vector_components(frame, recall=1.0, per_cell=16).collect())
+    assert got == sorted((r[0], *brute(rows)[n]) for n, r in enumerate(rows))
+
+
 def test_query_equals_its_sql(spark):
     import duckdb
 
