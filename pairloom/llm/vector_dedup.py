@@ -105,12 +105,17 @@ def fit_index(x: np.ndarray, k: int, threshold: float, recall: float, seed: int
     """Codebooks of ``k`` words from the sample ``x``, and the slack that reaches ``recall``.
 
     The slack is set on partners drawn at exactly the threshold's angle from sampled vectors,
-    the hardest that have to be found; nearer ones need less.
+    the hardest that have to be found; nearer ones need less. Real partners may differ along other
+    directions than these. A ``recall`` of 1 takes the bound that no pair can exceed: a partner in
+    another region is at least as far away as its border.
     """
     rng = np.random.default_rng(seed)
     half = (x.shape[1] + 1) // 2
     k = min(k, len(x))
     index = MultiIndex(x.shape[1], codewords(x[:, :half], k, rng), codewords(x[:, half:], k, rng))
+    if recall >= 1:
+        index.slack = 2 - 2 * threshold + 1e-9
+        return index
     base = x[rng.integers(0, len(x), 20_000)]
     noise = rng.normal(size=base.shape)
     noise -= (noise * base).sum(1, keepdims=True) * base
@@ -161,7 +166,7 @@ def vector_components(
     hash; ``per_cell`` is the wanted mean number of a label's vectors in a cell, which sets the
     codebooks' size from the exact counts: bringing a vector to a cell costs about as much as
     comparing it with so many, so smaller cells cost more visits than they save comparisons.
-    ``recall`` is the walk's target.
+    ``recall`` is the walk's target; at 1 no link is missed, for many more visits.
     """
     entry = vectors.select("vec_id", "embedding", "label")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
