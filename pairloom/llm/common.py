@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.storage import shared_dir, stored
 
-__all__ = ["BYTE_PATTERN", "bounded_batches", "byte_characters", "byte_text", "crc_of_id", "forest", "in_blocks", "joined_small", "shared_dir", "sliced", "spread_join", "stored"]
+__all__ = ["BYTE_PATTERN", "bounded_batches", "byte_characters", "byte_text", "crc_of_id", "forest", "has_long_blanks", "in_blocks", "joined_small", "shared_dir", "sliced", "spread_join", "stored"]
 
 #: The pre-token pattern of byte-level vocabularies, a fixed value.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space of so many characters go to the ``tokenizers`` library, as the pattern of ``tiktoken`` backtracks over a run.
+LONG_BLANKS = 10_000
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{64,}+")
 #: Of whole texts, so many bytes and rows are worked on at once.
 SLICE_BYTES, SLICE_ROWS = 4_000_000, 512
 BATCH_BYTES = 8_000_000
@@ -87,6 +91,11 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+def has_long_blanks(text: str) -> bool:
+    """Whether a run of white space has LONG_BLANKS characters or more."""
+    return any(m.end() - m.start() >= LONG_BLANKS for m in BLANKS.finditer(text))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star forest of the graph with links ``a[i]`` - ``b[i]``.
 

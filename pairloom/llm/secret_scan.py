@@ -314,7 +314,8 @@ def on_texts(docs: DataFrame, schema: str, of: Callable[[pa.RecordBatch], list])
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    # By number, as Spark can't look up names with a dot there.
+    return docs.toDF(*[f"c{n}" for n in range(len(docs.columns))]).mapInArrow(run, schema)
 
 
 def secret_spans(docs: DataFrame, net: CharacterCNN | None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pairloom.llm.common import BYTE_PATTERN, bounded_batches, byte_characters, sliced
+from pairloom.llm.common import BYTE_PATTERN, bounded_batches, byte_characters, has_long_blanks, sliced
 
 #: The pattern looks at most one character beyond a match, or two beyond an apostrophe's start.
 LOOKAHEAD = 2
@@ -34,7 +34,7 @@ class PretokenCounter:
     """Token counts of pre-tokens under a byte-level vocabulary file; remembers short ones that it met."""
 
     def __init__(self, path: str):
-        library = Tokenizer.from_file(path)
+        self.library = library = Tokenizer.from_file(path)
         letters = byte_characters()
         ranks = {bytes(map(letters.__getitem__, t)): i for t, i in library.get_vocab(with_added_tokens=False).items() if not re.fullmatch(r"<\|\w+\|>", t)}
         self.encoding = tiktoken.Encoding("counter", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -49,7 +49,8 @@ class PretokenCounter:
         for token in tokens:
             n = held.get(token)
             if n is None:
-                n = len(self.encoding.encode_ordinary(token))
+                # A pre-token of blanks is one on its own, too; the library doesn't backtrack over it.
+                n = len(self.library.encode(token, add_special_tokens=False) if has_long_blanks(token) else self.encoding.encode_ordinary(token))
                 if len(token) <= LONGEST_HELD:
                     held[token] = n
             out.append(n)

@@ -41,3 +41,20 @@ def test_odd_rows(spark):
         for r in frame.collect():
             ids[r.doc_id] += 1
         assert dict(ids) in ({3: 1}, {})
+
+
+def test_long_blanks_and_clashing_columns(spark):
+    words = "the quick brown fox jumps over the lazy dog and runs away from it "
+    texts = [words * 3, words * 3, words + " " * 3_000_000 + words, words + "\n" * 3_000_000, " " * 3_000_000]
+    rows = [(i, t, "en", "s", len(t), i, 2 * i, str(i), str(i), i, i) for i, t in enumerate(texts)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, row long, node int, lang_pred string, `a.b` string, own int, others int"
+    frame = docs = spark.createDataFrame(rows, kinds)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, "").cache()
+        assert frame.schema == docs.schema
+    kept = {r.doc_id: r for r in frame.collect()}
+    assert all(r.row == i and r.node == 2 * i and r.lang_pred == str(i) and r["a.b"] == str(i) and r.own == r.others == i for i, r in kept.items())
+    # The first three have the same shingles; the last has no language.
+    assert set(kept) == {0, 3}
+    packed = corpus_pipeline.STAGES[-1][1](spark, frame, "").collect()
+    check(packed, [(i, r.text) for i, r in kept.items()], 2048)

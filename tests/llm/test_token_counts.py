@@ -104,3 +104,12 @@ def test_one_very_long_word(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = tc.edit_token_counts(docs, tc.sample_edits(F.col("text")), PATH).first()
     assert got.n_tokens == whole(text)
+
+
+def test_long_runs_of_white_space(spark):
+    texts = {1: " " * 3_000_000, 2: "\n" * 3_000_000, 3: "a" + " \n" * 1_500_000 + "b", 4: "\u3000" * 500_000 + "x"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    edits = F.array(F.struct(F.lit(1_000).alias("at"), F.lit(3).alias("gone"), F.lit(" mid ").alias("new")))
+    for r in tc.edit_token_counts(docs, edits, PATH).collect():
+        text = texts[r.doc_id]
+        assert (r.n_tokens, r.edited_tokens) == (whole(text), whole(text[:1_000] + " mid " + text[1_003:]))
