@@ -13,9 +13,12 @@ from pairloom.llm.language_model import language_model_scores
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.secret_scan import fit_secret_model, secret_spans
 from pairloom.llm.simhash import simhash_components
+from pairloom.llm.suffix_dedup import repeat_digests
 from pairloom.llm.token_counts import edit_token_counts, sample_edits
 from pairloom.llm.url_filter import judged_urls
+from pairloom.llm.vector_codes import vector_codes
 from pairloom.llm.vector_dedup import vector_components
+from pairloom.llm.whitening import fit_whitening, whiten
 
 
 #: (verdict, host, path)
@@ -69,6 +72,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = whiten(vectors, fit_whitening(vectors, components=4, scale=256))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=100)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2, scale=256)
+    return rows.withColumns({c: F.col(c).try_cast("long") for c in ("error", "label_error")})
+
+
 QUERIES = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_winnowing": op2_winnowing,
@@ -80,6 +98,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_language_model": op9_language_model,
     "op10_bpe": op10_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: Only the vector links can be said in SQL, by comparing all pairs; the other operators apply XXH64,
