@@ -31,7 +31,7 @@ ANCHOR, PIECE = 32, 1 << 19
 #: Suffixes of a bucket, and how many of them are sorted by all their words at once.
 BUCKET_ROWS, SMALL = 100_000, 2048
 #: Bits of a filter for each entry, and at most; a full filter lets all rows pass, and later steps decide.
-BITS_PER_ENTRY, MOST_BITS = 16, 1 << 28
+BITS_PER_ENTRY, MOST_BITS, CHUNK = 16, 1 << 28, 1 << 16
 KEY = "decimal(38,0)"
 KEY_TYPE = pa.decimal128(38, 0)
 
@@ -168,17 +168,28 @@ class Filter:
 
 
 def filter_of(hashes: DataFrame) -> Filter:
-    """The filter of the stored column ``hash``; the driver gets its words, MOST_BITS bits at most, whatever the table's size."""
-    bits = 1 << 10
+    """The filter of the stored column ``hash``; the driver gets its bits, MOST_BITS at most, whatever the table's size."""
+    bits = CHUNK
     n = hashes.count()
     while bits < min(BITS_PER_ENTRY * n, MOST_BITS):
         bits *= 2
-    at = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    marks = hashes.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit"))
-    rows = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    words = np.zeros(bits // 64, np.int64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return Filter(words.view(np.uint64))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.asarray(batch.column(0)) & (bits - 1)
+            at.sort()
+            own, begin = np.unique(at // CHUNK, return_index=True)
+            for chunk, places in zip(own.tolist(), np.split(at % CHUNK, begin[1:])):
+                chunks.setdefault(chunk, np.zeros(CHUNK, bool))[places] = True
+        packed = [np.packbits(x, bitorder="little").tobytes() for x in chunks.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array(packed, pa.binary())], ["chunk", "bits"])
+
+    by_chunk = hashes.select("hash").repartition(F.shiftright(F.col("hash").bitwiseAND(F.lit(bits - 1)), CHUNK.bit_length() - 1))
+    words = np.zeros(bits // 64, np.uint64)
+    for r in by_chunk.mapInArrow(mark, "chunk long, bits binary").toLocalIterator():
+        words[r["chunk"] * CHUNK // 64: (r["chunk"] + 1) * CHUNK // 64] = np.frombuffer(r["bits"], "<u8")
+    return Filter(words)
 
 
 def key_hash(low: np.ndarray, high: np.ndarray) -> np.ndarray:
