@@ -30,6 +30,8 @@ from pairloom.llm.common import bounded_batches, byte_text, joined_small, sliced
 ANCHOR, PIECE = 32, 1 << 19
 #: Suffixes of a bucket, and how many of them are sorted by all their words at once.
 BUCKET_ROWS, SMALL = 100_000, 2048
+#: An anchor of more suffixes is dealt over several buckets.
+ANCHOR_ROWS = BUCKET_ROWS // 8
 #: Bits of a filter for each entry, and at most; a full filter lets all rows pass, and later steps decide.
 BITS_PER_ENTRY, MOST_BITS, CHUNK = 16, 1 << 28, 1 << 16
 KEY = "decimal(38,0)"
@@ -297,12 +299,12 @@ def sorted_strings(values: list[bytes], size: int) -> tuple[np.ndarray, np.ndarr
     return order, shared
 
 
-def bucket_repeats(suffixes: list[bytes], befores: list[bytes], keys: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def bucket_repeats(suffixes: list[bytes], befores: list[bytes], keys: np.ndarray, hot: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(o, later, ends) for each distance o of windows from their anchors.
 
     ``later`` are the places of suffixes whose window isn't its bucket's first of those equal to it,
-    ``ends`` those of first ones whose equals may be in another bucket, too, as they share
-    the bucket's first or last suffix's bytes. ``keys`` are ranks of the anchors' numbers.
+    ``ends`` those of first ones whose equals may be in another bucket, too, as their anchor is ``hot`` and they
+    share the bucket's first or last suffix's bytes. ``keys`` are ranks of the anchors' numbers.
     """
     n, most = len(suffixes), length - ANCHOR
     order, shared = sorted_strings(suffixes, -(-length // 8) * 8)
@@ -322,14 +324,29 @@ def bucket_repeats(suffixes: list[bytes], befores: list[bytes], keys: np.ndarray
         first = np.append(True, pair[1:] != pair[:-1])
         begin = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
         later = keys[rows] > keys[rows[begin]]
-        ends = first & ((group[rows] == 0) | (group[rows] == number[-1]))
+        ends = first & hot[rows] & ((group[rows] == 0) | (group[rows] == number[-1]))
         yield o, rows[later], rows[ends]
 
 
+def in_buckets(suffixes: DataFrame) -> DataFrame:
+    """The stored ``suffixes`` with column hot, dealt by Spark's sampled splitters over buckets of BUCKET_ROWS.
+
+    Suffixes of an anchor share a bucket, unless there are over ANCHOR_ROWS of them (hot): those are dealt by all their bytes.
+    """
+    anchor = F.substring("suffix", 1, ANCHOR)
+    large = suffixes.groupBy(anchor.alias("anchor")).agg(F.count("*").alias("rows")).where(F.col("rows") > ANCHOR_ROWS)
+    # At most one for each ANCHOR_ROWS rows.
+    large = stored(large.select("anchor", F.lit(True).alias("hot")), "suffix-hot")
+    named = joined_small(suffixes.withColumn("anchor", anchor), large, "anchor", "left").withColumn("hot", F.col("hot").isNotNull())
+    named = named.withColumns({"more": F.when(F.col("hot"), F.col("suffix")), "back": F.when(F.col("hot"), F.col("before"))})
+    dealt = named.repartitionByRange(1 + suffixes.count() // BUCKET_ROWS, "anchor", "more", "back")
+    return dealt.select("suffix", "before", "key", "hot")
+
+
 def bucket_spans(suffixes: DataFrame, length: int) -> DataFrame:
     """(key, n, one, two) of the spans of windows that begin again within their bucket, or (one, two not null) windows to be compared across buckets.
 
-    ``suffixes`` is range-partitioned; a bucket is a partition.
+    ``suffixes`` is dealt by :func:`in_buckets`; a bucket is a partition.
     """
     names = ["key", "n", "one", "two"]
 
@@ -340,13 +357,14 @@ def bucket_spans(suffixes: DataFrame, length: int) -> DataFrame:
         table = pa.Table.from_batches(own).combine_chunks()
         suffix, before = table.column("suffix").to_pylist(), table.column("before").to_pylist()
         low, high = from_decimals(table.column("key").combine_chunks())
+        hot = np.asarray(table.column("hot").combine_chunks().cast(pa.int8())).astype(bool)
         del table, own
         rank = np.empty(len(low), np.int64)
         sort = np.lexsort((low, high))
         step = np.append(False, (low[sort][1:] != low[sort][:-1]) | (high[sort][1:] != high[sort][:-1]))
         rank[sort] = np.cumsum(step)
         flags = np.zeros((len(low), length - ANCHOR + 3), bool)
-        for o, later, ends in bucket_repeats(suffix, before, rank, length):
+        for o, later, ends in bucket_repeats(suffix, before, rank, hot, length):
             flags[later, length - ANCHOR + 1 - o] = True
             if len(ends):
                 hashes = [xxhash.xxh3_128_intdigest(before[i][:o][::-1] + suffix[i][: length - o]) for i in ends.tolist()]
@@ -405,8 +423,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     # What the filter let pass beside the first blocks are copies, later places of the same bytes.
     found = anchor_suffixes(docs, length, wanted).groupBy("suffix", "before").agg(F.min("key").alias("key"))
     suffixes = stored(found, "suffixes")
-    buckets = 1 + suffixes.count() // BUCKET_ROWS
-    spans = stored(bucket_spans(suffixes.repartitionByRange(buckets, "suffix", "before"), length), "suffix-spans")
+    spans = stored(bucket_spans(in_buckets(suffixes), length), "suffix-spans")
     across = spans.where("one IS NOT NULL").withColumn("first", F.min("key").over(Window.partitionBy("one", "two")))
     parts = spans.where("one IS NULL").select("key", "n").union(across.where("key > first").select("key", "n")).union(whole)
     return located(parts)

@@ -63,6 +63,7 @@ def test_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:
         # Small buckets and pieces, so equal windows lie in several buckets and blocks are cut.
         monkeypatch.setattr(sd, "BUCKET_ROWS", 20)
+        monkeypatch.setattr(sd, "ANCHOR_ROWS", 3)
         monkeypatch.setattr(sd, "SMALL", 4)
         monkeypatch.setattr(sd, "PIECE", 256)
     rows = [(int(i), t) for i, t in enumerate(texts(rng, 150))]
