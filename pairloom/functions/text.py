@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +20,29 @@ def extension(name: Column) -> Column:
     return F.regexp_extract(name, r"([.][^.]*)$", 1)
 
 
+@lru_cache(1)
+def capitals() -> tuple[str, str]:
+    """Letters and, place by place, their capitals: one character for one, ASCII only for ASCII.
+
+    So ß, whose capitals are two, and ı and ſ, whose capitals would be ASCII, stay as they are.
+    """
+    pairs = []
+    for code in range(0x1F000):
+        letter = chr(code)
+        capital = letter.upper() if len(letter.upper()) == 1 else letter.title()
+        if len(capital) == 1 and capital != letter and (code < 128) == (ord(capital) < 128):
+            pairs.append((letter, capital))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def folded(text: Column) -> Column:
-    """The key under which names are equal whatever their case."""
-    return F.lower(text)
+    """The key under which names are equal whatever their case: each character's own capital, in any language."""
+    return F.translate(text, *capitals())
 
 
 def sort_key(text: Column) -> Column:
-    """The key that orders names whatever their case, an underscore after letters."""
-    return F.upper(text)
+    """The key that orders names whatever their case, an underscore after letters, by their UTF-16 units."""
+    return F.encode(folded(text), "UTF-16BE")
 
 
 def ends_with_any(text: Column, endings: list[str]) -> Column:
@@ -91,6 +108,11 @@ def duration(seconds: Column) -> Column:
     return F.concat(F.floor(s / 86400).cast("string"), F.lit("d "), part(3600, 24), F.lit(":"), part(60, 60), F.lit(":"), part(1, 60))
 
 
+def iso_time(time: Column) -> Column:
+    """A time with date, seven decimals of a second and offset: ``2024-01-31T07:08:09.1234560+00:00``."""
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0"), F.date_format(time, "xxx"))
+
+
 def fixed(value: Column, decimals: int) -> Column:
     """A number with so many decimals, halves rounded away from zero; null is nothing."""
     return F.coalesce(F.round(value, decimals).cast(f"decimal(30,{decimals})").cast("string"), F.lit(""))

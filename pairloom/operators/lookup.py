@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import is_blank, or_else
+from pairloom.functions.text import folded, is_blank, or_else
 
 
 #: The folders that results go to where none is given.
@@ -47,4 +47,4 @@ def output_dir(given: Column, input_dir: Column, folder: str) -> Column:
 
 def distinct_paths(paths: DataFrame, order: str = "ordinal") -> DataFrame:
     """(path) once for each spelling whatever its case: the first one."""
-    return paths.groupBy(F.lower("path").alias("k")).agg(F.min_by("path", order).alias("path")).select("path")
+    return paths.groupBy(folded(F.col("path")).alias("k")).agg(F.min_by("path", order).alias("path")).select("path")

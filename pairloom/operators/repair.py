@@ -42,15 +42,15 @@ def angle_of(orientation: Column) -> Column:
     return out.when(orientation.contains("180"), 180).when(orientation.contains("270"), 270).otherwise(0)
 
 
-def analysed(photos: DataFrame, exif: str = "exif") -> DataFrame:
+def analysed(photos: DataFrame, exif: str = "exif", facts: Column | None = None) -> DataFrame:
     """``photos`` with issue_type, rotation_angle, needs_repair and tags (array of keys of TAGS).
 
     Wider than high needs rebuilding, whatever the angle; higher than wide only with an angle; a
     square one is judged by its thumbnail alone, but a thumbnail with an angle needs rebuilding.
     A thumbnail without either needs stripping. Metadata that can't be read is an Error, which
-    doesn't count as broken.
+    doesn't count as broken. ``facts``, what :func:`parsed` would give, takes the place of the JSON in column ``exif``.
     """
-    named = photos.withColumn("_e", parsed(F.col(exif))).withColumn("_angle", angle_of(F.col("_e.orientation")))
+    named = photos.withColumn("_e", parsed(F.col(exif)) if facts is None else facts).withColumn("_angle", angle_of(F.col("_e.orientation")))
     w, h, thumb, angle = F.col("_e.width"), F.col("_e.height"), F.col("_e.has_thumbnail"), F.col("_angle")
     wide, tall = w > h, (w < h) & (angle > 0)
     tags = F.array_compact(F.array(

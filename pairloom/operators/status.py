@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairloom.functions.indexing import with_row_index
@@ -48,6 +48,16 @@ def merge_progress(tasks: DataFrame) -> DataFrame:
     return shown(with_row_index(pending(tasks).select("idx"), [F.col("idx")], "nth"), F.col("nth"), total)
 
 
+def observed(results: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """A writer's results (status) and what is counted of them as they pass: total, done, failed.
+
+    The counts come with the first action on the results and cost no pass of their own; a task that ran twice counts once.
+    """
+    run = Observation(name)
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "Success").alias("done"), F.count_if(F.col("status") == "Failed").alias("failed")]
+    return results.observe(run, *counts), run
+
+
 def repair_progress(tasks: DataFrame) -> DataFrame:
     """The same for repairing: skipped rows count, but only a repaired row shows a new value."""
     total, _ = totals(tasks)

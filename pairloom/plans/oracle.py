@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairloom.operators.lookup import OUTPUT_FOLDERS
+from pairloom.sources.derived import NAMES
 
 MEDIA_FILES = """
 files AS (
@@ -235,7 +236,13 @@ SQL: dict[str, str] = {
       SELECT arg_min(path, o_orderkey) AS path FROM paths GROUP BY lower(path)""",
     "time_format": f"""SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%g') AS shown, strftime(date_trunc('millisecond', ts), '%Y%m%d-%H%M%S-%g') AS in_name,
       CAST({ELAPSED} // 86400 AS VARCHAR) || 'd ' || lpad(CAST({ELAPSED} // 3600 % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST({ELAPSED} // 60 % 60 AS VARCHAR), 2, '0') || ':' ||
-      lpad(CAST({ELAPSED} % 60 AS VARCHAR), 2, '0') AS lasted FROM events""",
+      lpad(CAST({ELAPSED} % 60 AS VARCHAR), 2, '0') AS lasted, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00' AS iso FROM events""",
+    "name_folding": f"""WITH people AS (SELECT c_custkey AS ordinal, [{', '.join(f"'{x}'" for x in NAMES)}][c_custkey % {len(NAMES)} + 1] || CAST(c_custkey // {3 * len(NAMES)} AS VARCHAR) AS name FROM customer),
+      keyed AS (SELECT *, list_transform(string_split(name, ''), lambda c: CASE WHEN c IN ('ß', 'ı', 'ſ') THEN c ELSE upper(c) END) AS letters FROM people),
+      units AS (SELECT *, array_to_string(letters, '') AS key, flatten(list_transform(letters, lambda c: CASE WHEN unicode(c) > 65535
+        THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END)) AS place FROM keyed)
+      SELECT ordinal, row_number() OVER (ORDER BY place, ordinal) AS idx, name, first_value(name) OVER (PARTITION BY key ORDER BY ordinal) AS first_name,
+        count(*) OVER (PARTITION BY key) AS n_same FROM units""",
     "name_template": """SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) || ': ' || n_name || ' of ' || CAST(n_regionkey AS VARCHAR) AS line,
       CASE WHEN n_nationkey % 3 = 0 THEN '(unknown)' ELSE n_name END AS known FROM nation""",
     "number_template": """SELECT c_custkey, printf('%.1f', CAST(round(CAST(c_acctbal AS DECIMAL(30,10)), 1) AS DOUBLE)) || ' of {0}' || c_name || ', {0} ' ||

@@ -263,10 +263,18 @@ def time_format(spark, sf_dir):
     seconds = F.floor(F.col("value") * 1000 + F.col("user_id") * 86000)
     return events.select(
         "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("shown"), F.date_format("ts", "yyyyMMdd-HHmmss-SSS").alias("in_name"),
-        text.duration(seconds).alias("lasted"),
+        text.duration(seconds).alias("lasted"), text.iso_time(F.col("ts")).alias("iso"),
     )
 
 
+@query
+def name_folding(spark, sf_dir):
+    names = derived.named_people(spark, sf_dir).withColumn("key", text.folded(F.col("name")))
+    same = names.groupBy("key").agg(F.count("*").alias("n_same"), F.min_by("name", "ordinal").alias("first_name"))
+    placed = with_row_index(names.withColumn("place", text.sort_key(F.col("name"))), [F.col("place"), F.col("ordinal")])
+    return placed.join(same, "key").select("ordinal", "idx", "name", "first_name", "n_same")
+
+
 @query
 def name_template(spark, sf_dir):
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")

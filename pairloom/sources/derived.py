@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names that differ in case outside ASCII, or only seem to.
+NAMES = ["straße", "STRASSE", "STRAẞE", "İl", "il", "ıl", "ſet", "SET", "𐐨b", "𐐀B", "\uff5az", "éa", "ÉA", "ǆ", "Ǆ", "µ", "Μ", "\u212a", "k", "_"]
 SUFFIXES = [".JPG", ".jpeg", ".mov", ".MP4", ".png"]
 
 
@@ -95,3 +97,10 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i + 1).alias("idx"), F.concat(F.lit("IMG_"), F.repeat(F.lit("long"), (i % 12).cast("int")), i.cast("string"), F.lit(".MP.jpg")).alias("file_name"),
         status.alias("status"), (i % 3 != 0).alias("needs_repair"), (i % 4 == 0).alias("has_thumbnail"), details.alias("details"),
     )
+
+
+def named_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ordinal, name) from customer: NAMES, each with a number that several share."""
+    i = F.col("c_custkey")
+    name = F.element_at(F.array(*[F.lit(x) for x in NAMES]), (i % len(NAMES) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(i.alias("ordinal"), F.concat(name, F.floor(i / (3 * len(NAMES))).cast("string")).alias("name"))
