@@ -10,6 +10,7 @@ verified by cosine in double precision.
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import forest, in_blocks, joined_small, spread_join, stored
 from pairloom.llm.components import connected_components
 
+LOG = logging.getLogger(__name__)
 BASE_BLOCK, QUERY_BLOCK = 2048, 4096
+#: Steps of the measured slack.
+SLACKS = 1024
 
 
 def unit(rows: list, size: int) -> np.ndarray:
@@ -101,34 +105,90 @@ class MultiIndex:
         return out
 
 
+def partners(base: np.ndarray, noise: np.ndarray, threshold: float) -> np.ndarray:
+    """Unit vectors at exactly the threshold's angle from those of ``base``, in the directions of ``noise``."""
+    noise = noise - (noise * base).sum(1, keepdims=True) * base
+    length = np.linalg.norm(noise, axis=1, keepdims=True)
+    return threshold * base + np.sqrt(1 - threshold**2) * noise / np.maximum(length, 1e-12)
+
+
+def needed_slack(index: MultiIndex, base: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    """The slack at which the walk of each vector of ``base`` gets to its partner's cell."""
+    first, second = index.margins(base)
+    cell, every = index.cells(partner), np.arange(len(base))
+    return first[every, cell // len(index.second)] + second[every, cell % len(index.second)]
+
+
 def fit_index(x: np.ndarray, k: int, threshold: float, recall: float, seed: int = 3) -> MultiIndex:
-    """Codebooks of ``k`` words from the sample ``x``, and the slack that reaches ``recall``.
+    """Codebooks of ``k`` words from the sample ``x``, and a slack that reaches ``recall`` on made partners.
 
-    The slack is set on partners drawn at exactly the threshold's angle from sampled vectors,
-    the hardest that have to be found; nearer ones need less. Real partners may differ along other
-    directions than these. A ``recall`` of 1 takes the bound that no pair can exceed: a partner in
-    another region is at least as far away as its border.
+    Those are drawn at exactly the threshold's angle from sampled vectors, the hardest that have to be found: in random
+    directions, and in the directions in which sampled vectors differ, as vectors of low rank have partners there only.
+    A ``recall`` of 1 takes the bound that no pair can exceed: a partner in another region is at
+    least as far away as its border.
     """
     rng = np.random.default_rng(seed)
     half = (x.shape[1] + 1) // 2
     k = min(k, len(x))
     index = MultiIndex(x.shape[1], codewords(x[:, :half], k, rng), codewords(x[:, half:], k, rng))
+    index.slack = 2 - 2 * threshold + 1e-9
     if recall >= 1:
-        index.slack = 2 - 2 * threshold + 1e-9
         return index
     base = x[rng.integers(0, len(x), 20_000)]
-    noise = rng.normal(size=base.shape)
-    noise -= (noise * base).sum(1, keepdims=True) * base
-    length = np.linalg.norm(noise, axis=1, keepdims=True)
-    partner = threshold * base + np.sqrt(1 - threshold**2) * noise / np.maximum(length, 1e-12)
-    first, second = index.margins(base)
-    cell = index.cells(partner)
-    every = np.arange(len(base))
-    needed = first[every, cell // len(index.second)] + second[every, cell % len(index.second)]
-    index.slack = float(np.quantile(needed, recall)) + 1e-12
+    noises = rng.normal(size=base.shape), x[rng.integers(0, len(x), 20_000)] - x[rng.integers(0, len(x), 20_000)]
+    made = [float(np.quantile(needed_slack(index, base, partners(base, noise, threshold)), recall)) for noise in noises]
+    index.slack = min(index.slack, max(made) + 1e-12)
     return index
 
 
+def with_measured_slack(index: MultiIndex, entries: DataFrame, queries: list, threshold: float, recall: float) -> tuple[MultiIndex, int, float]:
+    """``index`` with its slack raised until it finds the real partners of ``queries``; their number, and the share it then finds.
+
+    ``queries`` (label, key, embedding) are compared with all ``entries`` of their labels, in blocks. What comes back is a histogram
+    of the slacks that their links need. The slack is the least at which the found share's lower 95 % bound (Wilson's)
+    reaches ``recall``; where there are too few links to say so, it is that of the farthest one.
+    """
+    most = 2 - 2 * threshold + 1e-9
+    by_label: dict = {}
+    for q in queries:
+        by_label.setdefault(q["label"], []).append(q)
+    own = {label: (np.array([q["key"] for q in rows]), unit([q["embedding"] for q in rows], index.size)) for label, rows in by_label.items()}
+    shared = entries.sparkSession.sparkContext.broadcast((index, own))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, own = shared.value
+        counts = np.zeros(SLACKS + 1, np.int64)
+        margins = {label: index.margins(x) for label, (_, x) in own.items()}
+        for batch in batches:
+            for label, rows in batch.groupby("label"):
+                if label not in own:
+                    continue
+                keys, x = own[label]
+                first, second = margins[label]
+                for at in range(0, len(rows), BASE_BLOCK):
+                    part = rows.iloc[at: at + BASE_BLOCK]
+                    y = unit(part["embedding"].tolist(), index.size)
+                    i, j = np.nonzero((x @ y.T >= threshold) & (keys[:, None] != part["key"].to_numpy()))
+                    cell = index.cells(y)[j]
+                    needed = first[i, cell // len(index.second)] + second[i, cell % len(index.second)]
+                    np.add.at(counts, np.minimum(np.ceil(needed / most * SLACKS).astype(int), SLACKS), 1)
+        yield pd.DataFrame({"bin": np.arange(SLACKS + 1), "n": counts})
+
+    found = entries.select("label", "key", "embedding").mapInPandas(measure, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(SLACKS + 1, np.int64)
+    for r in found:
+        counts[r["bin"]] = r["n"]
+    links, reached = int(counts.sum()), np.cumsum(counts)
+    if not links:
+        return index, 0, 1.0
+    z = 1.645
+    share = reached / links
+    low = (share + z * z / (2 * links) - z * np.sqrt(share * (1 - share) / links + z * z / (4 * links**2))) / (1 + z * z / links)
+    enough = np.flatnonzero(low >= recall) if low[-1] >= recall else np.flatnonzero(reached == links)
+    index.slack = min(most, max(index.slack, enough[0] / SLACKS * most + 1e-12))
+    return index, links, float(share[min(SLACKS, int(index.slack / most * SLACKS))])
+
+
 def compare_cell(rows: pd.DataFrame, size: int, threshold: float) -> pd.DataFrame:
     """One block of a cell: for each query the linked copies it met, and links that span what it met."""
     base, query = rows[rows["role"] == 0], rows[rows["role"] == 1]
@@ -150,7 +210,7 @@ def compare_cell(rows: pd.DataFrame, size: int, threshold: float) -> pd.DataFram
 
 
 def vector_components(
-    vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9999, sample: int = 8192, per_cell: int = 512
+    vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9999, sample: int = 8192, per_cell: int = 512, measured: int = 512
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of (vec_id, embedding, label).
 
@@ -166,7 +226,8 @@ def vector_components(
     hash; ``per_cell`` is the wanted mean number of a label's vectors in a cell, which sets the
     codebooks' size from the exact counts: bringing a vector to a cell costs about as much as
     comparing it with so many, so smaller cells cost more visits than they save comparisons.
-    ``recall`` is the walk's target; at 1 no link is missed, for many more visits.
+    ``recall`` is the walk's target on made partners and on the real ones of ``measured`` vectors, compared with all
+    vectors of their labels; at 1 no link is missed, for many more visits.
     """
     entry = vectors.select("vec_id", "embedding", "label")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -190,8 +251,11 @@ def vector_components(
         return vectors.select(own, F.lit(0).cast("long").alias("n_links"), own.cast("long").alias("component_id"), F.lit(True).alias("kept"))
     size = facts["size"]
     k = int(min(1024, max(2, round((facts["n"] / per_cell) ** 0.5))))
-    drawn = entries.select("embedding", F.xxhash64("key", "key2").alias("h")).orderBy("h").limit(sample).collect()
+    drawn = entries.select("label", "key", "embedding", F.xxhash64("key", "key2").alias("h")).orderBy("h").limit(sample).collect()
     index = fit_index(unit([r["embedding"] for r in drawn], size), k, threshold, recall)
+    if recall < 1:
+        index, links, share = with_measured_slack(index, entries, drawn[:measured], threshold, recall)
+        LOG.info("slack %.4f finds %.5f of %d links of %d vectors", index.slack, share, links, min(measured, len(drawn)))
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

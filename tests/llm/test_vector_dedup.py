@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from pairloom.llm.common import forest
-from pairloom.llm.vector_dedup import fit_index, unit, vector_components
+from pairloom.llm.vector_dedup import fit_index, needed_slack, unit, vector_components
 
 
 def brute(rows, threshold=0.93):
@@ -46,6 +46,38 @@ def test_recall_at_the_threshold():
     assert walk[0] == index.cells(x[:1])[0] and len(walk) == len(set(walk))
 
 
+def low_rank(rng, n, rank, size=64):
+    """Vectors of a subspace, with an equal number of close partners of some of them in it."""
+    basis = np.linalg.qr(rng.normal(size=(size, rank)))[0]
+    x = rng.normal(size=(n // 2, rank))
+    near = x[rng.integers(0, n // 2, n - n // 2)]
+    noise = rng.normal(size=near.shape) * np.linalg.norm(near, axis=1, keepdims=True) * 0.3 / np.sqrt(rank)
+    return np.float32(np.concatenate([x, near + noise]) @ basis.T)
+
+
+@pytest.mark.parametrize("rank, k", [(4, 64), (8, 64), (4, 256), (8, 256)])
+def test_recall_on_vectors_of_low_rank(rank, k):
+    rng = np.random.default_rng(rank + k)
+    x = unit(low_rank(rng, 8192, rank).tolist(), 64)
+    index = fit_index(x, k, 0.93, 0.9999)
+    i, j = np.nonzero(np.triu(x[:2000] @ x.T >= 0.93, 1))
+    few = rng.choice(len(i), min(len(i), 20_000), replace=False)
+    assert np.mean(needed_slack(index, x[i[few]], x[j[few]]) <= index.slack) >= 0.999
+
+
+@pytest.mark.parametrize("rank", [4, 8])
+def test_links_of_a_table_of_low_rank(spark, rank):
+    rng = np.random.default_rng(rank)
+    x = low_rank(rng, 12_000, rank)
+    rows = [(n, v.tolist(), n % 2) for n, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(8)
+    got = vector_components(frame, per_cell=16).collect()
+    want = brute(rows)
+    links = sum(n for n, _, _ in want.values())
+    assert links > 10_000 and sum(r.n_links for r in got) >= 0.999 * links
+    assert all(r.n_links <= want[r.vec_id][0] for r in got)
+
+
 def test_odd_rows_and_a_hot_group(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=6)
