@@ -93,7 +93,7 @@ def byte_characters() -> dict[str, int]:
 
 def has_long_blanks(text: str) -> bool:
     """Whether a run of white space has LONG_BLANKS characters or more."""
-    return any(m.end() - m.start() >= LONG_BLANKS for m in BLANKS.finditer(text))
+    return len(text) >= LONG_BLANKS and any(m.end() - m.start() >= LONG_BLANKS for m in BLANKS.finditer(text))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
