@@ -1,19 +1,23 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate.
 
-The patterns label findings. A bounded sample of findings and of candidates that no
-pattern supports trains the network; half of the training rows hide their context, so
-that a bare secret is known by its look. Scores are calibrated on rows that the training
-didn't see; each shape of candidate gets the highest threshold that keeps the wanted share
-of all labelled findings. Every candidate of every whole text is then scored.
+The patterns label findings. Each is also shown with drawn bodies of another look, in its own
+place and amid prose, so that neither its cue nor its shape is what the network learns; each
+candidate that no pattern supports is also shown as a name, date or path made of the text's words. A
+bounded sample of both classes trains the network; half of the training rows hide their context.
+Scores are calibrated on rows that the training didn't see; each shape of candidate gets the highest
+threshold that keeps the wanted share of all labelled findings, drawn ones included. Every candidate
+of every whole text is then scored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import string
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,13 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 DIGIT, MIXED = re.compile("[0-9]"), re.compile("[a-z][A-Z]")
 HEX_SHAPE = re.compile(r"[0-9a-fA-F]+")
+#: What drawn bodies are made of, and their lengths.
+PLAIN = string.digits + string.ascii_letters
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", PLAIN, PLAIN + "+/", PLAIN + "_-")
+SHORTEST, LONGEST = 12, 44
+#: Bodies drawn for a finding in its own place, and as many amid prose.
+BODIES = 4
+NAME = re.compile("[A-Za-z]{3,10}")
 
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
@@ -67,6 +78,54 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def looks_drawn(run: str) -> bool:
+    """Whether a run of 12 or more characters has a digit, a letter, and turns from one kind of them to another at every fourth place."""
+    kinds = ["0" if c.isdigit() else "A" if c.isupper() else "a" for c in run if c.isalnum()]
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    return len(run) >= SHORTEST and "0" in kinds and len(set(kinds)) > 1 and 4 * turns >= len(kinds)
+
+
+def drawn_body(draw: Random) -> str:
+    """Random characters of one alphabet."""
+    while True:
+        body = "".join(draw.choices(draw.choice(ALPHABETS), k=draw.randint(SHORTEST, LONGEST)))
+        if looks_drawn(body):
+            return body
+
+
+def plain_run(draw: Random, words: list[str]) -> str:
+    """A run that is no secret: a name, a path, a date or a number with a word, of a text's own words."""
+    a, b, c = draw.choices(words, k=3)
+    n = draw.randint(0, 9999)
+    return draw.choice([
+        a.lower() + b.title() + c.title(), a.title() + b.title() + str(n), f"{a}_{b}_{n}", f"{a}-{b}-{c}-{n % 100}", f"{a}/{b}/{c}.html",
+        f"{a}{n}.{b}.com", f"{a[:3]}{n % 10}.{b}.{c}.org", f"{a.upper()}-{n:05}", f"{1900 + n % 200}-{1 + n % 12:02}-{1 + n % 28:02}", f"{a.upper()}_{b.upper()}_{n % 10}", f"v{n % 10}.{n % 7}.{n}-{a}",
+    ])
+
+
+def placed(text: str, start: int, end: int, run: str) -> bytes:
+    """The network's view of ``run`` in place of a stretch of ``text``."""
+    before, after = text[max(0, start - BEFORE): start], text[end: end + AFTER]
+    return windows(before + run + after, len(before), len(before) + len(run))[0]
+
+
+def made_views(text: str, start: int, end: int, truth: int) -> list[tuple[str, bytes]]:
+    """(run, view) of what is shown beside a finding (its secret is the stretch) or another candidate.
+
+    What is drawn depends on the view of the stretch only, so equal ones have equal drawn ones
+    amid equal texts.
+    """
+    draw = Random(windows(text, start, end)[0])
+    blank = text.find(" ", draw.randrange(len(text)))
+    at, then = blank + 1, max(blank, 0)
+    if truth:
+        places = [(start, end), (at, then)] * BODIES
+        return [(body, placed(text, *place, body)) for place, body in zip(places, [drawn_body(draw) for _ in places])]
+    words = NAME.findall(text, at, at + 200) or NAME.findall(text, 0, 200)
+    run = plain_run(draw, words) if words else ""
+    return [(run, placed(text, at, then, run))] if candidates(run) == [(0, len(run))] else []
+
+
 def codes(text: str) -> np.ndarray:
     """Printable ASCII as 2 to 96, white space as 1, all else as 97; 0 pads."""
     raw = np.frombuffer(text.encode("ascii", "replace").replace(b"\x00", b"?"), np.uint8).astype(np.int16)
@@ -170,8 +229,8 @@ def train_cnn(rows: np.ndarray, truth: np.ndarray, epochs: int = 12, seed: int =
     return net
 
 
-def threshold(right: np.ndarray, wrong: np.ndarray, recall: float) -> float:
-    """The cut that keeps ``recall`` of the findings, put midway to the likeliest other candidate below it.
+def threshold(right: np.ndarray, wrong: np.ndarray, recall: float, false: float) -> float:
+    """The cut that keeps ``recall`` of the findings, or one midway to a lower cut that still takes the share ``false`` of other candidates at most.
 
     ``right`` and ``wrong`` count findings and others by steps of log-odds; the cut is a
     probability, and an even chance where a shape has no labelled finding.
@@ -179,12 +238,14 @@ def threshold(right: np.ndarray, wrong: np.ndarray, recall: float) -> float:
     if not right.sum():
         return 0.5
     cut = int(np.searchsorted(np.cumsum(right), (1 - recall) * right.sum(), "right"))
-    below = np.flatnonzero(wrong[:cut])
-    odds = (cut + (below[-1] + 1 if len(below) else 0)) / 2 / PER_UNIT - LIMIT
-    return float(1 / (1 + np.exp(-odds)))
+    if wrong.sum():
+        above = np.cumsum(wrong[::-1])[::-1]
+        low = int(np.argmax(np.append(above, 0) <= false * wrong.sum()))
+        cut = min(cut, (cut + low) // 2)
+    return float(1 / (1 + np.exp(LIMIT - cut / PER_UNIT)))
 
 
-def with_thresholds(net: CharacterCNN, views: DataFrame, recall: float) -> CharacterCNN:
+def with_thresholds(net: CharacterCNN, views: DataFrame, recall: float, false: float) -> CharacterCNN:
     """``net`` with the thresholds of each shape, from all labelled ``views`` (truth, hex, view, n)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +263,7 @@ def with_thresholds(net: CharacterCNN, views: DataFrame, recall: float) -> Chara
     counts = np.zeros((2, 2, STEPS_OF_ODDS), np.int64)
     for r in rows.groupBy("truth", "hex", "step").agg(F.sum("n").alias("n")).collect():
         counts[r["truth"], r["hex"], r["step"]] = r["n"]
-    net.thresholds = tuple(threshold(counts[1, shape], counts[0, shape], recall) for shape in (0, 1))
+    net.thresholds = tuple(threshold(counts[1, shape], counts[0, shape], recall, false) for shape in (0, 1))
     return net
 
 
@@ -231,7 +292,10 @@ def covers(union: tuple[list[int], list[int]], start: int, end: int) -> bool:
 
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """(order, truth, hex, view) of every finding and every unsupported candidate of ``docs``."""
+    """(order, truth, hex, view) of every finding and every unsupported candidate of ``docs``, and of what is made of each.
+
+    Candidates that look drawn are left out: that no pattern supports them doesn't show that they are no secrets.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -241,15 +305,15 @@ def labelled(docs: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 union = merged(base)
                 rows = [(s, e, 1) for s, _, e in base]
-                rows += [(s, e, 0) for s, e in candidates(text) if not overlaps(union, s, e)]
+                rows += [(s, e, 0) for s, e in candidates(text) if not overlaps(union, s, e) and not looks_drawn(text[s:e])]
                 for start, end, truth in rows:
                     if truth and (m := ASSIGN.match(text, start)):
                         start = m.start(2)
-                    view = windows(text, start, end)[0]
-                    orders.append(hashlib.blake2b(view, digest_size=8).hexdigest())
-                    truths.append(truth)
-                    shapes.append(bool(HEX_SHAPE.fullmatch(text, start, end)))
-                    views.append(view)
+                    for run, view in [(text[start:end], windows(text, start, end)[0]), *made_views(text, start, end, truth)]:
+                        orders.append(hashlib.blake2b(view, digest_size=8).hexdigest())
+                        truths.append(truth)
+                        shapes.append(bool(HEX_SHAPE.fullmatch(run)))
+                        views.append(view)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(orders, pa.string()), pa.array(truths, pa.int32()), pa.array(shapes, pa.bool_()), pa.array(views, pa.binary())],
                 ["order", "truth", "hex", "view"],
@@ -259,12 +323,13 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(of, "order string, truth int, hex boolean, view binary")
 
 
-def fit_secret_model(docs: DataFrame, sample: int = 3000, recall: float = 0.95) -> CharacterCNN | None:
+def fit_secret_model(docs: DataFrame, sample: int = 3000, recall: float = 0.95, false: float = 0.002) -> CharacterCNN | None:
     """The network, or None where findings or other candidates are wanting.
 
     ``sample`` bounds the labelled rows of either class that are fetched: those of the
     smallest hash of what the network sees, once each, so the choice depends on no order
-    of rows. ``recall`` is the share of all labelled findings that the thresholds keep.
+    of rows. ``recall`` is the share of all labelled findings that the thresholds keep at
+    least; they are lower where the share ``false`` of other candidates leaves room.
     """
     same = labelled(docs).groupBy("order", "truth").agg(F.min("hex").alias("hex"), F.min("view").alias("view"), F.count("*").alias("n"))
     views = stored(same, "secret-views")
@@ -274,7 +339,7 @@ def fit_secret_model(docs: DataFrame, sample: int = 3000, recall: float = 0.95)
     if not len(truth) or truth.min() == truth.max():
         return None
     seen = np.frombuffer(b"".join(bytes(r["view"]) for r in rows), np.uint8).reshape(-1, WIDTH)
-    return with_thresholds(train_cnn(seen, truth), views, recall)
+    return with_thresholds(train_cnn(seen, truth), views, recall, false)
 
 
 def all_spans(texts: list[str], net: CharacterCNN | None) -> Iterator[tuple[list, list]]:

@@ -1,11 +1,13 @@
 import hashlib
 import re
+import string
+from random import Random
 
 import numpy as np
 
 from pyspark.sql import functions as F
 
-from pairloom.llm.secret_scan import WIDTH, all_spans, base_spans, candidates, fit_secret_model, labelled, merged, overlaps, redact_secrets, secret_spans, windows
+from pairloom.llm.secret_scan import WIDTH, all_spans, base_spans, candidates, fit_secret_model, labelled, looks_drawn, made_views, merged, overlaps, redact_secrets, secret_spans, windows
 
 LITERAL = [
     ("assign", re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")),
@@ -47,11 +49,11 @@ def test_query_on_a_table(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
         assert set(named) <= set(r.spans.split(","))
         assert r.n_model == len([x for x in r.spans.split(",") if x.startswith("model:")])
-    # A secret that no pattern knows ranks above an address and long words.
+    # A secret that no pattern knows is over the cut, an address and long words aren't.
     probes = ["the key 49b0203a9cc466e6ee was", "write to mail7.example.com now", "Lelereenment geeingeerchtz vondieeinungzuen"]
     seen = np.frombuffer(b"".join(windows(t, *re.search(r"[\w.]{12,}", t).span())[0] for t in probes), np.uint8).reshape(-1, WIDTH)
     p = net.probability(seen)
-    assert p[0] > 5 * max(p[1:])
+    assert p[0] >= net.thresholds[1] and max(p[1:]) < net.thresholds[0]
 
 
 def test_nulls_empties_repeats_and_redaction(spark):
@@ -107,3 +109,58 @@ def test_recall_on_findings_that_training_never_had(spark):
     recall, false = (p >= cut)[truth == 1].mean(), (p >= cut)[truth == 0].mean()
     print(f"recall {recall:.4f} of {int((truth == 1).sum())}, others taken {false:.4f} of {int((truth == 0).sum())}")
     assert recall >= 0.93 and false < 0.05
+
+
+def test_kinds_that_training_never_had(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    net = fit_secret_model(docs.where(fold == 0))
+    texts = [r.text for r in docs.where((fold == 1) & (F.length("text") > 200)).select("text").orderBy("doc_id").limit(400).collect()]
+    draw = Random(3)
+    words = [w for t in texts for w in re.findall("[a-z]{3,9}", t)]
+    plain, hexes, digits = string.digits + string.ascii_letters, "0123456789abcdef", string.digits
+
+    def of(alphabet, n):
+        return "".join(draw.choices(alphabet, k=n))
+
+    def word():
+        return draw.choice(words)
+
+    def taken(make):
+        hits = 0
+        for text in texts:
+            run = make()
+            at = text.find(" ", draw.randrange(len(text) - 100)) + 1
+            whole = f"{text[:at]}{run} {text[at:]}"
+            (_, more), = all_spans([whole], net)
+            hits += any(s < at + len(run) and e > at for s, _, e in more)
+        return hits / len(texts)
+
+    secrets = {
+        "prefixed": lambda: "ghp_" + of(plain, 36), "dashed": lambda: "sk-live-" + of(plain, 24), "dotted": lambda: ".".join(["eyJ" + of(plain, 20), of(plain, 30), of(plain, 20)]),
+        "short hex": lambda: of(hexes[:10], 1) + of(hexes, 16) + "e", "mixed": lambda: of(plain, 20),
+    }
+    others = {
+        "host": lambda: f"www{of(digits, 1)}.{word()}.example.org", "time": lambda: f"20{of(digits, 2)}-0{of(digits, 1)}-1{of(digits, 1)}T1{of(digits, 1)}",
+        "camel": lambda: word() + word().title() + word().title(), "account": lambda: "DE" + of(digits, 20), "card": lambda: of(digits, 16),
+        "file": lambda: f"IMG_{of(digits, 8)}_{of(digits, 6)}.jpg", "long word": lambda: word() + word() + word() + word(),
+    }
+    found = {name: taken(make) for name, make in secrets.items()}
+    false = {name: taken(make) for name, make in others.items()}
+    print({k: round(v, 3) for k, v in (found | false).items()})
+    assert min(found.values()) >= 0.7 and max(false.values()) <= 0.02
+    # The cut of other shapes than hexadecimal rests on findings, drawn ones here, not on an even chance.
+    assert 0.5 not in net.thresholds
+
+
+def test_what_is_made_beside_labelled_rows():
+    text = 'words of plain prose stand here token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" and more prose of the same kind'
+    at = text.index("b44e")
+    made = made_views(text, at, at + 40, 1)
+    assert len(made) == 8 and made == made_views(text, at, at + 40, 1) and all(looks_drawn(run) for run, _ in made)
+    assert not any(looks_drawn(x) for x in ("2024-01-02T10", "mail7.example.com", "97.51.17.173", "camelCasedNameOfIt", "9807915762804490", "DE05369872200438414470"))
+    assert made_views("1234567890", 0, 10, 0) == []
+    for n in range(200):
+        text = f"some words {n} are here 12345678{n:03}"
+        for run, view in made_views(text, text.index("12345678"), len(text), 0):
+            assert candidates(run) == [(0, len(run))] and len(view) == WIDTH
