@@ -58,23 +58,29 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, rows)
 
 
-def joined_small(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+def joined_small(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", salt: Column | None = None) -> DataFrame:
     """``big`` joined to the stored table ``small``, which is broadcast if its count of rows allows that.
 
-    A larger one is joined through a shuffle, whose hot keys adaptive execution splits.
+    A larger one is joined through a shuffle; rows of hot keys are dealt by ``salt`` (see
+    :func:`spread_join`), or are left to adaptive execution without one.
     """
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, key, how)
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key, how)
+    return big.join(small, key, how) if salt is None else spread_join(big, small, key, salt, how)
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str | list[str], salt: Column, how: str = "inner") -> DataFrame:
+def spread_join(
+    big: DataFrame, small: DataFrame, key: str | list[str], salt: Column, how: str = "inner", sizes: DataFrame | None = None
+) -> DataFrame:
     """``big`` joined to ``small`` (a row for each key); rows of a hot key are dealt by ``salt`` over several tasks.
 
     A key is hot if over ROWS_TOGETHER rows of ``big``, a stored table, have it. There is at most one for
     so many rows; that list is broadcast. Rows of ``small`` are repeated for the parts of their key.
+    ``sizes`` (the key, _n) are the rows of each key, where they are known already.
     """
     keys = [key] if isinstance(key, str) else key
-    hot = big.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > ROWS_TOGETHER)
+    sizes = big.groupBy(*keys).agg(F.count("*").alias("_n")) if sizes is None else sizes
+    hot = sizes.where(F.col("_n") > ROWS_TOGETHER)
     hot = stored(hot.select(*keys, in_blocks(F.col("_n"), ROWS_TOGETHER).alias("_parts")), "hot-keys")
     if not hot.limit(1).count():
         return big.join(small, keys, how)

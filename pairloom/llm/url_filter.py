@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import joined_small, stored
+from pairloom.llm.common import joined_small, spread_join, stored
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -84,7 +84,7 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     places = names.withColumn("start", F.explode(F.sequence(F.lit(0), size - 1)))
     parts = places.withColumn("length", F.explode(F.filter(lengths, lambda n: n <= size - F.col("start"))))
     parts = parts.withColumn("word", F.substring("name", F.col("start") + 1, F.col("length")))
-    met = joined_small(parts, words, "word").groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("met"))
+    met = joined_small(parts, words, "word", salt=F.struct("name", "start")).groupBy("name").agg(F.collect_list(F.struct("start", "length", "n")).alias("met"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,7 +122,7 @@ def judged_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Data
     judge no page, or give one verdict only, there is nothing to weigh and the prior decides: the
     only verdict seen, or ``allow``. Null URLs and those without ``://`` have an empty host
     and path and the prior's score. All statistics cover all pages; equal URLs are judged
-    once. Null HTML has no words. Repeated rows stay, other columns are ignored, and an empty
+    once, and pages that share one, null ones included, are dealt over tasks. Null HTML has no words. Repeated rows stay, other columns are ignored, and an empty
     table gives no rows.
     """
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -144,13 +144,15 @@ def judged_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Data
         named = hosts.withColumn("name", F.explode(F.filter(F.split("host", r"[^\p{L}\p{N}]+"), lambda x: x != "")))
         words = stored(page_words(own), "page-words")
         split = segmented(named.select("name").distinct(), words)
-        host_tokens = stored(joined_small(named, stored(split, "split-names"), "name").withColumn("token", F.explode("words")).drop("words", "name"), "host-tokens")
+        host_tokens = stored(joined_small(named, stored(split, "split-names"), "name", salt=F.col("host")).withColumn("token", F.explode("words")).drop("words", "name"), "host-tokens")
         of_path = urls.withColumn("token", F.explode(path_tokens(F.col("path")))).select("url", "token", "allow", "block")
         weights = stored(token_weights(host_tokens.select("token", "allow", "block").union(of_path.select("token", "allow", "block"))), "url-weights")
-        by_host = joined_small(host_tokens, weights, "token").groupBy("host").agg(F.sum("weight").alias("host_score"))
-        by_path = joined_small(of_path, weights, "token").groupBy("url").agg(F.sum("weight").alias("path_score"))
+        by_host = joined_small(host_tokens, weights, "token", salt=F.col("host")).groupBy("host").agg(F.sum("weight").alias("host_score"))
+        by_path = joined_small(of_path, weights, "token", salt=F.col("url")).groupBy("url").agg(F.sum("weight").alias("path_score"))
         score = F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0)) + math.log(block / allow)
-        plain = joined_small(urls, stored(by_host, "host-scores"), "host", "left").join(by_path, "url", "left").withColumn("score", score)
+        plain = joined_small(urls, stored(by_host, "host-scores"), "host", "left", salt=F.col("url")).join(by_path, "url", "left").withColumn("score", score)
     verdict = F.coalesce("ruled", F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow")))
     judged = plain.select("url", "host", "path", "rule", verdict.alias("verdict"), "score")
-    return own.select("page_id", url.alias("url")).join(judged, "url").select("page_id", "host", "path", "rule", "verdict", "score")
+    pages_of = urls.select("url", F.col("copies").alias("_n"))
+    rows = spread_join(own.select("page_id", url.alias("url")), judged, "url", F.col("page_id"), sizes=pages_of)
+    return rows.select("page_id", "host", "path", "rule", "verdict", "score")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from pairloom.llm import common
 from pairloom.llm.queries import URL_RULES
 from pairloom.llm.url_filter import best_split, judged_urls, segmented
 
@@ -106,3 +107,16 @@ def test_words_of_any_length_are_known(spark):
     names = spark.createDataFrame([(f"x{long}shop",), ("q",)], "name string")
     words = spark.createDataFrame([(long, 1), ("shop", 2), ("x", 1)], "word string, n long")
     assert {r.name: r.words for r in segmented(names, words).collect()} == {f"x{long}shop": ["x", long, "shop"], "q": ["q"]}
+
+
+def test_hot_urls_hosts_and_words_are_dealt_over_tasks(spark, monkeypatch):
+    urls = [None, "http://hot.example.net/a", "http://a.b.org/x", "http://example.com/de/y", *[f"http://hot.example.net/p{i}" for i in range(60)]]
+    rows = [(i, urls[i % 3] if i % 2 else urls[i // 2 % len(urls)], "<p>hot example words here</p>") for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [("allow", "org", "/"), ("block", "com", "/de/")]
+    plain = sorted(map(tuple, judged_urls(pages, rules).collect()), key=lambda r: r[0])
+    monkeypatch.setattr(common, "ROWS_TOGETHER", 20)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    dealt = sorted(map(tuple, judged_urls(pages, rules).collect()), key=lambda r: r[0])
+    assert len(dealt) == 900 and [r[:5] for r in dealt] == [r[:5] for r in plain]
+    assert all(abs(a[5] - b[5]) < 1e-9 for a, b in zip(dealt, plain))
