@@ -14,14 +14,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.llm.common import bounded_batches, crc_of_id, sliced, stored
 
 BUCKETS, SIZE, LONGEST = 1 << 14, 16, 4
-WORDS_HELD, CHARACTERS_AT_ONCE = 120_000, 1_000_000
+#: A worker holds so many words' rows, and fewer where many languages make rows wide.
+WORDS_HELD, WORDS_BYTES = 120_000, 32_000_000
+#: The sample's bucket counts that the driver fetches.
+SAMPLE_BYTES = 128_000_000
 #: Steps of the scores' histogram that sets the rejection threshold.
 STEPS = 1000
 
@@ -73,9 +76,12 @@ class LanguageModel:
     def __getstate__(self):
         return self.__dict__ | {"places": {}, "rows": None}
 
+    def most_words(self) -> int:
+        return max(1, min(WORDS_HELD, WORDS_BYTES // (8 * len(self.languages) + 8)))
+
     def learn(self, words: list[str], table: np.ndarray) -> None:
         """Remembers the rows of words; when too many are held, only these stay."""
-        if len(self.places) > WORDS_HELD:
+        if len(self.places) > self.most_words():
             self.places, self.rows = {}, None
         fresh = [w for w in words if w not in self.places]
         if not fresh:
@@ -98,23 +104,32 @@ class LanguageModel:
         """Language and score of each text: the average over its n-grams of their logits, which equals
         the logits of the average, under the calibrated softmax."""
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        at = 0
-        while at < len(texts) and self.languages:
-            split, size = {}, 0
-            while at < len(texts) and size < CHARACTERS_AT_ONCE:
-                if texts[at] and has_letter(texts[at]):
-                    split[at] = texts[at].lower().split()
-                    size += len(texts[at])
-                at += 1
-            held = len(self.places) > WORDS_HELD
-            self.learn(list({w for words in split.values() for w in words if held or w not in self.places}), table)
-            for n, words in split.items():
+        most, sums, waiting, size = self.most_words(), {}, [], 0
+
+        def add() -> None:
+            held = len(self.places) > most
+            self.learn(list({w for _, words in waiting for w in words if held or w not in self.places}), table)
+            for n, words in waiting:
                 own = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-                total = self.rows[own].sum(0)
-                z = total[:-1] / total[-1] / self.temperature
-                p = np.exp(z - z.max())
-                names[n] = self.languages[int(p.argmax())]
-                scores[n] = float(p.max() / p.sum())
+                sums[n] = sums.get(n, 0) + self.rows[own].sum(0)
+            waiting.clear()
+
+        # A text of more words than are held is summed in runs of them.
+        for n, text in enumerate(texts if self.languages else []):
+            words = text.lower().split() if text and has_letter(text) else []
+            for at in range(0, len(words), most):
+                run = words[at: at + most]
+                if size + len(run) > most:
+                    add()
+                    size = 0
+                waiting.append((n, run))
+                size += len(run)
+        add()
+        for n, total in sums.items():
+            z = total[:-1] / total[-1] / self.temperature
+            p = np.exp(z - z.max())
+            names[n] = self.languages[int(p.argmax())]
+            scores[n] = float(p.max() / p.sum())
         return names, scores
 
 
@@ -194,12 +209,30 @@ def rejection_threshold(model: LanguageModel, clean: DataFrame, kept: float = 0.
     return 0.0
 
 
-def fit_language_model(docs: DataFrame, per_language: int = 800, most_languages: int = 2000) -> LanguageModel:
+def within(sample: DataFrame, most_bytes: int) -> DataFrame:
+    """The rows of the stored ``sample`` (lang, draw, buckets, counts), or the first by draw of each language, as many as ``most_bytes`` hold."""
+    size = F.sum(F.length("buckets") + F.length("counts")).alias("size")
+    if (sample.agg(size).first()["size"] or 0) <= most_bytes:
+        return sample
+    # A language has about as many rows as were asked for, which bounds the groups and the numbers that reach the driver.
+    ranked = sample.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
+    ranks, total = 1, 0
+    for row in ranked.groupBy("rank").agg(size).orderBy("rank").collect():
+        total += row["size"]
+        if total > most_bytes:
+            break
+        ranks = row["rank"]
+    return ranked.where(F.col("rank") <= ranks).drop("rank")
+
+
+def fit_language_model(docs: DataFrame, per_language: int = 800, most_languages: int = 2000, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
     """The model of the labelled rows of ``docs``; its caller leaves out what may not be learnt from.
 
     About ``per_language`` rows of each language are fetched, as bucket counts (at most
     ``BUCKETS`` a row) and not as texts: those under a hash threshold that the language's
-    exact count sets, so the sample depends on no order of rows. The rejection threshold is
+    exact count sets, so the sample depends on no order of rows; rows equal in id, text and
+    language are one. If their counts take over ``sample_bytes``, every language has as many rows as
+    fit, the same number for all that have so many, and one at least. The rejection threshold is
     set on all labelled rows. Null languages and texts without a letter teach nothing. Over
     ``most_languages`` distinct languages are an error: lang then isn't a language.
     """
@@ -212,24 +245,26 @@ def fit_language_model(docs: DataFrame, per_language: int = 800, most_languages:
     if len(sizes) > most_languages:
         raise ValueError(f"lang has over {most_languages} distinct values")
     share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, per_language / n)])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
-    few = clean.where(draw < share[F.col("lang")]).select("lang", "text")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language sample")), 11)
+    few = clean.where(draw / float(1 << 53) < share[F.col("lang")]).select("lang", "text", draw.alias("draw")).dropDuplicates(["lang", "draw"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"lang": [], "buckets": [], "counts": []}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: dict[str, list] = {"lang": [], "draw": [], "buckets": [], "counts": []}
+            for lang, text, drawn in zip(*[c.to_pylist() for c in batch.columns]):
                 if has_letter(text):
                     buckets, counts = text_buckets(text)
                     out["lang"].append(lang)
+                    out["draw"].append(drawn)
                     out["buckets"].append(buckets.astype(np.uint16).tobytes())
                     out["counts"].append(counts.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["lang"], pa.string()), pa.array(out["buckets"], pa.binary()), pa.array(out["counts"], pa.binary())],
+                [pa.array(out["lang"], pa.string()), pa.array(out["draw"], pa.int64()), *[pa.array(out[c], pa.binary()) for c in ("buckets", "counts")]],
                 names=list(out),
             )
 
-    found = stored(few.mapInArrow(of, "lang string, buckets binary, counts binary"), "language-sample").collect()
+    sample = stored(few.mapInArrow(of, "lang string, draw long, buckets binary, counts binary"), "language-sample")
+    found = within(sample, sample_bytes).collect()
     rows = [(r["lang"], np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in found]
     model = train(sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
     model.reject_below = rejection_threshold(model, clean)

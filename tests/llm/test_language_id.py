@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+from pairloom.llm import language_id as li
 from pairloom.llm.language_id import LONGEST, fit_language_model, has_letter, identify, language_predictions, subwords, text_buckets
 
 
@@ -78,3 +79,41 @@ def test_ties_and_equal_texts(spark):
     rows = [(i, "la la la", "aa" if i % 2 else "bb") for i in range(40)]
     got = language_predictions(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert len({(r.lang_pred, r.score) for r in got}) == 1 and got[0].lang_pred in ("aa", "bb")
+
+
+def test_sample_is_bounded_in_bytes_and_repeats_count_once(spark):
+    rows = [(i, f"the cat w{i} and dogs", "en") for i in range(60)] + [(i, f"der hund w{i} und die katze", "de") for i in range(60, 90)]
+    rows += [(None, "same words each time", "en")] * 400 + [(100, "la lune", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+
+    def train(found, *args, **kwargs):
+        seen.append(found)
+        return li.LanguageModel([], np.zeros((1, 1)), np.zeros((1, 0)))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(li, "train", train)
+        fit_language_model(docs)
+        everything = [lang for lang, _, _ in seen[-1]]
+        assert [everything.count(x) for x in ("de", "en", "fr")] == [30, 61, 1]
+        sizes = sum(6 * len(b) for _, b, _ in seen[-1])
+        fit_language_model(docs, sample_bytes=sizes // 3)
+        few = [lang for lang, _, _ in seen[-1]]
+        assert few.count("fr") == 1 and few.count("de") == few.count("en") > 5
+        assert sizes // 4 < sum(6 * len(b) for _, b, _ in seen[-1]) <= sizes // 3
+        fit_language_model(docs, sample_bytes=1)
+        assert sorted(lang for lang, _, _ in seen[-1]) == ["de", "en", "fr"]
+
+
+def test_texts_of_more_words_than_are_held(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = fit_language_model(docs)
+    texts = [r.text for r in docs.limit(40).collect()] + [None, "", "12"]
+    names, scores = model.predict(texts, model.table())
+    with pytest.MonkeyPatch.context() as patch:
+        for most in (1, 50):
+            patch.setattr(li, "WORDS_HELD", most)
+            model.places, model.rows = {}, None
+            got = model.predict(texts, model.table())
+            assert got[0] == names and got[1] == pytest.approx(scores)
+            assert len(model.places) <= 2 * most + 1
