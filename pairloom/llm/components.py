@@ -43,7 +43,8 @@ def connected_components(links: DataFrame, name: str = "components", rounds: int
     Alternates a large-star step (a node's larger neighbours move to its smallest one)
     and a small-star step (a node's smaller neighbours do), each after a contraction
     inside the partitions, until all links are stars. Each round is written to the
-    shared folder. Nothing is collected but one number a round. Raises RuntimeError
+    shared folder. Nothing is collected but one number a round, and no side of a join,
+    each of which has a row for most nodes, is left to broadcast. Raises RuntimeError
     where links aren't stars after ``rounds`` rounds.
 
     Empty links give no rows; self-links add their node only if it has other links.
@@ -54,17 +55,17 @@ def connected_components(links: DataFrame, name: str = "components", rounds: int
     for _ in range(rounds):
         both = stored(stars.union(stars.select("b", "a")), name)
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = spread_join(both.where("b > a"), least, "a", F.col("b")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = spread_join(both.where("b > a"), least.hint("merge"), "a", F.col("b")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = contracted(large.where("a <> b").distinct())
         small = large.groupBy("a").agg(F.min("b").alias("low"))
-        moved = large.join(small, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        moved = large.join(small.hint("merge"), "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         stars = stored(moved.union(small.select("a", F.col("low").alias("b"))).distinct(), name)
         # A forest of stars has one link for each node that is not a root, and no root has one.
         state = stars.agg(F.count("*").alias("n"), F.countDistinct("a").alias("nodes")).first()
         if state["n"] == 0:
             break
         if state["n"] == state["nodes"]:
-            chained = stars.select(F.col("b").alias("a")).distinct().join(stars, "a", "left_semi").limit(1).count()
+            chained = stars.select(F.col("b").alias("a")).distinct().join(stars.hint("merge"), "a", "left_semi").limit(1).count()
             if not chained:
                 break
     else:

@@ -128,11 +128,13 @@ def fingerprint_links(values: DataFrame, radius: int = 4, block: int = BLOCK) ->
     count; a bucket of over ``block`` fingerprints is cut into blocks by hash, and each pair
     of its blocks is a group of its own, so no task holds a whole hot bucket. Pairs are
     compared inside the task, which returns a spanning forest and never the pairs.
+    Spark takes the size of the exploded table for that of ``values``, so no join with
+    it is left to broadcast.
     """
     table = F.posexplode(F.array(*[F.lit(m) for m in covering_masks(radius)]))
     keyed = values.select("fp", table.alias("t", "mask")).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    full = keyed.join(sizes, ["t", "key"]).withColumn("nb", in_blocks(F.col("n"), block))
+    full = keyed.join(sizes.hint("merge"), ["t", "key"]).withColumn("nb", in_blocks(F.col("n"), block))
     own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
     pairs = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     grouped = pairs.select(
@@ -169,11 +171,11 @@ def simhash_components(docs: DataFrame, radius: int = 4, words_per_shingle: int
     prints = stored(fingerprints(docs, words_per_shingle), "simhash")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     parts = connected_components(fingerprint_links(nodes.select("fp"), radius), "simhash-links")
-    tied = nodes.join(parts, nodes["fp"] == parts["node"], "left").select(
+    tied = nodes.join(parts.hint("merge"), nodes["fp"] == parts["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
     lowest = tied.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = tied.join(lowest, "component").select("fp", "component_id")
-    return spread_join(prints, named, "fp", F.coalesce("doc_id", F.lit(0))).select(
+    named = tied.join(lowest.hint("merge"), "component").select("fp", "component_id")
+    return spread_join(prints, named.hint("merge"), "fp", F.coalesce("doc_id", F.lit(0))).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

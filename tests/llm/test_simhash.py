@@ -95,5 +95,17 @@ def test_hot_groups_are_cut_into_blocks(spark):
     assert len({r.component for r in parts}) == 1 and len(parts) == len(values)
 
 
+def test_no_table_of_buckets_is_broadcast(spark):
+    from pairloom.llm.common import stored
+    from pairloom.llm.simhash import fingerprint_links
+
+    # Two near ones of each: a table of few bytes, whose buckets are many times as many.
+    values = stored(spark.range(20_000).selectExpr("explode(array(xxhash64(id), xxhash64(id) ^ 1)) as fp"), "values")
+    links = fingerprint_links(values, 4)
+    links.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    assert links.count() >= 20_000
+
+
 def test_one_text():
     assert text_fingerprint(b"A b c d E") == plain_fingerprint("A b c d E")
