@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Has Spark delete an execution's shuffle files as it ends; else they stay until the driver's JVM collects garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
@@ -29,11 +32,17 @@ def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Dat
 
     This cuts the lineage: a lost executor costs the tasks of a later step only, and a
     frame that several steps need is computed once. ``instead_of``, an earlier table of this
-    function that no later step reads, is deleted after that.
+    function that no later step reads, is deleted after that. The shuffle files of the
+    write are deleted when it ends, as no other step can read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANED)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
     if instead_of is not None:
         discard(instead_of)
     out = spark.read.schema(df.schema).parquet(path)

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.storage import discard
 from pairloom.llm.common import bounded_batches, byte_text, crc_of_id, sliced, stored
 
 #: 256 bytes and the end of a word; START stands for the place before a word.
@@ -678,6 +679,7 @@ def seatings(words: DataFrame, shards: DataFrame, burn_in: int, samples: int, se
         shards = stored(shards.groupBy("shard").cogroup(beside.groupBy("shard")).applyInPandas(seater, SHARD), "shards", old)
         if sweep + 1 < burn_in + samples:
             state = with_sums(state, state)
+    discard(names)
     return Model(state, shards, spellings, unseen, alone, pair_discount, facts["n"] or 0, facts["v"])
 
 

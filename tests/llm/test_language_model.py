@@ -230,3 +230,15 @@ def test_records_survive_packing_and_keys_are_found():
         table = np.sort(rng.integers(-50, 50, size))
         keys = rng.integers(-60, 60, 300)
         assert (places_in(table, keys) == np.searchsorted(table, keys)).all()
+
+
+def test_shuffles_of_stored_tables_are_deleted(spark):
+    import time
+
+    alive = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = alive().size()
+    table = stored(spark.range(100).selectExpr("id % 10 as id").groupBy("id").count(), "shuffled")
+    assert alive().size() <= before
+    assert table.count() == 10 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
