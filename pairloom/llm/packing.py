@@ -242,14 +242,15 @@ def placed(items: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def pack_pieces(
-    pieces: DataFrame, capacity: int, items_per_shard: int = 2048, islands: int = 2, epochs: int = 2,
-    generations: int = 6, population: int = 3, full: float = 0.97,
+    pieces: DataFrame, capacity: int, items_per_shard: int = 2048, islands: int = 4, epochs: int = 3,
+    generations: int = 25, population: int = 6, full: float = 0.97,
 ) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset.
 
     A piece that fills a sequence gets it alone. All others are packed by islands in shards of
     about ``items_per_shard``; bins under the share ``full`` of the capacity are dissolved, dealt
-    into as many fewer shards, and packed once more.
+    into as many fewer shards, and packed once more. A shard's search ends where the sum of its
+    sizes allows no fewer bins; else it takes all ``epochs`` and ``generations``.
     """
     # The row's place in the table tells repeated rows apart; a table read in the same way is packed in the same way.
     named = stored(pieces.withColumn("item", F.struct("doc_id", "piece", F.monotonically_increasing_id().alias("row"))), "pieces")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pairloom.llm.packing import TextEncoder, best_fit, crossed, evolve, first_population, pack_documents
+from pairloom.llm.packing import TextEncoder, best_fit, crossed, evolve, first_population, pack_documents, pack_pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -101,3 +101,16 @@ def test_long_runs_of_white_space(spark):
         assert np.frombuffer(OWN.ids(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     check(pack_documents(docs, PATH, capacity=2048).collect(), list(texts.items()), 2048)
+
+
+def test_the_default_search_needs_fewer_sequences_than_best_fit_where_sizes_are_hard(spark):
+    rng = np.random.default_rng(5)
+    sizes = []
+    for _ in range(40):
+        a = int(rng.integers(780, 1000))
+        b = int(rng.integers((2048 - a) // 2 - 120, (2048 - a) // 2))
+        sizes += [a, b, 2048 - a - b]
+    pieces = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "doc_id long, piece int, length long").coalesce(1)
+    used = pack_pieces(pieces, 2048).select("sequence_id").distinct().count()
+    short = pack_pieces(pieces, 2048, islands=2, epochs=2, generations=6, population=3).select("sequence_id").distinct().count()
+    assert 40 <= used < short, (used, short)
