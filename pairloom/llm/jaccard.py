@@ -1,4 +1,6 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found by MinHash bands and confirmed on the shingles.
+"""Near-duplicates by the Jaccard similarity of word shingles, found by SimHash and by MinHash bands and confirmed on the shingles.
+
+Texts whose SimHash fingerprints links join (RADIUS differing bits, covering masks) are compared, whatever their bands.
 
 A band is a hash of ROWS minima; two texts of similarity j share one of BANDS with the chance
 1 - (1 - j^ROWS)^BANDS: 0.99997 at 0.8 and more above. Links are only those whose similarity,
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import bounded_batches, byte_text, forest, in_blocks, sliced, spread_join, stored
 from pairloom.llm.components import connected_components
+from pairloom.llm.simhash import fingerprint_links, hashes_fingerprint, shingle_hashes
 
-BANDS, ROWS, BLOCK = 20, 4, 512
+BANDS, ROWS, BLOCK, RADIUS = 20, 4, 512, 4
 #: Bits of the filter that spares texts in no bucket the shuffle; any number is right, as the join decides.
 MARKS = 1 << 22
 #: Marks of the comparison of two sets, and bytes of shingles in a block.
@@ -38,16 +41,8 @@ def shingle_set(data: bytes, words_per_shingle: int = 5) -> tuple[tuple[int, int
     A-Z are lower-cased and words are split at ASCII white space; fewer words than a
     shingle has make one shingle, and no word gives none.
     """
-    words = data.lower().split()
-    joined = b" ".join(words)
-    node = words_hash(joined)
-    if not words:
-        return node, np.zeros(0, np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    stops = ends[min(words_per_shingle, len(words)) - 1:]
-    starts = np.concatenate([[0], ends[: len(stops) - 1] + 1])
-    digest = xxhash.xxh64_intdigest
-    return node, np.unique(np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts.tolist(), stops.tolist())), np.uint64, len(stops)))
+    joined, hashes = shingle_hashes(data, words_per_shingle)
+    return words_hash(joined), np.unique(hashes)
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -96,6 +91,13 @@ def similar(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.nd
     return np.array(left, int), np.array(right, int)
 
 
+def with_simhash(texts: DataFrame) -> DataFrame:
+    """(node, bands, size) of ``texts`` (with fp, too): the component of a text's fingerprint is one more band."""
+    parts = stored(connected_components(fingerprint_links(texts.select("fp").distinct(), RADIUS), "simhash-links"), "simhash-parts")
+    near = F.coalesce("component", "fp")
+    return texts.join(parts.hint("merge"), texts["fp"] == parts["node"], "left").select(texts["node"], F.concat("bands", F.array(near)).alias("bands"), "size")
+
+
 def bucket_groups(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, g): the groups in which the nodes of ``texts`` (node, bands, size) are to be compared.
 
@@ -152,15 +154,18 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, words_per_shingl
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [shingle_set(x.as_py(), words_per_shingle) for x in batch.column(2)]
+            texts = [shingle_hashes(x.as_py(), words_per_shingle) for x in batch.column(2)]
+            sets = [(words_hash(joined), np.unique(hashes)) for joined, hashes in texts]
+            prints = np.array([hashes_fingerprint(hashes) for _, hashes in texts], np.uint64).view(np.int64)
             nodes, checks = np.array([node for node, _ in sets], np.uint64).reshape(-1, 2).T.copy().view(np.int64)
             bands = pa.array([band_keys(s) if len(s) else [] for _, s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes), pa.array(checks), bands, pa.array([len(s) for _, s in sets], pa.int64())], ["doc_id", "row", "node", "check", "bands", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes), pa.array(checks), bands, pa.array([len(s) for _, s in sets], pa.int64()), pa.array(prints)], ["doc_id", "row", "node", "check", "bands", "size", "fp"])
 
     bounded_batches(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), byte_text().alias("data"))
-    found = stored(kept.mapInArrow(of, "doc_id long, row struct<first:long,second:long>, node long, check long, bands array<long>, size long"), "bands")
-    grouped = stored(bucket_groups(found.select("node", "bands", "size").dropDuplicates(["node"])), "buckets")
+    found = stored(kept.mapInArrow(of, "doc_id long, row struct<first:long,second:long>, node long, check long, bands array<long>, size long, fp long"), "bands")
+    texts = found.where("size > 0").select("node", "bands", "size", "fp").dropDuplicates(["node"])
+    grouped = stored(bucket_groups(with_simhash(texts)), "buckets")
     marks = np.zeros(MARKS, bool)
     marks[grouped.select(F.pmod("node", F.lit(MARKS)).cast("int").alias("m")).distinct().toPandas()["m"].to_numpy(np.int64)] = True
     marks = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))

@@ -40,26 +40,25 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
     return masks
 
 
-def text_fingerprint(data: bytes, words_per_shingle: int = 4) -> int:
-    """The fingerprint of one text, unsigned.
+def shingle_hashes(data: bytes, words_per_shingle: int) -> tuple[bytes, np.ndarray]:
+    """The words of one text, joined by blanks, and the hashes of its shingles, repeats included.
 
     A-Z are lower-cased and words are split at ASCII white space; fewer words than a
-    shingle has make one shingle, and no word gives zero.
+    shingle has make one shingle, and no word gives none.
     """
     words = data.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
+    if not words:
+        return joined, np.zeros(0, np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    if len(words) > words_per_shingle:
-        stops = ends[words_per_shingle - 1:]
-        starts = np.concatenate([[0], ends[: len(stops) - 1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(
-            (digest(joined[i:j], 42) for i, j in zip(starts.tolist(), stops.tolist())), np.uint64, len(stops)
-        )
-    else:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    stops = ends[min(words_per_shingle, len(words)) - 1:]
+    starts = np.concatenate([[0], ends[: len(stops) - 1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return joined, np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts.tolist(), stops.tolist())), np.uint64, len(stops))
+
+
+def hashes_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles, unsigned; zero of none."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at: at + (1 << 16)]
@@ -67,6 +66,11 @@ def text_fingerprint(data: bytes, words_per_shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def text_fingerprint(data: bytes, words_per_shingle: int = 4) -> int:
+    """The fingerprint of one text, unsigned; see :func:`shingle_hashes`. No word gives zero."""
+    return hashes_fingerprint(shingle_hashes(data, words_per_shingle)[1])
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
     """(doc_id, fp long) of each row; a null text is empty and has fingerprint zero."""
 

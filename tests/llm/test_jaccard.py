@@ -91,3 +91,14 @@ def test_many_long_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "bucket_groups", seen)
     assert len({r.component for r in jaccard_components(docs).collect()}) == 1
     assert largest[0] <= 2.5 * jaccard.BLOCK_BYTES
+
+
+def test_texts_of_near_fingerprints_are_compared_whatever_their_bands(spark):
+    from pairloom.llm.jaccard import with_simhash
+
+    made = [(1, [10], 5, 0), (2, [20], 5, 0b1111), (3, [30], 5, 0b11111111), (4, [40], 5, -1), (5, [50], 5, -1), (6, [60], 5, 0x5555555555)]
+    texts = spark.createDataFrame(made, "node long, bands array<long>, size long, fp long")
+    groups = {}
+    for r in bucket_groups(with_simhash(texts)).collect():
+        groups.setdefault(r.g, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5]]
