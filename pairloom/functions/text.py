@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -74,13 +75,18 @@ def shortened(name: Column, head: int = 22, tail: int = 8, longest: int = 30) ->
     )
 
 
+def quotient(number: Column, divisor: int) -> Column:
+    """The whole part of a 64-bit number's division, exact, as no double is between."""
+    return F.call_function("div", number, F.lit(divisor))
+
+
 def kb_or_mb(size: Column) -> Column:
-    """A size below 1 MiB in KB with one decimal, else in MB with two."""
+    """A size below 1 MiB in KB with one decimal, else in MB with two. Halves are rounded up, in whole numbers."""
     s = size.cast("long")
-    kb = F.floor((s * 20 + 1024) / 2048).cast("long")
-    mb = F.floor((s * 200 + 1048576) / 2097152).cast("long")
-    kb_text = F.concat(F.floor(kb / 10).cast("string"), F.lit("."), (kb % 10).cast("string"), F.lit(" KB"))
-    mb_text = F.concat(F.floor(mb / 100).cast("string"), F.lit("."), F.lpad((mb % 100).cast("string"), 2, "0"), F.lit(" MB"))
+    kb = quotient(s * 20 + 1024, 2048)
+    mb = quotient(s * 200 + 1048576, 2097152)
+    kb_text = F.concat(quotient(kb, 10).cast("string"), F.lit("."), (kb % 10).cast("string"), F.lit(" KB"))
+    mb_text = F.concat(quotient(mb, 100).cast("string"), F.lit("."), F.lpad((mb % 100).cast("string"), 2, "0"), F.lit(" MB"))
     return F.when(s < 1048576, kb_text).otherwise(mb_text)
 
 
@@ -93,7 +99,9 @@ def byte_size(size: Column) -> Column:
     out = F.when(size.isNull() | (size < 0), F.lit(UNKNOWN))
     for power, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
         scale = 1024**power
-        text = F.concat(F.round(s / F.lit(scale).cast("decimal(20,0)"), 2).cast("decimal(38,2)").cast("string"), F.lit(f" {unit}"))
+        halves = s * 200 + scale
+        hundredths = (halves - halves % (2 * scale)) / F.lit(2 * scale).cast("decimal(20,0)")  # exact, as nothing remains
+        text = F.concat((hundredths * F.lit(Decimal("0.01"))).cast("decimal(38,2)").cast("string"), F.lit(f" {unit}"))
         out = out.otherwise(text) if unit == "TB" else out.when(size < 1024 ** (power + 1), text)
     return out
 
